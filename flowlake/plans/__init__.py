@@ -1,0 +1 @@
+"""Multi-step jobs composed of operators."""

@@ -1,0 +1,91 @@
+"""Capture files to packet rows: a lake ingest job.
+
+One capture file is one task: the container format chains records by length, so a file cannot be cut
+without reading it from its start. Captures are rotated by size in practice; many files spread."""
+
+from __future__ import annotations
+
+import socket
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowlake.schemas import PACKETS
+
+# Magic numbers (byte order, fraction scale) and header constants.
+MAGICS = {
+    b"\xd4\xc3\xb2\xa1": ("<", 1_000), b"\xa1\xb2\xc3\xd4": (">", 1_000),
+    b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1),
+}
+IPV4, VLANS, TCP, UDP = 0x0800, (0x8100, 0x88A8), 6, 17
+COLUMNS = [f.name for f in PACKETS.fields if f.name != "pkt_id"]
+BATCH = 50_000
+
+
+def _records(content: bytes) -> Iterator[tuple[int, bytes, int]]:
+    """(time in ns, captured bytes, wire length); a cut-off last record ends the file."""
+    if len(content) < 24 or content[:4] not in MAGICS:
+        return
+    order, unit = MAGICS[content[:4]]
+    head, at = struct.Struct(order + "IIII"), 24
+    while at + 16 <= len(content):
+        sec, frac, captured, wire = head.unpack_from(content, at)
+        at += 16
+        if at + captured > len(content):
+            return
+        yield sec * 1_000_000_000 + frac * unit, content[at : at + captured], wire
+        at += captured
+
+
+def _packet(ns: int, frame: bytes, wire: int) -> tuple | None:
+    """Ethernet (with VLAN tags), IPv4, TCP or UDP header fields; other frames are skipped."""
+    at, kind = 14, int.from_bytes(frame[12:14], "big")
+    while kind in VLANS and len(frame) >= at + 4:
+        kind = int.from_bytes(frame[at + 2 : at + 4], "big")
+        at += 4
+    if kind != IPV4 or len(frame) < at + 20:
+        return None
+    size = (frame[at] & 0x0F) * 4
+    proto, body = frame[at + 9], at + size
+    src, dst = socket.inet_ntoa(frame[at + 12 : at + 16]), socket.inet_ntoa(frame[at + 16 : at + 20])
+    sport = dport = flags = 0
+    if proto in (TCP, UDP) and len(frame) >= body + 4:
+        sport, dport = struct.unpack_from(">HH", frame, body)
+    if proto == TCP and len(frame) >= body + 14:
+        flags = frame[body + 13]
+    bit = lambda i: bool(flags >> i & 1)
+    return (pd.Timestamp(ns, unit="ns"), src, dst, sport, dport, proto, wire, proto == TCP,
+            bit(1), bit(4), bit(2), bit(0), bit(3), bit(5), flags)
+
+
+def pcap_ingest(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
+    """Packets of all captures under ``path`` with source file and a packet number inside the file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("source_file"), "content"
+    )
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["source_file"], pdf["content"]):
+                rows: list[tuple] = []
+                number = 0
+                for record in _records(bytes(content)):
+                    got = _packet(*record)
+                    if got is not None:
+                        rows.append((*got, number, name))
+                        number += 1
+                    if len(rows) >= BATCH:
+                        yield pd.DataFrame(rows, columns=[*COLUMNS, "pkt_id", "source_file"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*COLUMNS, "pkt_id", "source_file"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKETS.fields) + ", source_file string"
+    return files.repartition(F.col("source_file")).mapInPandas(decode, schema)
+
+
+def write_packets(packets: DataFrame, path: str) -> None:
+    packets.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
