@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fingerprints import op2_fingerprints
+from .html_text import op10_html_text
+from .pieces import op6_pieces
+from .pii import op8_pii
+from .quality import op9_quality
 from .sharding import op3_sharding
+from .token_store import op1_token_store
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op2_fingerprints": op2_fingerprints,
     "op3_sharding": op3_sharding,
+    "op6_pieces": op6_pieces,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii": op8_pii,
+    "op9_quality": op9_quality,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
