@@ -17,6 +17,7 @@ of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,10 @@ HOT_ONE_IN = 500
 NO_ID = -(2**63)
 
 
+def ref() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def lookup(rows: DataFrame, key: str, hot: DataFrame | None, cold: DataFrame, values: list[str]) -> DataFrame:
     """Add ``values`` by ``key``: from the broadcast ``hot`` rows, else from the shuffled ``cold`` ones.
 
@@ -49,34 +54,38 @@ def lookup(rows: DataFrame, key: str, hot: DataFrame | None, cold: DataFrame, va
     return rows.drop("_hot_key", "_join_key", "_cold_key", *[f"_{k}_{v}" for k in ("hot", "cold") for v in values])
 
 
-def hot_names(rows: DataFrame, n: int) -> DataFrame | None:
+def hot_names(rows: DataFrame, n: int, of: Callable[[list[int]], DataFrame]) -> DataFrame | None:
     """Keys with more than one in ``HOT_ONE_IN`` of the ``n`` rows, named from -1 downwards by order.
 
-    They are counted by a hash first, so that only keys behind a frequent hash move in full.
+    They are counted by a hash, with one row's ``ref`` for each; ``of`` gives the rows of those few
+    refs, whose keys are read in full. A key that only shares its hash with a frequent one is not
+    found there and simply stays with the rest.
     """
-    counts = rows.groupBy(F.xxhash64("key").alias("h")).count()
-    frequent = [r[0] for r in counts.filter(F.col("count") * HOT_ONE_IN > n).filter("count > 1").collect()]
+    counts = rows.groupBy(F.xxhash64("key").alias("h")).agg(F.count("*").alias("n"), F.min("ref").alias("ref"))
+    frequent = counts.filter((F.col("n") * HOT_ONE_IN > n) & (F.col("n") > 1)).collect()
     if not frequent:
         return None
-    keys = rows.filter(F.xxhash64("key").isin(frequent)).groupBy("key").count()
-    keys = keys.filter(F.col("count") * HOT_ONE_IN > n).sortWithinPartitions("key")
+    keys = of(sorted({r["ref"] for r in frequent})).filter(F.xxhash64("key").isin([r["h"] for r in frequent]))
+    keys = keys.select("key").distinct().sortWithinPartitions("key")
     return staged(keys.select("key", (-1 - F.monotonically_increasing_id()).alias("name")), "hot-names")
 
 
-def named(rows: DataFrame, n: int) -> DataFrame:
+def named(rows: DataFrame, n: int, of: Callable[[list[int]], DataFrame] | None = None) -> DataFrame:
     """Replace ``key`` by an integer ``name``, equal for equal keys: distinct keys, sorted, numbered."""
-    hot = hot_names(rows, n)
+    hot = hot_names(rows, n, of or (lambda refs: rows.filter(F.col("ref").isin(refs))))
     cold = rows if hot is None else rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
     names = cold.select("key").distinct().sortWithinPartitions("key")
     return lookup(rows, "key", hot, names.withColumn("name", F.monotonically_increasing_id()), ["name"])
 
 
 def block_rows(docs: DataFrame, text: Column, block_chars: int) -> DataFrame:
-    """uid, doc_id, text_sha256 (with the first block only), blocks, pos, key."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("norm"))
+    """uid, doc_id, ref, sha (with the first block only), blocks, pos, key."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), ref().alias("ref"), text.alias("norm"))
     cut = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
     rows = rows.withColumn("cut", F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut))
-    rows = rows.select("uid", "doc_id", F.sha2("norm", 256).alias("sha"), F.size("cut").alias("blocks"), F.posexplode("cut").alias("pos", "key"))
+    # posexplode_outer, as the filter that posexplode implies would cut the text a second time
+    cells = F.posexplode_outer("cut").alias("pos", "key")
+    rows = rows.select("uid", "doc_id", "ref", F.sha2("norm", 256).alias("sha"), F.size("cut").alias("blocks"), cells)
     return rows.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha")))
 
 
@@ -85,7 +94,8 @@ def identities(docs: DataFrame, text: Column | None = None, block_chars: int = B
     text = lower_ascii(text_or_empty()) if text is None else text
     length = F.greatest(F.lit(1), F.ceil(F.char_length(text_or_empty()) / block_chars))
     n = docs.agg(F.sum(length)).first()[0] or 0
-    base = staged(named(block_rows(docs, text, block_chars), n), "block-names")
+    of = lambda refs: block_rows(docs.filter(ref().isin(refs)), text, block_chars)
+    base = staged(named(block_rows(docs, text, block_chars), n, of).drop("ref"), "block-names")
     last = lambda level, rows: rows.select("uid", F.concat_ws(":", F.lit(level), "name").alias("key"))
     done = [last(0, base.filter("blocks = 1"))]
     rows = base.filter("blocks > 1").select("uid", "blocks", "pos", "name")
@@ -94,7 +104,7 @@ def identities(docs: DataFrame, text: Column | None = None, block_chars: int = B
         side = lambda odd: F.max(F.when(F.col("pos") % 2 == odd, F.col("name")))
         half = F.floor(F.col("pos") / 2).cast("int").alias("pos")
         pairs = rows.groupBy("uid", F.ceil(F.col("blocks") / 2).cast("int").alias("blocks"), half).agg(side(0).alias("a"), side(1).alias("b"))
-        pairs = staged(pairs.select("uid", "blocks", "pos", F.concat_ws(":", "a", F.coalesce(F.col("b").cast("string"), F.lit(""))).alias("key")), "pairs")
+        pairs = staged(pairs.select("uid", "blocks", "pos", F.concat_ws(":", "a", F.coalesce(F.col("b").cast("string"), F.lit(""))).alias("key"), F.col("uid").alias("ref")), "pairs")
         rows = staged(named(pairs, pairs.count()), "pair-names")
         done.append(last(level, rows.filter("blocks = 1")))
         rows = rows.filter("blocks > 1")
