@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, staged, table, text_or_empty
@@ -124,6 +124,22 @@ def exact_groups(docs: DataFrame, text: Column | None = None, block_chars: int =
     return found.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, text: Column | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each group of equal texts."""
+    text = lower_ascii(text_or_empty()) if text is None else text
+    rows = exact_groups(docs, text, block_chars).filter(~F.col("kept"))
+    rows = staged(rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.coalesce("keep_id", F.lit(NO_ID)).alias("_keep"), F.col("text_sha256").alias("_sha")), "copies")
+    same = lambda other: (ref() == other["_id"]) & (F.sha2(text, 256) == other["_sha"])
+    gone = rows.filter("_id <> _keep").select("_id", "_sha").distinct()
+    left = docs.join(gone, same(gone), "left_anti")
+    repeated = rows.filter("_id = _keep").select("_id", "_sha").distinct()
+    if repeated.isEmpty():
+        return left
+    one = Window.partitionBy(ref(), F.sha2(text, 256)).orderBy(F.lit(1))
+    first = left.join(repeated, same(repeated), "left_semi").withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    return left.join(repeated, same(repeated), "left_anti").unionByName(first)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 

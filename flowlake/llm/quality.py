@@ -228,11 +228,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not rejected.
 
-    The features of all rows are computed for training once; the rows are scored where they are read.
+    Training takes the narrow features of all rows; the rows themselves are scored where they are
+    read, so no text is shuffled.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = train(with_features(narrow.join(wanted, "doc_id", "left_semi"), ["doc_id"]), labels)
+    model = train(with_features(narrow, ["doc_id"]), labels)
     small_batches(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fingerprints import op2_fingerprints
 from .html_text import op10_html_text
+from .near_dedup import op4_near_dedup
+from .packing import op5_packing
 from .pieces import op6_pieces
 from .pii import op8_pii
 from .quality import op9_quality
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_fingerprints": op2_fingerprints,
     "op3_sharding": op3_sharding,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_packing": op5_packing,
     "op6_pieces": op6_pieces,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pii": op8_pii,
