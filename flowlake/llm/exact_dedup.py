@@ -136,7 +136,9 @@ def keep_one(docs: DataFrame, text: Column | None = None, block_chars: int = BLO
     if repeated.isEmpty():
         return left
     one = Window.partitionBy(ref(), F.sha2(text, 256)).orderBy(F.lit(1))
-    first = left.join(repeated, same(repeated), "left_semi").withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    number = "row_number_" + "_".join(left.columns)  # a name that no column has
+    first = left.join(repeated, same(repeated), "left_semi").withColumn(number, F.row_number().over(one))
+    first = first.filter(F.col(f"`{number}`") == 1).drop(number)
     return left.join(repeated, same(repeated), "left_anti").unionByName(first)
 
 

@@ -288,9 +288,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, k: int = SKETCH) -> DataFrame:
     ties = one.filter("ties > 1").select(F.col("component_id").alias("_c"), "best")
     gone = rows.join(ties, F.col("component_id").eqNullSafe(F.col("_c")), "left")
     gone = gone.filter(~F.col("kept") | (F.col("text_hash") > F.col("best")))
-    gone = gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = staged(gone, "near-copies")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(staged(gone, "near-copies"), (own == F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti")
+    return docs.join(gone, (own == gone["gone_id"]) & (text_hash() == gone["gone_hash"]), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

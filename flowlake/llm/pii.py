@@ -102,7 +102,7 @@ TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 CUES = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|credential|bearer|auth|api[ _-]?key|access[ _-]?key|private[ _-]?key)\b")
 PLAIN_CUES = re.compile(r"(?i)\b(?:version|license|licence|page|chapter|section|copyright|edition|number|year)\b")
 KEY_SHAPES = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}|[0-9a-f]{16,}|[0-9A-F]{16,}")
-PLAIN_SHAPES = re.compile(r"[0-9]{1,8}|[0-9]+[-/][0-9/-]+|[A-Za-z]+[-_]?[0-9]{1,3}|[0-9]{1,3}[a-z]{1,3}")
+PLAIN_SHAPES = re.compile(r"[0-9]{1,8}|[0-9]+[-/][0-9/-]+|[A-Za-z]{1,12}[-_]?[0-9]{1,3}|[0-9]{1,3}[a-z]{1,3}")
 ASSIGNED = re.compile(r"[=:]\s?[\"']?$")
 REACH = 24
 LABELERS = ("key_shape", "plain_shape", "cue_words", "plain_words", "assigned", "mixed")

@@ -10,8 +10,8 @@ text's bins, through the logistic function, so scoring is a few vectorised addit
 Labels, language, source and id never enter a score.
 
 Defined cases: a null text counts as empty and is scored like any other; labels that are null or
-other than 0 and 1 teach nothing; without labels of both kinds every score is the share of ones (0.5
-without any); repeated rows and ids are separate rows; an empty table gives an empty result.
+other than 0 and 1 teach nothing; without labels of both kinds every score is the share of ones, kept
+between 0.001 and 0.999 (0.5 without any label); repeated rows and ids are separate rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def fit(
         return Additive(0.0)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Additive(float(np.log(share / (1 - share))))
-    if y.min() == y.max():
+    if y.min() == y.max():  # one kind of label only
         return model
     d = x.shape[1]
     model.edges = [cuts(x[:, j], bins) for j in range(d)]
@@ -200,8 +200,8 @@ def train(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
     if n > max_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     sample = rows.join(known, "doc_id").select("doc_id", "quality", "_features").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    x = np.array(sample.column("_features").combine_chunks().flatten()).reshape(len(sample), -1).astype(float)
-    return fit(x.reshape(len(sample), -1), sample.column("quality").to_numpy().astype(float))
+    x = np.array(sample.column("_features").combine_chunks().flatten()).reshape(len(sample), len(FEATURES)).astype(float)
+    return fit(x, sample.column("quality").to_numpy().astype(float))
 
 
 def score(rows: DataFrame, model: Additive, keep: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -209,7 +209,7 @@ def score(rows: DataFrame, model: Additive, keep: Sequence[str], threshold: floa
     schema = rows.select(*keep).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array(batch.column("_features").flatten()).reshape(batch.num_rows, -1).astype(float)
+        x = np.array(batch.column("_features").flatten()).reshape(batch.num_rows, len(FEATURES)).astype(float)
         p = model.score(x)
         return pa.RecordBatch.from_arrays([
             *(batch.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())
