@@ -11,13 +11,17 @@ probability below 1e-6; sets that are retained whole share at least 0.8 of their
 So two linked classes meet in the inverted list of one of their rarest retained values: of ``len``
 values, the ``len - least + 1`` rarest suffice. Values of a single class have no list.
 
-Pairs. No list is expanded into all its pairs. In a star round each list links its members to one
-pivot of the list. The union sketch estimates each pair, exact Jaccard on the full sets verifies the
-best one of each member, and components are formed. Members of one component need no further pair.
-Lists that still hold several components then compare the members outside their largest component
-with the members of other components; that covers every remaining pair of every list. While that
-would cost more than ``PATIENCE`` pairs per list entry, another star round with new pivots comes
-first.
+Pairs. No list is expanded into all its pairs. In a star round each member meets the pivots of its
+``STAR_LISTS`` longest lists: the ``STAR_PIVOTS`` members that share most of their sketches with others,
+or random ones in further rounds. The union sketch estimates each pair, exact Jaccard on the full sets verifies the ``BEST`` ones of each
+member, and components are formed. Members of one component need no further pair. Lists that still
+hold several components then compare the members outside their largest component with the members of
+other components; that covers every remaining pair of every list. While that would try more than
+``PATIENCE`` pairs per list entry, another star round with new pivots comes first, ``STAR_ROUNDS`` at most.
+
+A bitmap of ``BITS`` bits rules most pairs out where they meet: each bit that one of two sets has alone
+is a value that they do not share, which bounds their intersection. It marks the whole set up to
+``BITS`` values, where the bound is exact, and the sketch beyond.
 
 Components are contracted along smallest neighbours, with pointer jumping, in staged tables; links
 and components never reach the driver.
@@ -36,7 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -44,7 +48,8 @@ from .common import map_batches, small_batches, staged, table, text_or_empty, te
 
 WORDS, SKETCH, LEAST_SHARED = 5, 64, 34
 PERCENT = 80
-PATIENCE, STAR_ROUNDS = 8, 6
+BITS, STAR_LISTS, STAR_PIVOTS = 256, 2, 8
+PATIENCE, STAR_ROUNDS, BEST = 8, 3, 3
 NO_ID = -(2**63)
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31, _ONE = (np.uint64(x) for x in (30, 27, 31, 1))
@@ -82,37 +87,72 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """doc_id, text_hash, n, sig (of the whole set) and sketch of every document."""
+    """doc_id, text_hash, n, sig (of the whole set), sketch and bitmap of every document."""
     small_batches(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, words) for t in texts_of(batch)]
         short = [s[:k] for s in sets]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in short])]).astype(np.int32)
+        lengths = np.array([len(s) for s in short])
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        values = np.concatenate(short)
+        marks = np.zeros((len(sets), BITS), bool)
+        marked = [s if len(s) <= BITS else s[:k] for s in sets]
+        marks[np.repeat(np.arange(len(sets)), [len(s) for s in marked]), np.concatenate(marked) % BITS] = True
+        bits = np.packbits(marks, axis=1, bitorder="little").view("<i8")
         return pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(short), pa.int64())),
-        ], names=["doc_id", "text_hash", "n", "sig", "sketch"])
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64())), pa.array(list(bits), pa.list_(pa.int64())),
+        ], names=["doc_id", "text_hash", "n", "sig", "sketch", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_or_empty().alias("text"))
-    return rows.mapInArrow(lambda b: map_batches(b, work), "doc_id bigint, text_hash bigint, n bigint, sig binary, sketch array<bigint>")
+    return rows.mapInArrow(lambda b: map_batches(b, work), "doc_id bigint, text_hash bigint, n bigint, sig binary, sketch array<bigint>, bits array<bigint>")
 
 
 # ---- candidates ----------------------------------------------------------------------------------
 
 
+def least_shared(k: int) -> Column:
+    """Values that a set of ``n`` must share, of those that both sketches retain, with any set it links to."""
+    exact = F.ceil(F.col("n") * PERCENT / 100)
+    return F.when(F.col("n") * 100 <= k * PERCENT, exact).otherwise(F.least(exact, F.lit(LEAST_SHARED * k // SKETCH)))
+
+
 def prefixes(classes: DataFrame, k: int) -> DataFrame:
-    """(value, node, n): the inverted lists of the rarest retained values that can decide a link."""
+    """The inverted lists of the rarest retained values that can decide a link: value, from_end (place
+    among the class's entries, the most frequent first), node, n, take, slack, bits."""
     # three values or fewer: similarity 0.8 needs equal sets
-    retained = classes.filter("n > 3").select("node", "n", F.size("sketch").alias("len"), F.explode("sketch").alias("value"))
+    large = classes.filter("n > 3").withColumn("len", F.size("sketch"))
+    retained = large.select("node", "n", "len", F.explode("sketch").alias("value"))
     shared = staged(retained.groupBy("value").count().filter("count > 1"), "frequencies")
-    exact = F.ceil(F.col("n") * PERCENT / 100)
-    least = F.when(F.col("n") * 100 <= k * PERCENT, exact).otherwise(F.least(exact, F.lit(LEAST_SHARED * k // SKETCH)))
     known = retained.join(shared, "value").groupBy("node", "n", "len").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("known"))
-    take = F.size("known") - least + 1  # the len - size(known) values of this class alone come first
+    take = F.size("known") - least_shared(k) + 1  # the len - size(known) values of this class alone come first
     known = known.withColumn("take", take.cast("int")).filter("take > 0")
-    lists = known.select("node", "n", F.explode(F.slice("known", F.lit(1), F.col("take"))).alias("x"))
-    return lists.select("x.value", "node", "n")
+    lists = known.select("node", "n", "take", F.posexplode(F.slice("known", F.lit(1), F.col("take"))).alias("i", "x"))
+    lists = lists.select("x.value", (F.col("take") - F.col("i")).alias("from_end"), "node", "n", "take")
+    slack = (F.col("len") - least_shared(k)).cast("int").alias("slack")
+    return lists.join(large.select("node", slack, *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]), "node")
+
+
+MEMBER = ["node", "n", "slack", *[f"b{i}" for i in range(BITS // 64)]]
+
+
+def named_member(prefix: str) -> list[Column]:
+    return [F.col(c).alias(f"{prefix}_{c}") for c in MEMBER]
+
+
+def may_link() -> Column:
+    """Whether sizes and bitmaps of the members x and y allow a link."""
+
+    def side(a: str, b: str) -> Column:
+        ones = [F.bit_count(F.col(f"{a}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{i}")))) for i in range(BITS // 64)]
+        na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+        # values of a that b may lack: by the sizes where both bitmaps are whole, else by the sketch of a
+        whole = F.floor(na - (na + nb) * (PERCENT / (100 + PERCENT)) + 1e-6)
+        most = F.when((na <= BITS) & (nb <= BITS), whole).when(na > BITS, F.col(f"{a}_slack")).otherwise(BITS)
+        return sum(ones[1:], ones[0]) <= most
+
+    return near_size("x_n", "y_n") & side("x", "y") & side("y", "x")
 
 
 def near_size(a: str, b: str) -> Column:
@@ -124,11 +164,14 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Every member of a list with the pivot of that list."""
+    """Members of lists with the pivots of the list."""
     order = F.xxhash64("node", F.lit(seed))
-    pivots = lists.groupBy("value").agg(F.count("*").alias("size"), F.min_by("node", order).alias("y"), F.min_by("n", order).alias("m"))
-    met = lists.join(pivots.filter("size > 1"), "value").filter(F.col("node") != F.col("y")).filter(near_size("n", "m"))
-    return ordered_pairs(met.select(F.col("node").alias("x"), "y"))
+    near = lists.filter(F.col("from_end") <= STAR_LISTS)
+    first = [F.desc("take"), order] if seed == 0 else [order]
+    place = F.row_number().over(Window.partitionBy("value").orderBy(*first))
+    pivots = near.withColumn("place", place).filter(F.col("place") <= STAR_PIVOTS).select("value", *named_member("y"))
+    met = near.select("value", *named_member("x")).join(pivots, "value").filter((F.col("x_node") != F.col("y_node")) & may_link())
+    return ordered_pairs(met.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -146,9 +189,10 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 
 def best_of_each(pairs: DataFrame) -> DataFrame:
-    """For each node the pair with the most shared values."""
+    """For each node the ``BEST`` pairs with the most shared values."""
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared").union(pairs.select("b", "a", "shared"))
-    return ordered_pairs(ends.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y")))
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))
+    return ordered_pairs(ends.withColumn("place", place).filter(F.col("place") <= BEST))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -212,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def mixed_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(value, node, n, comp, major): the members of the lists that hold more than one component."""
+    """The members, with comp and major, of the lists that hold more than one component."""
     if labels is None:
         marked = lists.withColumn("comp", F.col("node"))
     else:
@@ -229,17 +273,18 @@ def cross_cost(mixed: DataFrame) -> int:
 
 def cross_pairs(mixed: DataFrame) -> DataFrame:
     """Members outside the largest component of a list with the members of other components."""
-    outside = mixed.filter("comp <> major").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    other = mixed.select("value", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "major")
-    met = outside.join(other, "value").filter(F.col("cx") != F.col("cy")).filter((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
-    return ordered_pairs(met.filter(near_size("nx", "ny")).select("x", "y"))
+    outside = mixed.filter("comp <> major").select("value", *named_member("x"), F.col("comp").alias("cx"))
+    other = mixed.select("value", *named_member("y"), F.col("comp").alias("cy"), "major")
+    once = (F.col("cy") == F.col("major")) | (F.col("x_node") < F.col("y_node"))
+    met = outside.join(other, "value").filter((F.col("cx") != F.col("cy")) & once & may_link())
+    return ordered_pairs(met.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash of every document."""
     base = staged(sketches(docs, words, k), "sketches")
     classes = base.filter("n > 0").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    classes = classes.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = classes.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     lists = staged(prefixes(classes, k), "prefixes")
     entries = lists.count()
