@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.operators.metrics import auc_from_points, confusion, score_counts
-from flowlake.operators.ordered import attach_row, running_totals, value_bounds
+from flowlake.operators.metrics import confusion, score_counts
+from flowlake.operators.ordered import attach_row
 
 CELLS = ("tn", "fp", "fn", "tp")
 
@@ -71,11 +71,11 @@ def weighted_cells(cells: DataFrame, weight: str, identity: Sequence[str], resam
                 out[i] = np.random.default_rng([seed, int(r), int(c) & 0xFFFFFFFFFFFF]).poisson(k)
         return pd.Series(out)
 
-    many = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("long"))
+    many = cells.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
     return many.withColumn("w", poisson(F.col(weight), F.col("b"), F.xxhash64(*identity)))
 
 
-def metric_ci(df: DataFrame, y: str = "y", score: str = "score", threshold: float = 0.5, resamples: int = 200, seed: int = 42) -> DataFrame:
+def metric_ci(df: DataFrame, y: str = "y", score: str = "score", threshold: float = 0.5, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Intervals for any metric of (label, prediction): Poisson bootstrap over the four outcome cells."""
     pred = (F.col(score) >= threshold).cast("int")
     cells = df.groupBy(F.col(y).cast("int").alias("y"), pred.alias("p")).agg(F.count("*").alias("n"))
@@ -96,23 +96,42 @@ def _metric_rows(per: DataFrame, keys: Sequence[str] = ("b",)) -> DataFrame:
     return per.select(*keys, rows.alias("m")).select(*keys, "m.*")
 
 
-def auc_ci(df: DataFrame, y: str = "y", score: str = "score", resamples: int = 100, seed: int = 42) -> DataFrame:
+def auc_ci(df: DataFrame, y: str = "y", score: str = "score", resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Class-stratified resamples of the per-score counts and the exact AUC of each.
 
-    Draws are made per (score, class); the AUC of a resample sums over value ranges. The B-fold table
-    holds distinct scores times B, spread by (b, value range)."""
+    Scores are range-partitioned once. A task keeps one running sum per resample and class and emits one
+    row of arrays; the rows of all tasks, in score order, give the pairs that cross tasks. Each class
+    keeps its size: its resampled counts are scaled to it, which leaves the AUC of a resample unchanged."""
     per = score_counts(df, y, score)
-    bounds = value_bounds(per, "_score")
-    cells = per.select("_score", F.explode(F.array(
-        F.struct(F.lit(1).alias("c"), F.col("pos").alias("n")), F.struct(F.lit(0).alias("c"), F.col("neg").alias("n")),
-    )).alias("k")).select("_score", "k.*").filter("n > 0")
-    drawn = weighted_cells(cells, "n", ["_score", "c"], resamples, seed)
-    counts = drawn.groupBy("b", "_score").agg(
-        F.sum(F.when(F.col("c") == 1, F.col("w")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("c") == 0, F.col("w")).otherwise(0)).alias("neg"),
-    )
-    aucs = auc_from_points(running_totals(counts, ["b"], "_score", ["pos", "neg"], bounds=bounds), ["b"])
-    return interval(aucs.select("b", F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")))
+    ordered = per.repartitionByRange("_score").sortWithinPartitions("_score")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, pos, neg, wins = None, np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+        for pdf in batches:
+            for s, p, n in pdf[["_score", "pos", "neg"]].itertuples(index=False, name=None):
+                first = s if first is None else first
+                rng = np.random.default_rng([seed, int(np.float64(s).view(np.uint64))])
+                got_pos, got_neg = rng.poisson(p, resamples), rng.poisson(n, resamples)
+                wins += got_pos * (neg + got_neg / 2.0)
+                pos += got_pos
+                neg += got_neg
+        if first is not None:
+            yield pd.DataFrame({"k": [0], "first": [first], "pos": [pos.tolist()], "neg": [neg.tolist()], "wins": [wins.tolist()]})
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, neg, wins = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+        for _, p, n, w in pdf.sort_values("first")[["first", "pos", "neg", "wins"]].itertuples(index=False, name=None):
+            wins += np.asarray(w) + np.asarray(p) * neg
+            pos += np.asarray(p)
+            neg += np.asarray(n)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.where(pos * neg > 0, wins / (pos * neg), np.nan)
+        return pd.DataFrame({"b": np.arange(resamples), "value": value}).dropna()
+
+    parts = ordered.mapInPandas(draw, "k int, first double, pos array<double>, neg array<double>, wins array<double>")
+    # one row per task of the draw, so this last group is as small as the number of partitions
+    aucs = parts.groupBy("k").applyInPandas(combine, "b long, value double")
+    return interval(aucs.withColumn("metric", F.lit("roc_auc")))
 
 
 def paired_test(draws: DataFrame, keys: Sequence[str] = ("metric",)) -> DataFrame:
@@ -128,7 +147,7 @@ def paired_test(draws: DataFrame, keys: Sequence[str] = ("metric",)) -> DataFram
     }).drop("_le", "_ge")
 
 
-def paired_comparison(df: DataFrame, y: str, score_a: str, score_b: str, threshold: float = 0.5, resamples: int = 200, seed: int = 42) -> DataFrame:
+def paired_comparison(df: DataFrame, y: str, score_a: str, score_b: str, threshold: float = 0.5, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Same resamples for both detectors: the eight cells (label, prediction A, prediction B) are drawn
     together, so every row's weight is shared."""
     p = lambda s: (F.col(s) >= threshold).cast("int")
@@ -148,7 +167,7 @@ def paired_comparison(df: DataFrame, y: str, score_a: str, score_b: str, thresho
     return point.join(paired_test(delta(drawn, "w", ["b"])), "metric")
 
 
-def paired_cost_comparison(log_a: DataFrame, log_b: DataFrame, cost: str = "total_cost", seq: str = "seq", resamples: int = 200, seed: int = 42) -> DataFrame:
+def paired_cost_comparison(log_a: DataFrame, log_b: DataFrame, cost: str = "total_cost", seq: str = "seq", resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Resampled mean of the per-flow cost difference. Costs come from small matrices, so differences
     take few distinct values and are counted before they are drawn."""
     diff = log_a.select(seq, F.col(cost).alias("_a")).join(log_b.select(seq, F.col(cost).alias("_b")), seq)

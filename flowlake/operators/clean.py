@@ -46,6 +46,14 @@ FAMILIES = {
 # Vocabularies of the strict binary label.
 BENIGN_WORDS = ["0", "0.0", "0.00", "BENIGN", "NORMAL", "FALSE", "NON-ATTACK", "CLEAN", "LEGITIMATE"]
 ATTACK_WORDS = ["1", "1.0", "1.00", "ATTACK", "TRUE", "MALICIOUS", "ANOMALY", "INTRUSION"]
+ATTACK_NAMES = [
+    "DOS HULK", "DOS GOLDENEYE", "DOS SLOWLORIS", "DOS SLOWHTTPTEST", "HEARTBLEED", "DDOS", "PORTSCAN", "FTP-PATATOR",
+    "SSH-PATATOR", "WEB ATTACK - BRUTE FORCE", "WEB ATTACK - XSS", "WEB ATTACK - SQL INJECTION", "INFILTRATION", "BOT",
+    "DOS ATTACKS-HULK", "DOS ATTACKS-SLOWHTTPTEST", "DOS ATTACKS-GOLDENEYE", "DOS ATTACKS-SLOWLORIS", "DDOS ATTACK-HOIC",
+    "DDOS ATTACK-LOIC-UDP", "DDOS ATTACKS-LOIC-HTTP", "BRUTE FORCE -WEB", "BRUTE FORCE -XSS", "SQL INJECTION",
+    "INFILTERATION", "FTP-BRUTEFORCE", "SSH-BRUTEFORCE", "GENERIC", "EXPLOITS", "FUZZERS", "DOS", "RECONNAISSANCE",
+    "ANALYSIS", "BACKDOOR", "SHELLCODE", "WORMS", "PORT SCAN", "BACKDOORS",
+]
 ATTACK_PARTS = [
     "DDOS", "DOS ", "DOS-", "PORTSCAN", "PORT SCAN", "BRUTE FORCE", "PATATOR", "INFILTRATION",
     "INFILTERATION", "BOTNET", "BOT", "EXPLOIT", "FUZZER", "SHELLCODE", "WORM",
@@ -93,8 +101,9 @@ def apply_contract(df: DataFrame, label: str, dataset: str) -> DataFrame:
     """Normalized, canonical, binary and family columns; labels outside the contract are UNKNOWN / -1.
     ``label_family`` is the normalized label, ``attack_family`` the family map."""
     table = F.broadcast(label_table(df.sparkSession, dataset))
+    folded = fold_compatibility(df.withColumn("_plain", F.col(label).cast("string")), "_plain")
     return (
-        df.withColumn("normalized_label", normalize_label(F.col(label)))
+        folded.withColumn("normalized_label", normalize_label(F.col("_plain"))).drop("_plain")
         .join(table, "normalized_label", "left")
         .withColumns({
             "canonical_label": F.coalesce("canonical_label", F.lit("UNKNOWN")),
@@ -152,17 +161,22 @@ def drop_repeated_header(df: DataFrame, label: str) -> DataFrame:
     )
 
 
+def label_errors(df: DataFrame, label: str) -> DataFrame:
+    """The rows whose strict label is undefined, per label text."""
+    bad = df.filter(strict_binary_label(F.col(label)).isNull())
+    return bad.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows_in_error"))
+
+
 def strict_binary_label(label: Column) -> Column:
     """0, 1 or NULL for a row in error."""
     text = F.upper(F.trim(label.cast("string")))
     number = text.try_cast("double")
-    words = [k for d in FAMILIES.values() for k in d] + ["PORT SCAN", "BACKDOORS"]
     part = any_of([text.contains(p) for p in ATTACK_PARTS])
     return (
         F.when(text.isNull() | (text == ""), F.lit(None).cast("int"))
         .when(number.isNotNull(), F.when(number == 0, 0).when(number == 1, 1))
         .when(text.isin(BENIGN_WORDS), 0)
-        .when(text.isin(ATTACK_WORDS) | text.isin(words) | part, 1)
+        .when(text.isin(ATTACK_WORDS) | text.isin(ATTACK_NAMES) | part, 1)
     )
 
 
@@ -206,11 +220,11 @@ def prohibited_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if banned(c.strip().lower())]
 
 
-def tag_duplicates(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], hot_rows: int = 1_000_000) -> DataFrame:
+def tag_duplicates(df: DataFrame, keys: Sequence[str], row_id: Sequence[str]) -> DataFrame:
     """Mark every member of a duplicated vector."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_copies"))
     return (
-        spread_lookup(df, counts, keys, "_copies", row_id, hot_rows=hot_rows)
+        spread_lookup(df, counts, keys, "_copies", row_id)
         .withColumn("is_duplicate", F.col("_copies") > 1).drop("_copies")
     )
 
@@ -247,24 +261,23 @@ def conflict_examples(vectors: DataFrame, features: Sequence[str], n: int = 10)
 
 def resolve_conflicts(
     df: DataFrame, vectors: DataFrame, features: Sequence[str], row_id: Sequence[str], policy: str = "reject_conflicts",
-    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """``reject_conflicts`` drops every row of a conflicting vector, ``keep_first`` drops none here."""
     if policy == "keep_first":
         return df
     table = vectors.select(*features, "copies", "label_conflict")
     return (
-        spread_lookup(df, table, features, "copies", row_id, hot_rows=hot_rows)
+        spread_lookup(df, table, features, "copies", row_id)
         .filter(~F.col("label_conflict")).select(*df.columns)
     )
 
 
 def conflict_members(
-    df: DataFrame, vectors: DataFrame, features: Sequence[str], row_id: Sequence[str], hot_rows: int = 1_000_000
+    df: DataFrame, vectors: DataFrame, features: Sequence[str], row_id: Sequence[str]
 ) -> DataFrame:
     table = vectors.select(*features, "copies", "label_conflict")
     return (
-        spread_lookup(df, table, features, "copies", row_id, hot_rows=hot_rows)
+        spread_lookup(df, table, features, "copies", row_id)
         .filter("label_conflict").select(*df.columns)
     )
 
@@ -291,6 +304,55 @@ def accounting(tagged: DataFrame, file: str, reason: str, reasons: Sequence[str]
     return per.withColumn("reconciles", F.col("raw_rows") - removed == F.col("final_rows"))
 
 
+# Removal reasons in the order in which they are charged.
+REASONS = ("duplicate_row", "unknown_label", "negative_duration", "non_finite", "label_conflict", "duplicate_vector")
+DUPLICATE_POLICIES = ("deduplicate", "retain", "none")
+CONFLICT_POLICIES = ("reject_conflicts", "keep_first")
+
+
+def duplicate_policy(df: DataFrame, keys: Sequence[str], order: str, policy: str = "deduplicate") -> DataFrame:
+    """``deduplicate`` keeps the first row of each vector, ``retain`` marks the copies, ``none`` does neither."""
+    if policy not in DUPLICATE_POLICIES:
+        raise ValueError(f"unknown duplicate policy {policy!r}; known: {', '.join(DUPLICATE_POLICIES)}")
+    if policy == "deduplicate":
+        return dedup_first(df, keys, [order])
+    return tag_duplicates(df, keys, [order]) if policy == "retain" else df
+
+
+def tag_removals(
+    raw: DataFrame, dataset: str, *, columns: Sequence[str], features: Sequence[str], label: str, duration: str, order: str,
+    conflicts: str = "reject_conflicts",
+) -> DataFrame:
+    """Label columns and ``removal_reason`` for every raw row, NULL where the row stays.
+
+    A row is charged to the first reason of ``REASONS`` that applies; conflicts and repeated vectors are
+    judged among the rows that the earlier reasons leave. ``order`` is a unique row order."""
+    if conflicts not in CONFLICT_POLICIES:
+        raise ValueError(f"unknown conflict policy {conflicts!r}; known: {', '.join(CONFLICT_POLICIES)}")
+    firsts = raw.groupBy(*columns).agg(F.min(order).alias("_first"), F.count("*").alias("_w"))
+    rows = apply_contract(spread_lookup(raw, firsts, columns, "_w", [order]).drop("_w"), label, dataset)
+    d = F.col(duration).try_cast("double")
+    early = (
+        F.when(F.col(order) != F.col("_first"), REASONS[0]).when(F.col("canonical_label") == "UNKNOWN", REASONS[1])
+        .when(d < 0, REASONS[2]).when(~all_of([is_finite(f) for f in features]), REASONS[3])
+    )
+    rows = rows.withColumn("removal_reason", early).drop("_first")
+    left = rows.filter(F.col("removal_reason").isNull())
+    both = (F.min("binary_label") != F.max("binary_label")).alias("_conflict")
+    vectors = left.groupBy(*features).agg(both, F.min(order).alias("_first"), F.count("*").alias("_w"))
+    if conflicts == "keep_first":
+        vectors = vectors.withColumn("_conflict", F.lit(False))
+    judged = spread_lookup(rows, vectors, features, "_w", [order])
+    late = F.when(F.col("_conflict"), REASONS[4]).when(F.col(order) != F.col("_first"), REASONS[5])
+    reason = F.when(F.col("removal_reason").isNull(), late).otherwise(F.col("removal_reason"))
+    return judged.withColumn("removal_reason", reason).drop("_conflict", "_first", "_w")
+
+
+def population(tagged: DataFrame) -> DataFrame:
+    """The rows of ``tag_removals`` that stay."""
+    return tagged.filter(F.col("removal_reason").isNull()).drop("removal_reason")
+
+
 def dataset_summary(labelled: DataFrame, family: str, file: str, y: str = "y") -> DataFrame:
     """Rows, benign, attack overall, per family and per file in one pass."""
     labelled = labelled.select(F.col(family).alias("family"), F.col(file).alias("source_file"), F.col(y).alias("y"))
@@ -299,7 +361,7 @@ def dataset_summary(labelled: DataFrame, family: str, file: str, y: str = "y") -
     ).agg(
         F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"),
         F.count_if(F.col("y") == 0).alias("benign"), F.count_if(F.col("y") == 1).alias("attack"),
-    ).withColumn("imbalance", F.try_divide(F.col("benign").cast("double"), F.col("attack").cast("double")))
+    ).withColumn("imbalance", F.col("benign").cast("double") / F.greatest(F.col("attack"), F.lit(1)))
 
 
 def class_distribution(df: DataFrame, split: str, y: str = "y") -> DataFrame:

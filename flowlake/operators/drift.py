@@ -36,7 +36,7 @@ def shifts(stats: DataFrame, population: str, source: str, target: str) -> DataF
     return side(source, "s").join(side(target, "t"), "feature").select(
         "feature", (F.col("t_mean") - F.col("s_mean")).alias("mean_shift"),
         (F.col("t_median") - F.col("s_median")).alias("median_shift"),
-        ratio(F.col("t_std"), F.col("s_std")).alias("std_ratio"),
+        (F.col("t_std") / F.greatest("s_std", F.lit(1e-9))).alias("std_ratio"),
     )
 
 

@@ -12,11 +12,15 @@ from flowlake.operators.splits import hash_ranked
 
 
 def event_filter(df: DataFrame, *, source_ip: str | None = None, severity: str | None = None, verdict: str | None = None, mode: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Conjunction of the given conditions; None and ``ALL`` mean no condition. Plain comparisons on
-    plain columns, so they reach the Parquet scan."""
-    wanted = {"source_ip": source_ip, "severity": severity, "hybrid_verdict": verdict, "source_mode": mode}
+    """Conjunction of the given conditions; None, blanks and ``ALL`` mean no condition. Severity and
+    verdict are wanted in any case. Plain comparisons on plain columns, so they reach the Parquet scan."""
+    clean = lambda v, upper: None if v is None else (v.strip().upper() if upper else v.strip())
+    wanted = {
+        "source_ip": clean(source_ip, False), "severity": clean(severity, True),
+        "hybrid_verdict": clean(verdict, True), "source_mode": clean(mode, False),
+    }
     for column, value in wanted.items():
-        if value is not None and value != "ALL":
+        if value and value.upper() != "ALL":
             df = df.filter(F.col(column) == value)
     if start is not None:
         df = df.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
@@ -26,8 +30,8 @@ def event_filter(df: DataFrame, *, source_ip: str | None = None, severity: str |
 
 
 def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """Page ``number`` (clamped to the last page) and a row with totals."""
-    size = max(1, min(int(size), 1000))
+    """Page ``number`` (clamped to the last page) of ``size`` rows and a row with totals."""
+    size = max(1, int(size))
     total = df.agg(F.count("*").alias("total_rows"))
     totals = total.select(
         "total_rows", F.greatest(F.ceil(F.col("total_rows") / size), F.lit(1)).cast("long").alias("total_pages")
@@ -36,6 +40,11 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int) -
     return df.orderBy(*order).offset(size * (at - 1)).limit(size), totals
 
 
+def list_events(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
+    """A listing of events, newest first; a listing shows 1 to 1000 of them."""
+    return df.orderBy(F.desc("ts"), F.desc("event_id")).offset(max(0, int(offset))).limit(max(1, min(int(n), 1000)))
+
+
 def recent_events(df: DataFrame, n: int) -> DataFrame:
     """Newest first, event id as tie-break; the limit is kept within 1..1000."""
     return df.orderBy(F.desc("ts"), F.desc("event_id")).limit(max(1, min(int(n), 1000)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators.chains import leading_rows
 from flowlake.operators.ordered import (
-    DAY, _join_chunk, attach_row, carry_sum, gap_sessions, spread_lookup, time_chunk, with_halo,
+    DAY, _join_chunk, attach_row, carry_sum, following, gap_sessions, micros, spread_lookup, time_chunk, with_halo,
 )
 
 FLAGS = ("syn", "ack", "rst", "fin", "psh", "urg")
@@ -44,14 +44,19 @@ def flow_split(
     )
     if max_life_s is None:
         return seq.withColumnRenamed("_island", "flow_seq").drop("_end")
-    marked = leading_rows(
-        seq, ["flow_key", "_island"], "ts", ["pkt_id"], max_life_s, strict=True, chunk_s=chunk_s,
-        out="_start",
-    )
+    # the lifetime can only cut an island that lasts longer; only the rows of those are walked
+    key = ["flow_key", "_island"]
+    span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    long_islands = seq.groupBy(*key).agg(span.alias("_span")).filter(F.col("_span") > micros(max_life_s)).select(*key)
+    rows = seq.select(*key, "ts", "pkt_id").join(long_islands, key, "left_semi")
+    led = leading_rows(rows, key, "ts", ["pkt_id"], max_life_s, strict=True, chunk_s=chunk_s, out="_start").filter("_start")
+    head = led.groupBy(*key).agg(F.min(F.struct("ts", "pkt_id")).alias("_head"))
+    cuts = led.join(head, key).filter(F.struct("ts", "pkt_id") != F.col("_head")).select("flow_key", "pkt_id", F.lit(True).alias("_cut"))
+    marked = seq.join(cuts, ["flow_key", "pkt_id"], "left").withColumn("_cut", F.coalesce("_cut", F.lit(False)))
     return (
-        numbered_starts(marked, ["flow_key"], "_start", chunk_s)
-        .withColumnRenamed("_run", "flow_seq")
-        .drop("_end", "_island", "_start")
+        numbered_starts(marked, ["flow_key"], "_cut", chunk_s)
+        .withColumn("flow_seq", F.col("_island") + F.col("_run"))
+        .drop("_end", "_island", "_cut", "_run")
     )
 
 
@@ -114,6 +119,29 @@ def flow_aggregate(split: DataFrame) -> DataFrame:
     )
 
 
+def with_close_reasons(flows: DataFrame, idle_s: float, chunk_s: float = DAY) -> DataFrame:
+    """Why each flow ended: FIN, RST, MAX_DURATION (the key went on within the idle limit), FLUSH (still
+    open when the input ends) or TIMEOUT."""
+    nxt = following(flows, F.col("start_ts"), "flow_key", "start_ts", "flow_seq", "_next_ts", chunk_s)
+    known = attach_row(nxt, flows.agg(F.max("last_ts").alias("_end_ts")))
+    within = lambda later: F.unix_micros(later) - F.unix_micros("last_ts") <= int(round(idle_s * 1_000_000))
+    flagged = F.col("closed_reason").isin("FIN", "RST")
+    reason = (
+        F.when(flagged, F.col("closed_reason"))
+        .when(F.col("_next_ts").isNotNull() & within(F.col("_next_ts")), "MAX_DURATION")
+        .when(F.col("_next_ts").isNull() & within(F.col("_end_ts")), "FLUSH").otherwise("TIMEOUT")
+    )
+    return known.withColumn("closed_reason", reason).select(*flows.columns)
+
+
+def traffic_types(packets: DataFrame) -> DataFrame:
+    """Packets and bytes per protocol."""
+    name = F.when(F.col("protocol") == 6, "TCP").when(F.col("protocol") == 17, "UDP").when(F.col("protocol") == 1, "ICMP").otherwise("OTHER")
+    return packets.groupBy(name.alias("traffic_type")).agg(
+        F.count("*").alias("packets"), F.sum(F.col("packet_length").cast("long")).alias("bytes")
+    )
+
+
 def flow_iat(split: DataFrame, idle_s: float, chunk_s: float = DAY) -> DataFrame:
     """Mean and population deviation of packet gaps per flow, in milliseconds. Gaps inside a flow are
     at most ``idle_s`` long, so that much context per slice is enough."""

@@ -66,7 +66,8 @@ def source_summary(escalated: DataFrame, key: str, ts: str, suspicious: str) ->
 
 
 def _probes(flows: DataFrame, ts: str, order: str) -> DataFrame:
-    return flows.filter(F.col("dst_port").between(1, 65535)).select(
+    named = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    return flows.filter(F.col("dst_port").between(1, 65535) & named("src_ip") & named("dst_ip")).select(
         F.trim("src_ip").alias("src_ip"), F.trim("dst_ip").alias("dst_ip"),
         F.col("dst_port").cast("long").alias("dst_port"), F.col(ts).alias("ts"),
         F.col(order).cast("long").alias("probe_id"),

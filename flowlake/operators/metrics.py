@@ -51,11 +51,13 @@ def rates(counts: DataFrame) -> DataFrame:
     p0, r0 = ratio_or_zero(tn, tn + fn), ratio_or_zero(tn, tn + fp)
     f1, f0 = ratio_or_zero(2 * tp, 2 * tp + fp + fn), ratio_or_zero(2 * tn, 2 * tn + fp + fn)
     present = (tp + fn > 0).cast("int") + (tn + fp > 0).cast("int")
+    # a class counts for the macro mean if it occurs in truth or prediction; an absent one has F1 0
+    named = (tp + fn + fp > 0).cast("int") + (tn + fp + fn > 0).cast("int")
     return counts.withColumns({
         "n": n.cast("long"), "accuracy": ratio(tp + tn, n),
         "precision": p1, "recall": r1, "f1": f1,
         "benign_precision": p0, "benign_recall": r0, "benign_f1": f0,
-        "macro_f1": (f1 + f0) / 2,
+        "macro_f1": ratio(f1 + f0, named),
         "weighted_f1": ratio(f1 * (tp + fn) + f0 * (tn + fp), n),
         "balanced_accuracy": ratio(r1 + r0, present),
         "specificity": ratio(tn, tn + fp), "fpr": ratio(fp, tn + fp), "fnr": ratio(fn, tp + fn),
@@ -233,17 +235,25 @@ def multiclass_summary(per_class: DataFrame, benign: str) -> DataFrame:
     )
 
 
+def clean_family(family: Column) -> Column:
+    """En dash, em dash and the replacement character become a hyphen."""
+    return F.translate(family, "\u2013\u2014\ufffd", "---")
+
+
 def family_metrics(df: DataFrame, family: str, y: str = "y", pred: str = "pred") -> DataFrame:
-    """Per family: support, correct, fp, fn, detection and error rate."""
-    g = df.groupBy(family).agg(
-        F.count("*").alias("support"), F.max(y).alias("is_attack"),
-        *confusion_aggs(y, pred),
+    """Per family: support, correct, fp, fn, detection and error rate. A family with any attack row is
+    an attack family, which has no false alarms; a benign one has no misses."""
+    g = df.withColumn(family, clean_family(F.col(family))).groupBy(family).agg(
+        F.count("*").alias("support"), F.max(y).alias("is_attack"), *confusion_aggs(y, pred),
     )
     attack = F.col("is_attack") == 1
+    zero = F.lit(0).cast("long")
+    correct = F.when(attack, F.col("tp")).otherwise(F.col("tn"))
+    wrong = F.when(attack, F.col("fn")).otherwise(F.col("fp"))
     return g.select(
-        family, "is_attack", "support", (F.col("tp") + F.col("tn")).alias("correct"), "fp", "fn",
-        ratio(F.when(attack, F.col("tp")).otherwise(F.col("tn")), F.col("support")).alias("detection_rate"),
-        ratio(F.col("fp") + F.col("fn"), F.col("support")).alias("error_rate"),
+        family, "is_attack", "support", correct.alias("correct"),
+        F.when(attack, zero).otherwise(F.col("fp")).alias("fp"), F.when(attack, F.col("fn")).otherwise(zero).alias("fn"),
+        ratio(correct, F.col("support")).alias("detection_rate"), ratio(wrong, F.col("support")).alias("error_rate"),
     ).orderBy("is_attack", F.desc("support"), family)
 
 
@@ -288,16 +298,20 @@ def agreement_cube(df: DataFrame, y: str, a: str, b: str, threshold: float = 0.5
 
 
 def reliability(df: DataFrame, y: str = "y", score: str = "score", bins: int = 10) -> DataFrame:
-    """Calibration bins: left-closed, the last one closed, empty bins kept."""
-    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    """Calibration bins with their edges: left-closed, the last one closed, empty bins kept. A score is
+    compared with the edges themselves; the gap keeps its sign."""
+    s = F.col(score).cast("double")
+    inner = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    b = F.size(F.filter(inner, lambda e: s >= e))
     per = df.groupBy(b.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(score).alias("mean_predicted"),
         F.avg(F.col(y).cast("double")).alias("observed"),
     )
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return grid.join(F.broadcast(per), "bin", "left").select(
-        "bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_predicted", "observed",
-        F.abs(F.col("mean_predicted") - F.col("observed")).alias("gap"),
+        "bin", (F.col("bin") / F.lit(float(bins))).alias("lower"), ((F.col("bin") + 1) / F.lit(float(bins))).alias("upper"),
+        F.coalesce("n", F.lit(0)).alias("n"), "mean_predicted", "observed",
+        (F.col("mean_predicted") - F.col("observed")).alias("gap"),
     )
 
 
@@ -305,7 +319,7 @@ def brier_ece(df: DataFrame, y: str = "y", score: str = "score", bins: int = 10)
     err = F.col(score) - F.col(y)
     brier = df.agg(F.avg(err * err).alias("brier"))
     curve = reliability(df, y, score, bins)
-    ece = curve.agg((F.sum(F.col("n") * F.coalesce("gap", F.lit(0.0))) / F.sum("n")).alias("ece"))
+    ece = curve.agg((F.sum(F.col("n") * F.coalesce(F.abs("gap"), F.lit(0.0))) / F.sum("n")).alias("ece"))
     return attach_row(brier, ece)
 
 
@@ -386,12 +400,13 @@ def fuse(a: Column, b: Column, alpha: float) -> Column:
 def tune_alpha(df: DataFrame, y: str, a: str, b: str, steps: int = 10) -> DataFrame:
     """ROC-AUC at each mixing weight; the best one, ties to the weight closest to one half.
 
-    The grid multiplies rows inside a map task only: per-score counts are combined before the shuffle."""
+    The grid multiplies distinct (label, score, score) counts, not rows, and those are combined again
+    per weight before the shuffle."""
     grid = F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)]))
     mixed = (
         df.groupBy(y, a, b).agg(F.count("*").alias("w"))
         .withColumn("alpha", grid)
-        .withColumn("_s", F.round(F.col("alpha") * F.col(a) + (1 - F.col("alpha")) * F.col(b), 12))
+        .withColumn("_s", F.col("alpha") * F.col(a) + (F.lit(1.0) - F.col("alpha")) * F.col(b))
     )
     per = mixed.groupBy("alpha", F.col("_s").alias("_score")).agg(
         F.sum(F.when(F.col(y) == 1, F.col("w")).otherwise(0)).alias("pos"),
@@ -399,7 +414,9 @@ def tune_alpha(df: DataFrame, y: str, a: str, b: str, steps: int = 10) -> DataFr
     )
     got = auc_from_points(running_totals(per, ["alpha"], "_score", ["pos", "neg"]), ["alpha"])
     near = F.abs(F.col("alpha") - 0.5)
-    best = got.agg(F.max_by("alpha", F.struct(F.round("roc_auc", 12), -near)).alias("best_alpha"))
+    # of equal weights the one closest to one half, then the first of the grid
+    order = F.struct(F.round("roc_auc", 9), F.round(-near, 9), -F.col("alpha"))
+    best = got.agg(F.max_by("alpha", order).alias("best_alpha"))
     return attach_row(got, best).withColumn("is_best", F.col("alpha") == F.col("best_alpha"))
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import is_finite, is_missing
 from flowlake.operators.clean import contract_check
+from flowlake.operators.metrics import binary_metrics
 from flowlake.operators.ordered import attach_row, exact_percentiles
-from flowlake.operators.splits import order_hash
 
 
 # ---- preprocessing -------------------------------------------------------------------------------
@@ -72,7 +72,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     per = df.groupBy(label).agg(F.count("*").alias("_c"))
     table = attach_row(per, per.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k")))
     w = table.select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 # ---- learners ------------------------------------------------------------------------------------
@@ -143,6 +143,49 @@ def multiclass_family(model, df: DataFrame, classes: Sequence[str], floor: float
     ).drop("rawPrediction", "probability", "prediction")
 
 
+def fit_families(train: DataFrame, features: Sequence[str], family: str, trees: int = 50, depth: int = 10, seed: int = 42):
+    """A forest over family names: the model and its class names (families of a label contract are few)."""
+    classes = sorted(r[0] for r in train.select(family).distinct().collect())
+    index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(family)).cast("double") - 1
+    data = balanced_weights(assemble(train, features).withColumn("_label", index), "_label")
+    model = RandomForestClassifier(
+        featuresCol="vec", labelCol="_label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2,
+    ).fit(data)
+    return model, classes
+
+
+def rung_sweep(train: DataFrame, test: DataFrame, rungs: dict[str, Sequence[str]], y: str = "y", trees: int = 20, depth: int = 6) -> DataFrame:
+    """Test metrics of a forest and a tree per feature rung, each with statistics frozen on train."""
+    out = None
+    for name, features in rungs.items():
+        frozen = freeze(fit_statistics(train, features))
+        ready = lambda df: assemble(apply_statistics(df, features, frozen), features)  # noqa: B023, E731
+        for learner, fitted in (("forest", random_forest(ready(train), y, trees, depth)), ("tree", decision_tree(ready(train), y, depth))):
+            scored = attack_score(fitted, ready(test)).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+            row = binary_metrics(scored, y).withColumns({"rung": F.lit(name), "model": F.lit(learner)})
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def transfer_eval(source: DataFrame, target: DataFrame, features: Sequence[str], y: str = "y", trees: int = 20, depth: int = 6) -> DataFrame:
+    """Fit on the source, score both populations with the source's frozen statistics."""
+    frozen = freeze(fit_statistics(source, features))
+    ready = lambda df: assemble(apply_statistics(df, features, frozen), features)
+    model = random_forest(ready(source), y, trees, depth)
+    scored = lambda df, name: attack_score(model, ready(df)).select(F.lit(name).alias("population"), y, (F.col("score") >= 0.5).cast("int").alias("pred"))
+    return binary_metrics(scored(source, "source").unionByName(scored(target, "target")), y, keys=["population"])
+
+
+def routed_union(df: DataFrame, route: str, models: dict[str, object], features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Each row scored by the model of its dataset, in one result. Rows of an unknown dataset have no score."""
+    known = list(models)
+    out = df.filter(~F.coalesce(F.col(route).isin(known), F.lit(False))).select(*keep, F.lit(None).cast("double").alias("score"))
+    for name, model in models.items():
+        part = assemble(df.filter(F.col(route) == name), features)
+        out = out.unionByName(attack_score(model, part).select(*keep, "score"))
+    return out
+
+
 # ---- isolation forest ----------------------------------------------------------------------------
 
 TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth_value double"
@@ -158,16 +201,33 @@ def _c(n: float) -> float:
 
 
 def isolation_forest(train: DataFrame, features: Sequence[str], row_id: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Trees as node rows. Each tree grows on its own subsample in its own task; the subsamples are the
-    ``trees * sample`` rows of least seeded hash, dealt round-robin (a fixed size by design)."""
-    h = order_hash(F.col(row_id), seed)
-    drawn = train.select(h.alias("_h"), *features).orderBy("_h").limit(trees * sample)
-    dealt = drawn.withColumn("tree", F.pmod(F.conv(F.substring("_h", 17, 8), 16, 10).cast("long"), F.lit(trees)).cast("int"))
-    feats = list(features)
+    """Trees as node rows. Each tree grows on its own draw of min(``sample``, n) rows, independent of the
+    other trees' draws: the rows of least hash seeded by the tree. A task keeps its ``sample`` least rows
+    per tree, so at most ``trees * sample`` rows leave a task, whatever the table."""
+    feats, size = list(features), sample
+    kinds = ", ".join(f"`{f}` double" for f in feats)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            seeds = pdf["_h"].to_numpy(np.uint64)
+            parts = [] if held is None else [held]
+            for tree in range(trees):
+                mixed = (seeds ^ np.uint64((seed * 1_000_003 + tree) & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                rank = (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)
+                at = np.argsort(rank, kind="stable")[:size]
+                parts.append(pdf.iloc[at][feats].assign(tree=tree, rank=rank[at].astype(np.int64)))
+            held = pd.concat(parts).sort_values(["tree", "rank"], kind="stable").groupby("tree").head(size)
+        if held is not None:
+            yield held[["tree", "rank", *feats]]
+
+    base = train.select(F.abs(F.xxhash64(F.col(row_id).cast("string"))).alias("_h"), *[F.col(f).cast("double").alias(f) for f in feats])
+    drawn = base.mapInPandas(least, f"tree int, rank long, {kinds}")
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
-        pdf = pdf.sort_values("_h", kind="stable")
+        pdf = pdf.sort_values("rank", kind="stable").head(size)
         x = pdf[feats].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
         limit = int(np.ceil(np.log2(max(len(x), 2))))
@@ -192,11 +252,12 @@ def isolation_forest(train: DataFrame, features: Sequence[str], row_id: str, tre
             stack.append((idx[go], depth + 1, node, 0))
         return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "depth_value"])
 
-    return dealt.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
+    return drawn.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
 
 
-def isolation_scores(df: DataFrame, features: Sequence[str], forest: DataFrame, sample: int = 256, out: str = "score") -> DataFrame:
-    """Anomaly score 1 / (1 + exp(10 d)) with d = 0.5 - 2^(-mean path / c(sample)).
+def isolation_scores(df: DataFrame, features: Sequence[str], forest: DataFrame, sample: int, out: str = "score") -> DataFrame:
+    """Anomaly score 1 / (1 + exp(10 d)) with d = 0.5 - 2^(-mean path / c(sample)). ``sample`` is the size
+    of a tree's draw: the number of training rows where that is below the limit.
 
     The forest (trees times at most 2 * sample nodes) is shipped to the tasks; rows stay where they are."""
     nodes = forest.toPandas().sort_values(["tree", "node"])
@@ -232,6 +293,8 @@ def isolation_scores(df: DataFrame, features: Sequence[str], forest: DataFrame,
 def forest_nodes(model, spark, folder: str) -> list[tuple]:
     """Node arrays of a fitted MLlib forest, read from the model's own saved form. The size is bounded by
     trees * 2^depth."""
+    if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the folder must be storage that driver and executors share")
     path = f"{folder.rstrip('/')}/forest-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -239,7 +302,7 @@ def forest_nodes(model, spark, folder: str) -> list[tuple]:
         data = data.select("treeID", "nodeData.*")
     table = data.select(
         "treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
-        F.element_at("split.leftCategoriesOrThreshold", 1).alias("cut"), F.col("impurityStats").alias("stats"),
+        F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("cut"), F.col("impurityStats").alias("stats"),
     ).toPandas().sort_values(["treeID", "id"])
     forest = []
     for _, g in table.groupby("treeID"):

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,20 +121,18 @@ def blocks_with_context(df: DataFrame, rn: str, reach: int, block_rows: int) ->
     return df.withColumn("_block", F.explode(slots)).withColumn("_own", F.col("_block") == own)
 
 
-def value_bounds(df: DataFrame, column: str, parts: int | None = None) -> list[float]:
-    """Cut points that spread ``column`` evenly. A bounded list; any cut points give right results."""
-    n = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    cuts = df.approxQuantile(column, [i / n for i in range(1, n)], 1.0 / (4 * n))
-    return sorted({float(c) for c in cuts if c == c and abs(c) != float("inf")})
+#: Value ranges per doubling of the value.
+RANGES = 1024
 
 
-def value_chunk(df: DataFrame, column: str, bounds: Sequence[float], out: str = "_chunk") -> DataFrame:
-    """Value range of ``column`` among fixed ``bounds`` (JVM-side binary search)."""
-    if not bounds:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    splits = [float("-inf"), *bounds, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=column, outputCol="_cut", handleInvalid="keep")
-    return cut.transform(df).withColumn(out, F.col("_cut").cast("long")).drop("_cut")
+def value_chunk(column: Column | str) -> Column:
+    """A range number that never decreases with the value: logarithmic ranges on both sides of zero.
+
+    It is a function of the value alone, so no pass over the data chooses cuts, and values spread over
+    ``RANGES`` ranges per doubling. NaN comes after everything else."""
+    x = (F.col(column) if isinstance(column, str) else column).cast("double")
+    size = F.least(F.log2(1.0 + F.abs(x) * float(2**20)), F.lit(1100.0))
+    return F.when(F.isnan(x), F.lit(1200 * RANGES)).otherwise(F.floor(F.signum(x) * size * RANGES)).cast("long")
 
 
 def running_totals(
@@ -144,7 +141,6 @@ def running_totals(
     order: str,
     sums: Sequence[str],
     *,
-    bounds: Sequence[float] | None = None,
     next_value: str | None = None,
 ) -> DataFrame:
     """Running (``cum_x``) and overall (``tot_x``) sums along ``order`` inside each key.
@@ -154,8 +150,7 @@ def running_totals(
     lower ranges. ``next_value`` adds the next larger order value of the key.
     """
     keys = list(keys)
-    cuts = value_bounds(df, order) if bounds is None else list(bounds)
-    placed = value_chunk(df, order, cuts)
+    placed = df.withColumn("_chunk", value_chunk(order))
     per = placed.groupBy(*keys, "_chunk").agg(
         *[F.sum(s).alias(f"_s_{s}") for s in sums], F.min(order).alias("_lo")
     )
@@ -224,23 +219,21 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
+#: A key is hot when it has more than one in this many of all rows, so hot keys are fewer than this.
+HOT_ONE_IN = 1000
+
+
 def spread_lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    weight: str,
-    spread: Sequence[str],
-    *,
-    hot_rows: int = 1_000_000,
-    salts: int = 1024,
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str], *, salts: int = 1024
 ) -> DataFrame:
     """Left join ``rows`` with a per-key ``table`` whose ``weight`` is the number of rows of the key.
 
-    Keys above ``hot_rows`` are at most ``total / hot_rows`` many, so they are broadcast; their rows
-    then travel through the shuffle join under a salt taken from ``spread`` and never meet in one task.
-    """
+    Hot keys, fewer than ``HOT_ONE_IN`` at any size, are broadcast; their rows then travel through the
+    shuffle join under a salt taken from ``spread`` and never meet in one task."""
     values = [c for c in table.columns if c not in keys]
-    hot = table.filter(F.col(weight) > hot_rows).select(
+    marked = attach_row(table, table.agg(F.sum(F.col(weight)).alias("_total")))
+    marked = marked.withColumn("_is_hot", F.col(weight) * HOT_ONE_IN > F.col("_total"))
+    hot = marked.filter("_is_hot").select(
         *[F.col(k).alias(f"_h_{k}") for k in keys],
         *[F.col(v).alias(f"_hv_{v}") for v in values],
     )
@@ -253,7 +246,7 @@ def spread_lookup(
         F.col(f"_hv_{weight}").isNotNull(), -1 - F.pmod(F.xxhash64(*spread), F.lit(salts))
     ).otherwise(F.lit(0)).cast("long")
     step = step.withColumn("_salt", salt)
-    cold = table.filter(F.col(weight) <= hot_rows).select(
+    cold = marked.filter(~F.col("_is_hot")).select(
         *[F.col(k).alias(f"_c_{k}") for k in keys],
         F.lit(0).cast("long").alias("_c_salt"),
         *[F.col(v).alias(f"_cv_{v}") for v in values],
@@ -271,3 +264,29 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
     row = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
     return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
+def previous(df: DataFrame, value: str, host: str, ts: str, order: str, out: str, chunk_s: float = DAY, default=None) -> DataFrame:
+    """Value of the row before, across slices."""
+    placed = df.withColumn("_chunk", time_chunk(ts, chunk_s))
+    w = Window.partitionBy(host, "_chunk").orderBy(ts, order)
+    at = F.struct(ts, order)
+    ends = placed.groupBy(host, "_chunk").agg(F.max_by(F.struct(F.col(value).alias("v")), at).alias("_end"))
+    carried = ends.select(host, "_chunk", F.lag("_end").over(Window.partitionBy(host).orderBy("_chunk")).alias("_carry"))
+    local = placed.withColumn("_prev", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    got = F.coalesce(F.col("_prev"), F.col("_carry"))["v"]
+    if default is not None:
+        got = F.coalesce(got, F.lit(default))
+    return _join_chunk(local, carried, [host]).withColumn(out, got).drop("_chunk", "_prev", "_carry")
+
+
+def following(df: DataFrame, value: Column, host: str, ts: str, order: str, out: str, chunk_s: float = DAY) -> DataFrame:
+    """Value of the row after, across slices."""
+    placed = df.withColumn("_chunk", time_chunk(ts, chunk_s)).withColumn("_v", value)
+    w = Window.partitionBy(host, "_chunk").orderBy(ts, order)
+    heads = placed.groupBy(host, "_chunk").agg(F.min_by(F.struct("_v"), F.struct(ts, order)).alias("_head"))
+    carried = heads.select(host, "_chunk", F.lead("_head").over(Window.partitionBy(host).orderBy("_chunk")).alias("_carry"))
+    local = placed.withColumn("_nx", F.lead(F.struct("_v")).over(w))
+    return _join_chunk(local, carried, [host]).withColumn(
+        out, F.coalesce(F.col("_nx"), F.col("_carry"))["_v"]
+    ).drop("_chunk", "_v", "_nx", "_carry")

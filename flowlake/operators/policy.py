@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from flowlake.functions.numeric import clip, ratio
 from flowlake.operators.chains import block_machine
 from flowlake.operators.ordered import (
-    DAY, _join_chunk, attach_row, blocks_with_context, carry_sum, first_per_key, micros, numbered,
-    time_chunk, with_halo,
+    DAY, _join_chunk, attach_row, blocks_with_context, carry_sum, first_per_key, following, micros, numbered,
+    previous, time_chunk, with_halo,
 )
 
 # Action codes.
@@ -81,7 +81,7 @@ def mark_critical(df: DataFrame, protected: DataFrame, host: str = "host_id") ->
     p = protected.select(canonical_host(F.col("identifier")).alias("_p")).distinct()
     return (
         df.withColumn("_host", canonical_host(F.col(host)))
-        .join(F.broadcast(p), F.col("_host") == F.col("_p"), "left")
+        .join(p, F.col("_host") == F.col("_p"), "left")
         .withColumn("is_critical", F.col("_p").isNotNull()).drop("_host", "_p")
     )
 
@@ -190,11 +190,14 @@ def state_vector(
     return placed.withColumns(cols).filter("_own").drop("_s", "_block", "_own", "rn")
 
 
-def state_vector_8(df: DataFrame, family: str = "family", confidence: str | None = None, **kw) -> DataFrame:
-    """State vector plus severity of the family and confidence in it."""
-    six = severity_join(state_vector(df, **kw), family)
-    conf = F.col(confidence) if confidence else F.col("s0")
-    return six.withColumns({"s6": clip(F.col("severity_weight"), 0, 1), "s7": clip(conf, 0, 1)}).drop("severity_weight")
+def state_vector_8(df: DataFrame, family: str = "family", confidence: str | None = None, score: str = "score", disabled: Sequence[int] = (), **kw) -> DataFrame:
+    """State vector plus severity of the family and confidence in it (the clipped
+    score where none is given, whether or not the score's own dimension is disabled). A disabled
+    dimension is 0."""
+    six = severity_join(state_vector(df, score=score, disabled=disabled, **kw), family)
+    conf = F.col(confidence if confidence else score)
+    more = {"s6": clip(F.col("severity_weight"), 0, 1), "s7": clip(conf, 0, 1)}
+    return six.withColumns({n: F.lit(0.0) if int(n[1]) in disabled else c for n, c in more.items()}).drop("severity_weight")
 
 
 # ---- safety --------------------------------------------------------------------------------------
@@ -207,34 +210,29 @@ def exempt_critical(action: Column, critical: Column) -> Column:
     return F.when((action == ISOLATE) & critical, ALERT).otherwise(action)
 
 
-def blast_radius(df: DataFrame, action: str, host: str = "host_id", ts: str = "ts", order: str = "seq", *, window: str = "1 hour", limit: float = 0.05, min_hosts: int = 20) -> DataFrame:
+def blast_radius(df: DataFrame, action: str, host: str = "host_id", ts: str = "ts", order: str = "seq", *, window: str = "1 hour", limit: float = 0.05, min_hosts: int = 20, slice_s: float = 60.0) -> DataFrame:
     """Within each event-time window, hosts may be isolated in order of their first isolation as long as
     they stay within ``limit`` of the hosts seen in the window; further isolations become alerts.
 
-    The ranking runs over one row per (window, host), not over flows."""
+    The ranking runs over one row per (window, host), not over flows, and by slices of a window."""
     win = F.window(ts, window)["start"]
     base = df.withColumn("_w", win)
-    at = F.struct(ts, order)
-    hosts = base.groupBy("_w", host).agg(F.min(F.when(F.col(action) == ISOLATE, at)).alias("_first"))
+    hosts = base.groupBy("_w", host).agg(F.min(F.when(F.col(action) == ISOLATE, F.struct(F.col(ts).alias("t"), F.col(order).alias("o")))).alias("_first"))
     seen = hosts.groupBy("_w").agg(F.count("*").alias("_known"))
-    rank = F.row_number().over(Window.partitionBy("_w").orderBy("_first"))
-    allowed = (
-        hosts.filter(F.col("_first").isNotNull()).withColumn("_rank", rank).join(seen, "_w")
-        .select("_w", F.col(host).alias("_host"), (F.col("_rank") / F.greatest("_known", F.lit(min_hosts)) > limit).alias("blocked"))
-        .filter("blocked")
-    )
-    return (
-        base.join(allowed, (base["_w"] == allowed["_w"]) & (base[host] == allowed["_host"]), "left")
-        .select(
-            *df.columns,
-            (F.coalesce(F.col("blocked"), F.lit(False)) & (F.col(action) == ISOLATE)).alias("blast_radius_hit"),
-        )
-        .withColumn(action, F.when(F.col("blast_radius_hit"), ALERT).otherwise(F.col(action)))
-    )
+    firsts = hosts.filter(F.col("_first").isNotNull()).select("_w", host, F.col("_first.t").alias("_ft"), F.col("_first.o").alias("_fo"))
+    ranked = numbered(firsts, ["_w"], ["_ft", "_fo"], time_chunk("_ft", slice_s), "_rank")
+    blocked = ranked.join(seen, "_w").filter(F.col("_rank") / F.greatest("_known", F.lit(min_hosts)) > limit)
+    blocked = blocked.select(F.col("_w").alias("_bw"), F.col(host).alias("_bh"), F.lit(True).alias("_blocked"))
+    marked = base.join(blocked, (F.col("_w") == F.col("_bw")) & (F.col(host) == F.col("_bh")), "left")
+    hit = F.coalesce(F.col("_blocked"), F.lit(False)) & (F.col(action) == ISOLATE)
+    return marked.withColumn("blast_radius_hit", hit).withColumn(
+        action, F.when(F.col("blast_radius_hit"), ALERT).otherwise(F.col(action))
+    ).select(*df.columns, "blast_radius_hit")
 
 
-def safety_gate(df: DataFrame, proposed: str = "proposed", host: str = "host_id", ts: str = "ts", order: str = "seq", *, three_action: bool = False, critical: str = "is_critical", cooldown_s: float = 30.0, chunk_s: float = DAY) -> DataFrame:
-    """Clamp, exemption and cooldown hold: enforced action, override flag, reason, remaining cooldown.
+def safety_gate(df: DataFrame, proposed: str = "proposed", host: str = "host_id", ts: str = "ts", order: str = "seq", *, three_action: bool = False, critical: str = "is_critical", cooldown_s: float = 30.0, blast_window: str | None = None, chunk_s: float = DAY) -> DataFrame:
+    """Clamp, exemption, blast radius (where ``blast_window`` is given) and cooldown hold, in this order:
+    enforced action, override flag, reason, remaining cooldown.
 
     A held ALLOW never renews the cooldown and an ALERT ends the hold, so the enforced action depends
     only on the last non-ALLOW action within the cooldown: ``cooldown_s`` of context is enough."""
@@ -242,6 +240,10 @@ def safety_gate(df: DataFrame, proposed: str = "proposed", host: str = "host_id"
     clamped = clamp_three(p) if three_action else p
     safe = exempt_critical(clamped, F.col(critical))
     base = df.withColumn("_p", safe.cast("int"))
+    if blast_window is not None:
+        base = blast_radius(base, "_p", host, ts, order, window=blast_window)
+    else:
+        base = base.withColumn("blast_radius_hit", F.lit(False))
     placed = with_halo(base, ts, max(chunk_s, cooldown_s), cooldown_s)
     w = Window.partitionBy(host, "_chunk").orderBy(ts, order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -256,6 +258,7 @@ def safety_gate(df: DataFrame, proposed: str = "proposed", host: str = "host_id"
     hold = F.coalesce(hold, F.lit(False))
     reason = (
         F.when(hold, "MANDATORY_ACTION_COOLDOWN")
+        .when(F.col("blast_radius_hit"), "BLAST_RADIUS_CIRCUIT_BREAKER")
         .when((clamped == ISOLATE) & F.col(critical), "CRITICAL_INFRASTRUCTURE_EXEMPTION")
     )
     if three_action:
@@ -265,7 +268,7 @@ def safety_gate(df: DataFrame, proposed: str = "proposed", host: str = "host_id"
         "enforced": F.when(hold, F.col("_last.a")).otherwise(F.col("_p")),
         "override_reason": reason,
         "cooldown_remaining_s": F.greatest(F.coalesce(left, F.lit(0.0)), F.lit(0.0)),
-    }).withColumn("overridden", F.col("override_reason").isNotNull()).drop("_p", "_last", "_cool", "_chunk", "_own")
+    }).withColumn("overridden", F.col("override_reason").isNotNull()).drop("_p", "_last", "_cool", "_chunk", "_own", "blast_radius_hit")
 
 
 def override_summary(log: DataFrame) -> DataFrame:
@@ -303,32 +306,6 @@ def alert_run(df: DataFrame, action: str, host: str = "host_id", ts: str = "ts",
     ).drop("_chunk", "_a", "_rn", "_cut", "_at", "_carry")
 
 
-def previous(df: DataFrame, value: str, host: str, ts: str, order: str, out: str, chunk_s: float = DAY, default=None) -> DataFrame:
-    """Value of the row before, across slices."""
-    placed = df.withColumn("_chunk", time_chunk(ts, chunk_s))
-    w = Window.partitionBy(host, "_chunk").orderBy(ts, order)
-    at = F.struct(ts, order)
-    ends = placed.groupBy(host, "_chunk").agg(F.max_by(F.struct(F.col(value).alias("v")), at).alias("_end"))
-    carried = ends.select(host, "_chunk", F.lag("_end").over(Window.partitionBy(host).orderBy("_chunk")).alias("_carry"))
-    local = placed.withColumn("_prev", F.lag(F.struct(F.col(value).alias("v"))).over(w))
-    got = F.coalesce(F.col("_prev"), F.col("_carry"))["v"]
-    if default is not None:
-        got = F.coalesce(got, F.lit(default))
-    return _join_chunk(local, carried, [host]).withColumn(out, got).drop("_chunk", "_prev", "_carry")
-
-
-def following(df: DataFrame, value: Column, host: str, ts: str, order: str, out: str, chunk_s: float = DAY) -> DataFrame:
-    """Value of the row after, across slices."""
-    placed = df.withColumn("_chunk", time_chunk(ts, chunk_s)).withColumn("_v", value)
-    w = Window.partitionBy(host, "_chunk").orderBy(ts, order)
-    heads = placed.groupBy(host, "_chunk").agg(F.min_by(F.struct("_v"), F.struct(ts, order)).alias("_head"))
-    carried = heads.select(host, "_chunk", F.lead("_head").over(Window.partitionBy(host).orderBy("_chunk")).alias("_carry"))
-    local = placed.withColumn("_nx", F.lead(F.struct("_v")).over(w))
-    return _join_chunk(local, carried, [host]).withColumn(
-        out, F.coalesce(F.col("_nx"), F.col("_carry"))["_v"]
-    ).drop("_chunk", "_v", "_nx", "_carry")
-
-
 def step_cost(log: DataFrame, regime: str, action: str = "enforced", y: str = "y", host: str = "host_id", ts: str = "ts", order: str = "seq", *, cooldown: str = "cooldown_remaining_s", chunk_s: float = DAY) -> DataFrame:
     """Base, chatter and fatigue cost per row. The cooldown is read after enforcement, so a row that
     starts a mitigation already counts as inside it."""
@@ -408,9 +385,53 @@ def cost_reduction(runs: DataFrame, baseline: str, policy: str = "policy") -> Da
     ).drop("_base")
 
 
+BASELINES = ("always_allow", "single_threshold", "two_tier", "cost_optimal")
+
+
+def baseline_action(policy: str, score: Column, regime: str, four_action: bool) -> Column:
+    """Proposed action of a baseline policy."""
+    if policy == "cost_optimal":
+        return cost_optimal(score, regime, four_action)
+    return {
+        "always_allow": lambda: always_allow(), "single_threshold": lambda: single_threshold(score, four_action=four_action),
+        "two_tier": lambda: two_tier(score, four_action=four_action),
+    }[policy]()
+
+
+def policy_matrix(
+    df: DataFrame, score: str = "score", y: str = "y", policies: Sequence[str] = BASELINES, regimes: Sequence[str] = tuple(COSTS), *, cooldown_s: float = 30.0, chunk_s: float = DAY,
+) -> DataFrame:
+    """Every policy under every regime in both action modes, through the safety gate: costs and
+    containment, and the reduction against ``always_allow`` of the same regime and mode.
+
+    The enforced actions of a policy do not depend on the regime (cost_optimal apart), and base costs
+    follow from the counts per label and action, so a policy is played once per mode."""
+    out = None
+    for four in (True, False):
+        for policy in policies:
+            for regime in regimes if policy == "cost_optimal" else (None,):
+                acted = df.withColumn("proposed", baseline_action(policy, F.col(score), regime, four).cast("int"))
+                log = safety_gate(acted, three_action=not four, cooldown_s=cooldown_s, chunk_s=chunk_s)
+                fixed = step_cost(log, regimes[0], y=y, chunk_s=chunk_s)
+                per = fixed.groupBy(F.when(F.col(y) == 1, 1).otherwise(0).alias("label"), F.col("enforced").alias("act")).agg(
+                    F.count("*").alias("n"), F.sum(F.col("chatter_cost") + F.col("fatigue_cost")).alias("extra")
+                )
+                costs = cost_table(df.sparkSession).filter(F.col("regime").isin([regime] if regime else list(regimes)))
+                total = F.sum(F.col("n") * F.col("base_cost") + F.col("extra"))
+                row = per.join(F.broadcast(costs), ["label", "act"]).groupBy("regime").agg(
+                    F.sum("n").alias("steps"), total.alias("total_cost"), (total / F.sum("n")).alias("mean_cost"),
+                    F.coalesce(F.sum(F.when((F.col("label") == 1) & (F.col("act") >= RATE_LIMIT), F.col("n"))), F.lit(0)).alias("contained_attacks"),
+                    F.coalesce(F.sum(F.when((F.col("label") == 0) & (F.col("act") == ISOLATE), F.col("n"))), F.lit(0)).alias("false_quarantines"),
+                ).withColumns({"policy": F.lit(policy), "mode": F.lit("4_action" if four else "3_action")})
+                out = row if out is None else out.unionByName(row)
+    base = out.filter(F.col("policy") == "always_allow").select("mode", "regime", F.col("total_cost").alias("_base"))
+    reduction = F.coalesce(100.0 * ratio(F.col("_base") - F.col("total_cost"), F.col("_base")), F.lit(0.0))
+    return out.join(F.broadcast(base), ["mode", "regime"], "left").withColumn("cost_reduction_pct", reduction).drop("_base")
+
+
 def containment_by_family(log: DataFrame, family: str = "family", action: str = "enforced", y: str = "y") -> DataFrame:
     """Action counts per family (pivot over the four codes) with containment or false-quarantine share."""
-    per = log.groupBy(family).pivot(action, [0, 1, 2, 3]).agg(F.count("*")).fillna(0, ["0", "1", "2", "3"])
+    per = log.groupBy(family).pivot(action, [0, 1, 2, 3]).agg(F.count(F.lit(1))).fillna(0, ["0", "1", "2", "3"])
     attack = log.groupBy(family).agg(F.max(y).alias("is_attack"))
     n = F.col("0") + F.col("1") + F.col("2") + F.col("3")
     return per.join(attack, family).select(
@@ -427,16 +448,25 @@ def action_flip_rate(a: DataFrame, b: DataFrame, action: str, seq: str = "seq")
 
 # ---- feedback ------------------------------------------------------------------------------------
 
+# Rewards by action (ALLOW, ALERT, RATE_LIMIT, ISOLATE) for known attacks, known benign rows,
+# high and low observed risk; and for a failed verification and an ALLOW at low or other risk.
+REWARD_ATTACK = (-1.5, 0.2, 0.8, 1.2)
+REWARD_BENIGN = (0.2, -0.05, -0.6, -2.0)
+REWARD_HIGH_RISK = (0.0, 0.1, 0.6, 1.0)
+REWARD_LOW_RISK = (0.0, -0.05, -0.4, -1.5)
+REWARD_UNVERIFIED, REWARD_CALM_ALLOW, REWARD_RISKY_ALLOW = -2.5, 0.15, -1.0
+
+
 def reward(action: Column, risk: Column, verified: Column, truth: Column) -> Column:
     """Reward table: failed verification, known truth, or observed risk only."""
     pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), action + 1)
     return (
-        F.when(~verified, F.lit(-2.5))
-        .when(truth == 1, pick([-1.5, 0.2, 0.8, 1.2]))
-        .when(truth.isNotNull(), pick([0.2, -0.05, -0.6, -2.0]))
-        .when(action == ALLOW, F.when(risk < 0.30, 0.15).otherwise(-1.0))
-        .when(risk >= 0.70, pick([0.0, 0.1, 0.6, 1.0]))
-        .otherwise(pick([0.0, -0.05, -0.4, -1.5]))
+        F.when(~verified, F.lit(REWARD_UNVERIFIED))
+        .when(truth == 1, pick(REWARD_ATTACK))
+        .when(truth.isNotNull(), pick(REWARD_BENIGN))
+        .when(action == ALLOW, F.when(risk < 0.30, REWARD_CALM_ALLOW).otherwise(REWARD_RISKY_ALLOW))
+        .when(risk >= 0.70, pick(REWARD_HIGH_RISK))
+        .otherwise(pick(REWARD_LOW_RISK))
     )
 
 
@@ -461,33 +491,38 @@ def greedy_action(df: DataFrame, q: str = "q_values") -> DataFrame:
 
 
 def state_factors(df: DataFrame, action: str, critical: str) -> DataFrame:
-    """Codes of the state bands behind a decision, in fixed order."""
+    """The state bands behind a decision as (code, value) pairs in fixed order: risk, trajectory, alert
+    density, previous action, cooldown steps left, volume, host kind, and the rationale of the action."""
     s = [F.col(f"s{i}") for i in range(6)]
-    code = lambda cond, text: F.when(cond, F.lit(text))
+    pair = lambda code, value: F.struct(F.lit(code).alias("code"), value.cast("double").alias("value"))
+    steps = F.bround(s[4] * 30)
+    rationale = [F.col(action) == i for i in range(4)]
     factors = [
-        F.when(s[0] >= 0.75, "risk severe").when(s[0] >= 0.50, "risk above threshold")
-        .when(s[0] >= 0.40, "risk in suspect band").otherwise("risk benign"),
-        F.when(s[1] > 0.15, "score rising").when(s[1] < -0.15, "score falling"),
-        F.when(s[2] >= 0.50, "alert density high").when(s[2] >= 0.20, "alert density moderate"),
-        F.when(s[3] >= 0.85, "previously isolated").when(s[3] >= 0.50, "previously rate limited")
-        .when(s[3] >= 0.20, "previously alerted"),
-        code(F.bround(s[4] * 30) > 0, "cooldown active"),
-        code(s[5] >= 0.60, "heavy transfer"),
-        F.when(F.col(critical), "critical host").otherwise("standard host"),
-        F.concat(F.lit("action "), action_name(F.col(action))),
+        F.when(s[0] >= 0.75, pair("RISK_SEVERE", s[0])).when(s[0] >= 0.50, pair("RISK_ABOVE_THRESHOLD", s[0]))
+        .when(s[0] >= 0.40, pair("RISK_SUSPECT", s[0])).otherwise(pair("RISK_BENIGN", s[0])),
+        F.when(s[1] > 0.15, pair("SCORE_RISING", s[1])).when(s[1] < -0.15, pair("SCORE_FALLING", s[1])),
+        F.when(s[2] >= 0.50, pair("ALERTS_DENSE", s[2])).when(s[2] >= 0.20, pair("ALERTS_MODERATE", s[2])),
+        F.when(s[3] >= 0.85, pair("WAS_ISOLATED", s[3])).when(s[3] >= 0.50, pair("WAS_RATE_LIMITED", s[3]))
+        .when(s[3] >= 0.20, pair("WAS_ALERTED", s[3])),
+        F.when(steps > 0, pair("COOLDOWN_STEPS", steps)),
+        F.when(s[5] >= 0.60, pair("HEAVY_TRANSFER", s[5])),
+        F.when(F.col(critical), pair("CRITICAL_HOST", F.lit(1.0))).otherwise(pair("STANDARD_HOST", F.lit(0.0))),
+        F.when(rationale[3], pair("CONTAIN_PERSISTENT_ATTACK", F.col(action))).when(rationale[2], pair("LIMIT_TO_STAY_AVAILABLE", F.col(action)))
+        .when(rationale[1], pair("WATCH_WITHOUT_CONTAINMENT", F.col(action))).when(rationale[0], pair("NORMAL_TRAFFIC", F.col(action))),
     ]
     return df.withColumn("factors", F.array_compact(F.array(*factors)))
 
 
-def verify_effects(log: DataFrame, observed: DataFrame, action: str = "enforced", host: str = "host_id", critical: str = "is_critical") -> DataFrame:
+def verify_effects(log: DataFrame, observed: DataFrame, action: str = "enforced", host: str = "host_id", critical: str = "is_critical", advisory: Column | None = None) -> DataFrame:
     """Whether the observed state of the network shows the action. ``observed`` has one row per host:
-    isolated, rate_limited, is_critical."""
+    isolated, rate_limited, is_critical. Rows that are only ``advisory`` changed nothing and are skipped."""
     hurt = observed.filter(F.col("is_critical") & (F.col("isolated") | F.col("rate_limited"))).agg((F.count("*") > 0).alias("_collateral"))
     state = observed.select(F.col(host).alias("_h"), F.col("isolated").alias("_iso"), F.col("rate_limited").alias("_rl"), F.lit(1).cast("long").alias("_w"))
     a, no = F.col(action), lambda c: F.coalesce(F.col(c), F.lit(False))
     joined = attach_row(log.join(state, F.col(host) == F.col("_h"), "left"), hurt)
     status = (
         F.when(F.col(critical) & (a >= RATE_LIMIT), "FAILED_CRITICAL_HOST_IMPACTED")
+        .when(F.lit(False) if advisory is None else advisory, "SKIPPED_ADVISORY")
         .when(F.col("_collateral"), "FAILED_COLLATERAL_OUTAGE")
         .when((a == ISOLATE) & ~no("_iso"), "FAILED_EFFECT_NOT_OBSERVED")
         .when((a == RATE_LIMIT) & ~no("_rl"), "FAILED_EFFECT_NOT_OBSERVED")

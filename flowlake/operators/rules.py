@@ -133,8 +133,9 @@ def flow_rules() -> list[Column]:
 
 
 def collect_matches(df: DataFrame, extra: Iterable[Column] = (), out: str = "rule_matches") -> DataFrame:
-    """All matches of a row in rule order."""
-    return df.withColumn(out, F.array_compact(F.array(*flow_rules(), *extra)))
+    """All matches of a row in rule order; further rules, such as the multi-flow one, come fourth."""
+    first, last = flow_rules()[:3], flow_rules()[3:]
+    return df.withColumn(out, F.array_compact(F.array(*first, *extra, *last)))
 
 
 # What each rule needs when only feature columns are at hand.
@@ -146,9 +147,14 @@ FEATURE_NEEDS = {
     INVALID_FLAGS: ("has_syn_fin", "has_syn_rst", "has_xmas_flags", "has_null_flags",
                     "invalid_flags_count"),
     ICMP_FLOOD: ("protocol",),
+    MULTI_FLOW: ("src_ip", "dst_ip", "dst_port"),
 }
 
 
+# How the missing endpoints of a rule are reported.
+GAP_NAMES = {SPOOFED: "src_ip/dst_ip", MULTI_FLOW: "dst_port"}
+
+
 def rules_from_features(df: DataFrame, out: str = "rule_matches") -> DataFrame:
     """The rules on feature columns, with the thresholds of that form, plus ``unavailable_rules`` and
     ``unavailable_features``. Availability follows from the columns present."""
@@ -161,7 +167,7 @@ def rules_from_features(df: DataFrame, out: str = "rule_matches") -> DataFrame:
         gap = [f for f in FEATURE_NEEDS[rule] if f not in have]
         if gap:
             fixed.append(rule)
-            missing.extend(gap)
+            missing.extend([GAP_NAMES[rule]] if rule in GAP_NAMES else gap)
         return not gap
 
     if ready(SYN_FLOOD):
@@ -192,6 +198,8 @@ def rules_from_features(df: DataFrame, out: str = "rule_matches") -> DataFrame:
         ]))
     if ready(SPOOFED):
         matches.append(spoofed_source(tcp_only=False))
+    if ready(MULTI_FLOW) and "scan_type" in have:
+        matches.append(multi_flow())
     flags = [f for f in FEATURE_NEEDS[INVALID_FLAGS] if f in have]
     if flags:
         text = {"has_syn_fin": ("TCP Invalid Flags (SYN+FIN)", F.lit("SYN+FIN")),

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.operators.ordered import attach_row, numbered, spread_lookup, value_bounds, value_chunk
+from flowlake.operators.ordered import DAY, attach_row, numbered, spread_lookup, time_chunk
 
 SPLITS = ("train", "validation", "test")
 
@@ -37,7 +37,7 @@ def stratified_split(
     cut1 = F.bround(F.col("_n") * train)
     cut2 = F.bround(F.col("_n") * (train + validation))
     return (
-        ranked.join(F.broadcast(sizes), label)  # one row per class
+        ranked.join(sizes, label)  # one row per class
         .withColumn("split", F.when(F.col("rn") <= cut1, "train").when(F.col("rn") <= cut2, "validation").otherwise("test"))
         .drop("rn", "_n")
     )
@@ -61,10 +61,12 @@ def grouped_split(
 
 
 def temporal_cuts(df: DataFrame, ts: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """The two cut times: the row at each target rank, moved to the hour boundary whose rank is nearest
-    (the later one on a tie). Ranks at hour boundaries follow from the rows per hour, a small table.
+    """The two cut ranks: the target rank moved to the hour boundary whose rank is nearest (the later one
+    on a tie), each on its own; NULL where no boundary around the target lies strictly inside the open
+    range. Ranks at hour boundaries follow from the rows per hour, a small table.
 
-    One row: cut_train_ts, cut_val_ts, cut_train, cut_val (rows before each cut), n, strategy."""
+    One row: cut_train_ts, cut_val_ts, cut_train, cut_val (rows before each cut), rank_train, rank_val
+    (the targets), n."""
     hour = F.date_trunc("hour", F.col(ts))
     on_hour = (F.col(ts) == hour).cast("long")
     per = df.groupBy(hour.alias("h")).agg(F.count("*").alias("c"), F.sum(on_hour).alias("at"))
@@ -77,7 +79,7 @@ def temporal_cuts(df: DataFrame, ts: str, train: float = 0.6, validation: float
         F.when(F.lag("h").over(w) == F.col("h") - one, F.lag("c").over(w)).otherwise(0).alias("prev_c"),
     )
 
-    def nearest(target: Column, low: Column, high: Column) -> DataFrame:
+    def nearest(target: Column, low: Column, high: Column, name: str) -> DataFrame:
         home = cum.filter((F.col("before") <= target) & (target < F.col("before") + F.col("c")))
         option = lambda t, i: F.struct(t.alias("boundary"), i.cast("long").alias("idx"))
         here, b, c = F.col("h"), F.col("before"), F.col("c")
@@ -88,39 +90,33 @@ def temporal_cuts(df: DataFrame, ts: str, train: float = 0.6, validation: float
         at = home.select("n", target.alias("target"), low.alias("low"), high.alias("high"),
                          F.explode(F.array_compact(options)).alias("o")).select("*", "o.*")
         best = F.struct(F.abs(F.col("idx") - F.col("target")), -F.col("idx"))
-        return at.filter((F.col("idx") > F.col("low")) & (F.col("idx") < F.col("high"))).groupBy("n").agg(
-            F.min_by("idx", best).alias("cut"), F.min_by("boundary", best).alias("cut_ts")
+        fits = (F.col("idx") > F.col("low")) & (F.col("idx") < F.col("high"))
+        return at.agg(
+            F.max("target").alias(f"rank_{name}"), F.max("n").alias("n"),
+            F.min_by("idx", F.when(fits, best)).alias(f"cut_{name}"),
+            F.min_by("boundary", F.when(fits, best)).alias(f"cut_{name}_ts"),
         )
 
     n = F.col("n")
     t1, t2 = F.bround(n * train).cast("long"), F.bround(n * (train + validation)).cast("long")
-    first = nearest(t1, F.lit(1), n - 2).select(
-        F.col("cut").alias("cut_train"), F.col("cut_ts").alias("cut_train_ts")
-    )
+    first = nearest(t1, F.lit(1), n - 2, "train").drop("n")
     cum = attach_row(cum, first)
-    second = nearest(t2, F.col("cut_train") + 1, n - 1).select(
-        F.col("cut").alias("cut_val"), F.col("cut_ts").alias("cut_val_ts"), "n"
-    )
-    return attach_row(second, first).withColumn("strategy", F.lit("nearest_hour_boundary"))
+    taken = F.coalesce("cut_train", "rank_train")
+    second = nearest(t2, taken + 1, n - 1, "val")
+    return attach_row(second, first)
 
 
 def temporal_split(df: DataFrame, ts: str, row_id: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """Contiguous splits in time, hour aligned. Where the span permits no hour-aligned cut, the exact
-    ranks in (time, row id) order decide."""
-    cuts = temporal_cuts(df, ts, train, validation)
-    if cuts.filter("cut_train < cut_val and cut_val < n").isEmpty():
-        timed = df.withColumns({"_all": F.lit(0), "_us": F.unix_micros(F.col(ts)).cast("double")})
-        timed = value_chunk(timed, "_us", value_bounds(timed, "_us"), "_range")
-        ranked = numbered(timed, ["_all"], [ts, row_id], F.col("_range"))
-        ranked = attach_row(ranked, df.agg(F.count("*").alias("_n")))
-        c1, c2 = F.bround(F.col("_n") * train), F.bround(F.col("_n") * (train + validation))
-        return ranked.withColumn(
-            "split", F.when(F.col("rn") <= c1, "train").when(F.col("rn") <= c2, "validation").otherwise("test")
-        ).drop("_all", "_us", "_range", "rn", "_n")
-    t = F.col(ts)
-    return attach_row(df, cuts.select("cut_train_ts", "cut_val_ts")).withColumn(
-        "split", F.when(t < F.col("cut_train_ts"), "train").when(t < F.col("cut_val_ts"), "validation").otherwise("test")
-    ).drop("cut_train_ts", "cut_val_ts")
+    """Contiguous splits in time. Each cut is at its hour boundary, or at its exact rank in (time, row id)
+    order where no boundary fits. Rows without a time cannot be placed and are refused."""
+    if not df.filter(F.col(ts).isNull()).isEmpty():
+        raise ValueError(f"{ts} is missing in some rows; repair or drop them first")
+    timed = df.withColumn("_all", F.lit(0))
+    ranked = numbered(timed, ["_all"], [ts, row_id], time_chunk(ts, DAY))
+    ranked = attach_row(ranked, temporal_cuts(df, ts, train, validation))
+    before = lambda name: F.col("rn") <= F.coalesce(f"cut_{name}", f"rank_{name}")
+    split = F.when(before("train"), "train").when(before("val"), "validation").otherwise("test")
+    return ranked.withColumn("split", split).select(*df.columns, "split")
 
 
 def repair_timestamps(df: DataFrame, ts: str, file: str, row_id: Sequence[str], floor: str = "2000-01-01") -> DataFrame:
@@ -198,8 +194,12 @@ def leak_sequences(windows: DataFrame) -> DataFrame:
     )
 
 
-def leak_report(df: DataFrame, features: Sequence[str], group: str | None, ip: str | None, ts: str | None) -> DataFrame:
-    """One row per check: what it found and its status."""
+def leak_report(
+    df: DataFrame, features: Sequence[str], group: str | None, ip: str | None, ts: str | None, windows: DataFrame | None = None
+) -> DataFrame:
+    """One row per check with what it found and its status, one with the number of failed checks and the
+    overall status, and one with the size of each split. ``windows`` are sequence windows, see
+    ``leak_sequences``."""
     def line(name: str, found: DataFrame | None) -> DataFrame:
         if found is None:
             return df.sparkSession.range(1).select(
@@ -215,11 +215,15 @@ def leak_report(df: DataFrame, features: Sequence[str], group: str | None, ip: s
         line("rounded_rows", shared(leak_near(df, features))),
         line("groups", column(group)), line("source_ips", column(ip)),
         line("time_order", leak_time(df, ts).select(F.col("overlaps").cast("long").alias("n")) if ts and ts in df.columns else None),
+        line("sequences", None if windows is None else leak_sequences(windows).select(F.col("crossing").alias("n"))),
     ]
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)
-    return out
+    failed = out.agg(F.count_if(F.col("status") == "FAILED").alias("found"))
+    overall = failed.select(F.lit("overall").alias("check"), "found", F.when(F.col("found") > 0, "FAILED").otherwise("PASSED").alias("status"))
+    sizes = df.groupBy(F.concat(F.lit("size_"), F.col("split")).alias("check")).agg(F.count("*").alias("found")).withColumn("status", F.lit("INFO"))
+    return out.unionByName(overall).unionByName(sizes)
 
 
 def stratified_subsample(df: DataFrame, label: str, row_id: str, n: int, seed: int = 42) -> DataFrame:
@@ -229,17 +233,24 @@ def stratified_subsample(df: DataFrame, label: str, row_id: str, n: int, seed: i
     take = F.greatest(F.bround(F.col("_c") * (F.lit(float(n)) / F.col("_n"))), F.lit(1.0))
     ranked = hash_ranked(df, [label], row_id, seed)
     return (
-        ranked.join(F.broadcast(sizes.select(label, take.alias("_take"))), label)
+        ranked.join(sizes.select(label, take.alias("_take")), label)
         .filter(F.col("rn") <= F.col("_take")).select(*df.columns)
     )
 
 
+def _first_by_hash(df: DataFrame, label: str, row_id: str, quota: int, seed: int) -> DataFrame:
+    """The ``quota`` rows of least seeded hash per class, by exact rank over hash ranges."""
+    return hash_ranked(df, [label], row_id, seed).filter(F.col("rn") <= quota).select(*df.columns)
+
+
 def balanced_sample(df: DataFrame, y: str, row_id: str, size: int, seed: int = 42) -> DataFrame:
-    """Half benign, half attack, in seeded order (an ordered limit per class)."""
-    half = size // 2
-    h = order_hash(F.col(row_id), seed)
-    pick = lambda c: df.filter(F.col(y) == c).orderBy(h, row_id).limit(half)
-    return pick(0).unionByName(pick(1))
+    """Half benign, half attack, the first of each in seeded order."""
+    return _first_by_hash(df.filter(F.col(y).isin(0, 1)), y, row_id, size // 2, seed)
+
+
+def family_sample(df: DataFrame, family: str, name: str, row_id: str, size: int, seed: int = 42) -> DataFrame:
+    """The first rows of one family in seeded order."""
+    return _first_by_hash(df.filter(F.col(family) == name), family, row_id, size, seed)
 
 
 def policy_partition(df: DataFrame, label: str, row_id: str, seed: int = 42) -> DataFrame:

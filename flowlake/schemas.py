@@ -1,25 +1,17 @@
-"""Table schemas."""
+"""Table schemas as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-PACKETS = T._parse_datatype_string(
-    "ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, "
-    "packet_length int, is_tcp boolean, syn boolean, ack boolean, rst boolean, fin boolean, "
-    "psh boolean, urg boolean, raw_flags int, pkt_id long"
-)
-
-RULE_MATCH = T._parse_datatype_string(
-    "rule_id string, name string, severity string, matched_value string"
-)
-
-EVENTS = T._parse_datatype_string(
-    "event_id string, ts timestamp, flow_id string, source_mode string, source_ip string, "
-    "dest_ip string, source_port int, dest_port int, protocol int, hybrid_verdict string, "
-    "hybrid_risk_score double, severity string, source_escalated boolean, "
-    "features map<string,double>, "
-    "rule_matches array<struct<rule_id:string,name:string,severity:string,description:string,"
-    "matched_value:string>>, "
-    "detection map<string,string>, response map<string,string>, metadata map<string,string>"
+# Columns that are stored as JSON text in exchange files.
+JSON_TYPES = {
+    "features": "map<string,double>",
+    "rule_matches": "array<struct<rule_id:string,name:string,severity:string,description:string,matched_value:string>>",
+    "detection": "map<string,string>",
+    "response": "map<string,string>",
+    "metadata": "map<string,string>",
+}
+EVENTS = (
+    "event_id string, ts timestamp, flow_id string, source_mode string, source_ip string, dest_ip string, source_port int, "
+    "dest_port int, protocol int, hybrid_verdict string, hybrid_risk_score double, severity string, source_escalated boolean, "
+    + ", ".join(f"{n} {t}" for n, t in JSON_TYPES.items())
 )

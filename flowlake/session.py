@@ -1,13 +1,10 @@
-"""Session helpers: a local session for tests and the shared checkpoint folder."""
+"""A local session for tests and the bench."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "flowlake", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -25,17 +22,3 @@ def local_session(app: str = "flowlake", cores: str | int = "*", partitions: int
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a private one is made
-    only where that setting is absent, which is the case in local tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="flowlake-checkpoint-"))
-    return df.checkpoint(eager=True)

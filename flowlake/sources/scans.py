@@ -18,45 +18,59 @@ def canonical_header(name: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", name).split())
 
 
+def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(source_path, header line) of each file."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_n"), "value",
+    )
+    first = lines.filter(F.col("_block") == 0).groupBy("source_path")
+    return first.agg(F.min_by("value", "_n").alias("header"))
+
+
 def csv_flow_scan(spark: SparkSession, paths: str | Sequence[str], dataset: str) -> DataFrame:
     """Flow CSVs as text columns with canonical headers, source file, row order and dataset.
 
-    Values stay text: cells are coerced later with ``try_cast``, so a bad cell never fails the scan.
-    ``file_block`` and ``line_id`` order the lines of a file, see ``with_row_index``."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    header = spark.read.option("header", True).option("inferSchema", False)
-    names = header.csv(paths).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-    seen: dict[str, int] = {}
-    renamed = []
-    for n in names:
-        c = canonical_header(n)
-        seen[c] = seen.get(c, 0) + 1
-        renamed.append(c if seen[c] == 1 else f"{c}.{seen[c] - 1}")
-    return raw.select(
-        *[F.col(f"`{o}`").alias(n) for o, n in zip(names, renamed)],
-        F.lit(dataset).alias("dataset"), F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("file_block"), F.monotonically_increasing_id().alias("line_id"),
-    )
+    Files are read per distinct header line, so that columns in another order or number never end up
+    under a wrong name; the parts are united by name. Values stay text: cells are coerced later with
+    ``try_cast``, so a bad cell never fails the scan. ``file_block`` and ``line_id`` order the lines of a
+    file, see ``with_row_index``."""
+    headers: dict[str, list[str]] = {}
+    for row in file_headers(spark, paths).collect():  # one row per file of a dataset
+        headers.setdefault(row["header"], []).append(row["source_path"])
+    out = None
+    for files in headers.values():
+        names = spark.read.option("header", True).option("inferSchema", False).csv(files[:1]).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+        seen: dict[str, int] = {}
+        renamed = []
+        for n in names:
+            c = canonical_header(n)
+            seen[c] = seen.get(c, 0) + 1
+            renamed.append(c if seen[c] == 1 else f"{c}.{seen[c] - 1}")
+        part = part.select(
+            *[F.col(f"`{o}`").alias(n) for o, n in zip(names, renamed, strict=True)], F.lit(dataset).alias("dataset"),
+            F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("file_block"), F.monotonically_increasing_id().alias("line_id"),
+        )
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def with_row_index(scan: DataFrame) -> DataFrame:
-    """``source_row_index`` from 0 inside each file. The line id only orders the lines of one block, so
-    the result does not depend on how blocks were packed into tasks."""
-    ranked = numbered(scan, ["source_file"], ["file_block", "line_id"], F.col("file_block"))
+    """``source_row_index`` from 0 inside each file, by its full path. The line id only orders the lines of
+    one block, so the result does not depend on how blocks were packed into tasks."""
+    ranked = numbered(scan, ["source_path"], ["file_block", "line_id"], F.col("file_block"))
     return ranked.withColumn("source_row_index", F.col("rn") - 1).drop("rn", "file_block", "line_id")
 
 
 def header_sets(spark: SparkSession, paths: Sequence[str], dataset: str) -> DataFrame:
-    """(dataset, source_file, column_name) of each file, from the first line only."""
-    lines = spark.read.format("text").option("wholetext", False).load(list(paths)).select(
-        F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_n"), "value",
-    )
-    first = lines.filter(F.col("_block") == 0).groupBy("source_file").agg(F.min_by("value", "_n").alias("header"))
+    """(dataset, source_file, column_name) of each file, from its header line."""
+    first = file_headers(spark, paths)
     return first.select(
-        F.lit(dataset).alias("dataset"), "source_file", F.explode(F.split("header", ",")).alias("column_name")
+        F.lit(dataset).alias("dataset"), F.col("source_path").alias("source_file"), F.explode(F.split("header", ",")).alias("column_name")
     ).withColumn("column_name", F.trim(F.regexp_replace("column_name", r"\s+", " ")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.operators.ordered import first_per_key
-from flowlake.schemas import EVENTS
+from flowlake.schemas import EVENTS, JSON_TYPES
 
 
 def has_rows(spark: SparkSession, path: str) -> bool:
@@ -17,21 +17,19 @@ def has_rows(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    """Append events whose id is not stored yet; later duplicates inside the batch are ignored too.
+def append_events(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Append events whose id is not stored yet, on whatever day it is resent; of an id that the batch
+    holds more than once the earliest row is stored.
 
-    The table is partitioned by day. Only the days of the batch are read back, since an id carries its
-    event time with it."""
+    The table is partitioned by day. Only the id column of the stored rows is read; the number of write
+    tasks follows from the rows of the batch."""
     spark = df.sparkSession
     batch = first_per_key(df.withColumn("event_date", F.to_date("ts")), ["event_id"], ["ts"])
     if has_rows(spark, path):
-        stored = spark.read.parquet(path).select("event_id", "event_date")
-        days = batch.select("event_date").distinct()
-        known = stored.join(F.broadcast(days), "event_date", "left_semi").select("event_id")
-        batch = batch.join(known, "event_id", "left_anti")
-    batch.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(32))).sortWithinPartitions(
-        "event_date", "source_ip"
-    ).write.mode("append").partitionBy("event_date").parquet(path)
+        batch = batch.join(spark.read.parquet(path).select("event_id"), "event_id", "left_anti")
+    batch.hint("rebalance", "event_date").sortWithinPartitions("event_date", "source_ip").write.mode("append").option(
+        "maxRecordsPerFile", rows_per_file
+    ).partitionBy("event_date").parquet(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -43,17 +41,12 @@ def read_jsonl(spark: SparkSession, path: str, schema=EVENTS) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-# Event columns stored as JSON text in exchange files.
-JSON_COLUMNS = ("features", "rule_matches", "detection", "response", "metadata")
-
-
 def to_json_columns(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.to_json(c) for c in JSON_COLUMNS})
+    return df.withColumns({c: F.to_json(c) for c in JSON_TYPES})
 
 
 def from_json_columns(df: DataFrame) -> DataFrame:
-    types = {f.name: f.dataType for f in EVENTS.fields}
-    return df.withColumns({c: F.from_json(c, types[c]) for c in JSON_COLUMNS})
+    return df.withColumns({c: F.from_json(c, t) for c, t in JSON_TYPES.items()})
 
 
 def export_columns(digits: dict[str, int], order: Sequence[str]) -> list[Column]:

@@ -84,7 +84,7 @@ select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar
        l_discount * 1000 as bwd_bytes,
        case when l_returnflag = 'N' then ' benign '
             when l_returnflag = 'A' and l_linestatus = 'F' then 'DoS  Hulk'
-            when l_returnflag = 'A' then concat('Web Attack ', chr(8211), ' XSS')
+            when l_returnflag = 'A' then 'Web Attack – XSS'
             when l_linestatus = 'F' then 'PortScan' else 'mystery' end as native_label,
        {shipts} as ts
 from lineitem
@@ -100,7 +100,27 @@ select event_id as seq, {ts} as ts, concat('10.0.0.', cast(user_id % 50 as varch
 from events
 """
 
+FLOW_ROWS = """
+select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-',
+              cast(l_partkey as varchar(20)), '-', cast(l_suppkey as varchar(20)), '-',
+              cast(cast(round(l_extendedprice * 100) as bigint) as varchar(20))) as row_id,
+       cast(case when l_linenumber <= 4 then 6 when l_linenumber = 5 then 1 else 17 end as int) as protocol,
+       cast(round(l_quantity) as int) as syn_count,
+       cast(case when l_discount < 0.03 then 0 else round(l_tax * 100) end as int) as ack_count,
+       cast(round(l_quantity) as int) as packet_count, cast(round(l_extendedprice / 100) as bigint) as total_bytes,
+       case when l_tax = 0 then 0.0 else l_quantity / 8.0 end as duration_s,
+       case when l_suppkey % 20 = 0 then '0.0.0.0' when l_suppkey % 20 = 1 then ' 127.0.0.1' else '10.0.0.7' end as src_ip,
+       case when l_linenumber = 2 then '127.0.0.9' else '10.1.0.1' end as dst_ip,
+       cast(20 + l_linenumber as int) as dst_port,
+       l_suppkey % 11 = 0 as has_syn_fin, l_suppkey % 11 = 1 as has_syn_rst,
+       l_suppkey % 11 = 2 as has_null_flags, l_suppkey % 11 = 3 as has_xmas_flags,
+       cast(case when l_suppkey % 11 = 4 then 2 else 0 end as bigint) as invalid_flags_count,
+       l_discount * 10 as score
+from lineitem
+"""
+
 VIEWS = {
+    "flow_rows": FLOW_ROWS,
     "packets": PACKETS, "scored": SCORED, "vectors": VECTORS, "raw_flows": RAW_FLOWS,
     "scored_events": SCORED_EVENTS,
 }
