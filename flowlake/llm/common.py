@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,14 +41,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_recording = False
+_recorded: list[str] = []
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _recording:
+        _recorded.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_of_one_stage(spark: SparkSession) -> Iterator[None]:
+    """Delete what the stage before staged in this scope, and record what is staged now. For a caller
+    that writes the result of each stage before it starts the next."""
+    global _recording
+    while _recorded:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_recorded.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _recording = True
+    try:
+        yield
+    finally:
+        _recording = False
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, so that a batch of the longest texts still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
