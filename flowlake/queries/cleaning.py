@@ -237,13 +237,19 @@ t3 as (select *, case when early is null then min(binary_label) filter (where ea
 tagged as (select *, coalesce(early, case when bad then 'label_conflict' when row_id <> first_id then 'duplicate_vector' end) as reason from t3)"""
 
 
-def tagged(spark, d):
-    return clean.tag_removals(raw(spark, d), DATASET, columns=BUILD, features=FEATURES, label="native_label", duration="duration_us", order="row_id")
+def tagged(spark, d, conflicts="reject_conflicts"):
+    return clean.tag_removals(
+        raw(spark, d), DATASET, columns=BUILD, features=FEATURES, label="native_label", duration="duration_us", order="row_id", conflicts=conflicts
+    )
 
 
-@BOOK.query("l15_population_build", f"{TAGGED} select row_id, {big('binary_label')} as binary_label, attack_family from tagged where reason is null")
+# under keep_first a conflict removes no row
+KEEP_FIRST = TAGGED.replace("case when bad then 'label_conflict' when row_id", "case when row_id")
+
+
+@BOOK.query("l15_population_build", f"{KEEP_FIRST} select row_id, {big('binary_label')} as binary_label, attack_family from tagged where reason is null")
 def _(spark, d):
-    return rounded(clean.population(tagged(spark, d)).select("row_id", "binary_label", "attack_family"))
+    return rounded(clean.population(tagged(spark, d, "keep_first")).select("row_id", "binary_label", "attack_family"))
 
 
 ACCOUNT = "count(*) as raw_rows, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in clean.REASONS) + ", count(*) filter (where reason is null) as final_rows, true as reconciles"

@@ -61,7 +61,7 @@ def test_unknown_policy_is_refused(spark):
 def test_isolation_forest_draws_for_each_tree(spark):
     df = spark.range(500).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
     nodes = ml.isolation_forest(df, ["a", "b"], "id", trees=10).toPandas()
-    assert nodes.groupby("tree").size().min() > 200  # a tree of 256 rows, not of 50
+    assert nodes.groupby("tree").size().min() > 100  # trees of 256 rows; 50 rows make 99 nodes at most
 
 
 def packets(spark, seconds, fins=()):
