@@ -48,8 +48,8 @@ from .common import map_batches, small_batches, staged, table, text_or_empty, te
 
 WORDS, SKETCH, LEAST_SHARED = 5, 64, 34
 PERCENT = 80
-BITS, STAR_LISTS, STAR_PIVOTS = 256, 2, 8
-PATIENCE, STAR_ROUNDS, BEST = 8, 3, 3
+BITS, STAR_LISTS, STAR_PIVOTS = 256, 2, 4
+PATIENCE, STAR_ROUNDS, BEST = 8, 1, 3
 NO_ID = -(2**63)
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31, _ONE = (np.uint64(x) for x in (30, 27, 31, 1))
