@@ -5,9 +5,11 @@ boundaries that need the least padding in total. Inside a bucket, where every ro
 boundary, batches of a token budget form: ``budget // boundary`` rows each, one at least.
 
 Lengths are byte-level tokens (UTF-8 bytes and an end token) unless another length is given. The
-histogram has ``CELLS`` cells at most: up to that length a cell is one length and the boundaries are
-optimal; beyond it a cell holds a range of lengths, a boundary is the longest length of its cell,
-and the boundaries are optimal among those.
+histogram has ``CELLS`` cells at most. Up to that many distinct lengths, however long, a cell is one
+length and the boundaries are optimal. Where there are more, a cell holds lengths of nearly equal
+size: the lengths of a cell differ by one part in ``r`` at most (r is about 20 000 with the longest
+text Spark can hold) and lengths up to ``r`` keep cells of their own, so no row widens the cells of
+the shorter ones; a boundary is then the longest length of its cell.
 
 Defined cases: a null text counts as empty and has length 1; a row longer than the budget gets a
 batch of its own; ties and repeated rows get places of their own; an empty table gives an empty
@@ -16,15 +18,16 @@ result; columns named in ``keep`` travel along and further ones are ignored.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spread_rank, staged, table, text_or_empty
 
-BUCKETS, TOKEN_BUDGET, CELLS = 16, 1 << 18, 4096
+BUCKETS, TOKEN_BUDGET, CELLS = 16, 1 << 18, 1 << 18
 
 
 def byte_tokens() -> Column:
@@ -33,38 +36,66 @@ def byte_tokens() -> Column:
 
 def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
     """At most ``buckets`` of the ascending ``lengths``, the last one included, with the least
-    padding when every row is padded to the next boundary; of equal choices the fewest buckets."""
-    x, c = np.array(lengths, dtype=float), np.concatenate([[0.0], np.cumsum(np.array(counts, dtype=float))])
-    n = len(x)
+    padding when every row is padded to the next boundary; of equal choices the fewest buckets.
+
+    A round allows one bucket more and takes time linear in the lengths: what the first i lengths
+    cost before a last bucket is a line in the length that ends it, the lines fall ever steeper and
+    the lengths ascend, so the lower envelope is walked once. Integers keep every sum exact.
+    """
+    x, n = [int(v) for v in lengths], len(lengths)
     if not n:
         return []
+    c = [0]
+    for v in counts:
+        c.append(c[-1] + int(v))
     # cost[j]: padded size of the first j lengths; a bucket of lengths i..j-1 costs x[j-1] * (c[j] - c[i])
-    cost = np.concatenate([[0.0], x * c[1:]])
-    choices, totals = [np.zeros(n + 1, dtype=int)], [cost[n]]
+    cost = [0, *(v * m for v, m in zip(x, c[1:], strict=True))]
+    choices, totals = [array("l", bytes(8 * (n + 1)))], [cost[n]]
     for _ in range(1, min(buckets, n)):
-        new, choice = cost.copy(), np.zeros(n + 1, dtype=int)
+        new, choice, lines, at = cost.copy(), array("l", bytes(8 * (n + 1))), [], 0
         for j in range(1, n + 1):
-            options = cost[:j] - x[j - 1] * c[:j]
-            i = int(options.argmin())
-            new[j], choice[j] = options[i] + x[j - 1] * c[j], i
+            k = j - 1
+            while len(lines) > 1 and (cost[k] - cost[lines[-2]]) * (c[lines[-1]] - c[lines[-2]]) <= (cost[lines[-1]] - cost[lines[-2]]) * (c[k] - c[lines[-2]]):
+                lines.pop()
+            lines.append(k)
+            at = min(at, len(lines) - 1)
+            end = x[k]
+            while at + 1 < len(lines) and cost[lines[at + 1]] - end * c[lines[at + 1]] < cost[lines[at]] - end * c[lines[at]]:
+                at += 1
+            i = lines[at]
+            new[j], choice[j] = cost[i] + end * (c[j] - c[i]), i
         cost = new
         choices.append(choice)
         totals.append(cost[n])
     found, j = [], n
-    for choice in reversed(choices[: int(np.argmin(totals)) + 1]):
-        found.append(int(lengths[j - 1]))
-        j = int(choice[j])
+    for choice in reversed(choices[: totals.index(min(totals)) + 1]):
+        found.append(x[j - 1])
+        j = choice[j]
         if not j:
             break
     return found[::-1]
 
 
+def relative_cells(longest: int, cells: int) -> int:
+    """The largest r for which single lengths up to r, and beyond it cells whose ends grow by one part in
+    r, are ``cells`` at most up to ``longest``; 1 at least."""
+    low, high = 1, cells
+    while low < high:
+        r = (low + high + 1) // 2
+        low, high = (r, high) if r + math.log(max(longest, r) / r) / math.log1p(1 / r) + 1 <= cells else (low, r - 1)
+    return low
+
+
 def histogram(rows: DataFrame, cells: int) -> list[tuple[int, int]]:
-    """(longest length, rows) of each cell of equal width, ascending; ``cells`` rows at most."""
-    longest = rows.agg(F.max("n_tokens")).first()[0] or 0
-    width = max(1, -(-longest // cells))
-    counted = rows.groupBy(F.ceil(F.col("n_tokens") / width).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
-    return sorted((r["longest"], r["n"]) for r in counted.collect())
+    """(longest length, rows) of each cell, ascending: every distinct length, or cells of nearly equal
+    lengths where more than ``cells`` lengths are distinct."""
+    counted = rows.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    found = counted.agg(F.count("*"), F.max("n_tokens")).first()
+    if found[0] > cells:
+        r, x = relative_cells(found[1], cells), F.col("n_tokens")
+        cell = F.when(x <= r, x.cast("double")).otherwise(r + F.ceil(F.log(x / r) / math.log1p(1 / r)))
+        counted = counted.groupBy(cell.alias("cell")).agg(F.max("n_tokens").alias("n_tokens"), F.sum("n").alias("n"))
+    return sorted((r["n_tokens"], r["n"]) for r in counted.collect())
 
 
 def pack(

@@ -58,3 +58,29 @@ def test_boundaries_follow_the_whole_table(spark):
 
 def test_empty_table(spark):
     assert packing.pack(empty(spark)).collect() == []
+
+
+def rows_of(counted):
+    return [(i, "a" * (x - 1), "en", "s", x - 1) for i, x in enumerate(x for x, n in counted for _ in range(n))]
+
+
+def test_a_huge_row_leaves_the_boundaries_of_the_others(spark):
+    counted = [(x, 1 + x % 7) for x in range(2, 400, 3)] + [(20_000_000, 1)]
+    rows = rows_of(counted)
+    want = padded(*zip(*counted, strict=True), packing.boundaries(*zip(*counted, strict=True), packing.BUCKETS))
+    got = packing.pack(frame(spark, rows, clashing=False)).agg({"boundary": "sum"}).first()[0]
+    assert got == want
+    small = counted[:-1]
+    assert want - 20_000_000 == padded(*zip(*small, strict=True), packing.boundaries(*zip(*small, strict=True), packing.BUCKETS - 1))
+
+
+def test_cells_of_nearly_equal_lengths(spark):
+    longest, cells = 2_000_000, 5000
+    lengths = spark.range(1, 30_001).selectExpr("id as n_tokens").union(spark.range(1).selectExpr(f"{longest}L as n_tokens"))
+    counted = packing.histogram(lengths, cells)
+    r = packing.relative_cells(longest, cells)
+    assert r > 500 and len(counted) <= cells and counted[-1] == (longest, 1) and sum(n for _, n in counted) == 30_001
+    ends = [x for x, _ in counted]
+    assert ends[:r] == list(range(1, r + 1))
+    assert all(n <= 1 + x / r for x, n in counted)
+    assert packing.relative_cells(2**31, packing.CELLS) > 15_000
