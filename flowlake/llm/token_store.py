@@ -12,7 +12,9 @@ committing to Spark, so a lost executor costs a task.
 
 The tokenizer encodes distinct words, not texts: byte-level pre-tokenisation never crosses a single
 space between two other characters, so a text is the concatenation of its words' codes. A worker
-keeps the words it met in a table of bounded size.
+keeps the words it met in a table of bounded size. A text that holds the content of an added token
+(as ``<|endoftext|>``) is encoded whole, for the tokenizer looks for those before it looks for words;
+as is its default, such content becomes the added token's id.
 
 Defined cases: a null text counts as empty and has the end id only; null ids come first; repeated
 rows and ids are kept, ordered by a hash of the text; an empty table makes a store without
@@ -122,7 +124,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         size = self.tokenizer.get_vocab_size()
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
         self.inner: dict[str, bytes] = {}
@@ -151,8 +154,12 @@ class WordEncoder:
             self.inner.clear()
         if len(self.whole) > TABLE_WORDS // 10:
             self.whole.clear()
-        split, seen, alone = [], set(), set()
+        split, seen, alone, entire = [], set(), set(), []
         for text in texts:
+            if self.added and self.added.search(text):
+                entire.append(text)
+                split.append(None)
+                continue
             if IRREGULAR.search(text):
                 parts = WORD_STARTS.split(text)
                 tail = [parts.pop()] if len(parts) > 1 and parts[-1][-1].isspace() else []
@@ -167,8 +174,8 @@ class WordEncoder:
         self.learn([w for w in seen if w not in self.inner])
         alone = [x for x in alone if x not in self.whole]
         self.whole.update(zip(alone, self.ids(alone), strict=True))
-        inner, whole = self.inner.__getitem__, self.whole.__getitem__
-        return [b"".join([whole(head), *map(inner, words), *map(whole, tail)]) for head, words, tail in split]
+        inner, whole, entire = self.inner.__getitem__, self.whole.__getitem__, iter(self.ids(entire))
+        return [next(entire) if s is None else b"".join([whole(s[0]), *map(inner, s[1]), *map(whole, s[2])]) for s in split]
 
 
 @lru_cache(maxsize=2)

@@ -80,3 +80,33 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "store")
     T.write_store(empty(spark), path)
     assert T.document_digests(spark, path).collect() == []
+
+
+END = "<|endoftext|>"
+
+
+@given(st.lists(st.sampled_from([END, END[:-1], END[1:], " ", "  ", "\n", "one", "two", "é"]), max_size=12).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_added_tokens_as_an_untouched_tokenizer_has_them(text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(T.default_tokenizer())
+    texts = ["one two", text, f"one {END} two"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in T.word_encoder(T.default_tokenizer()).encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[2] == [505, 220, 50256, 734]
+
+
+def test_store_of_texts_with_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(T.default_tokenizer())
+    path = str(tmp_path / "store")
+    texts = ["one two", f"one {END} two", END, f"a{END}{END} b c"]
+    T.write_store(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), path)
+    at, want = 0, []
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, T.END_ID]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in T.document_digests(spark, path).collect()) == want
