@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowlake.llm import fingerprints as P
 
-from .corpus import documents, empty, frame
+from .corpus import documents, empty, frame, words
 
 TEXT = st.text(alphabet="ab é", max_size=300)
 
@@ -66,3 +67,42 @@ def test_ties_nulls_and_small_tables(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
     two = P.neighbours(frame(spark, [(None, None, "en", "s", 4), (None, "", "en", "s", 4)])).collect()
     assert [r["near_edited"] for r in two] == [1.0, 1.0]
+
+
+def many(seed, n):
+    return words(random.Random(seed), n)
+
+
+def near(a, b):
+    return P.resemblance(P.PrefixHashes(a), P.PrefixHashes(b))
+
+
+def test_resemblance_around_several_edits():
+    base = many(3, 400)
+    text = " ".join(base)
+    for at in ([100, 300], [1, 398], [0, 399], list(range(10, 400, 20))):
+        changed = list(base)
+        for i in at:
+            changed[i] = "Z" * len(base[i])
+        copy = " ".join(changed)
+        lost = sum(len(base[i]) for i in at)
+        assert abs(near(text, copy) - (len(text) - lost) / len(text)) < 0.01, at
+        assert near(text, copy) == near(copy, text)
+    moved = " ".join(base[200:] + base[:200])
+    assert near(text, moved) > 0.99
+    assert near(text, " ".join(many(4, 400))) < 0.05
+
+
+@given(TEXT, TEXT)
+@settings(max_examples=200, deadline=None)
+def test_resemblance_is_bounded_and_no_less_than_the_ends_show(a, b):
+    got = near(a, b)
+    assert 0 <= got <= 1 and got == near(b, a) and (got == 1.0) == (a == b)
+    assert got >= P.likeness(P.fingerprint(a), P.fingerprint(b)) - 1e-9
+
+
+def test_query_sees_text_between_edits(spark):
+    base = many(5, 300)
+    one, two = " ".join(base), " ".join(["Z" * len(w) if i in (3, 296) else w for i, w in enumerate(base)])
+    got = P.neighbours(frame(spark, [(1, one, "en", "s", 0), (2, two, "en", "s", 0)])).collect()
+    assert all(r["near_next"] > 0.95 for r in got)
