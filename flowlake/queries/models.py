@@ -11,13 +11,13 @@ from flowlake.queries.events import scratch
 from flowlake.sources.views import cte, table, view
 
 BOOK = Book()
-SIZE = 8
+SIZE = 64  # the whole width of an embedding
 NAMES = [f"f{i}" for i in range(SIZE)]
 VEC = cte("vectors")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first features of every embedding, an attack label, and a fixed split."""
+    """The features of every embedding, an attack label, and a fixed split."""
     df = table(spark, d, "embeddings").withColumn("y", (F.col("label") % 2).cast("int"))
     df, _ = ml.spread_array(df, "embedding", SIZE)
     return df.withColumn("is_test", F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0).drop("embedding")
@@ -70,20 +70,20 @@ def tested(scored: DataFrame) -> DataFrame:
 def _(spark, d):
     train, test = parts(spark, d)
     prepare = ready(train)
-    return tested(ml.attack_score(ml.random_forest(prepare(train), trees=20, depth=6), prepare(test)))
+    return tested(ml.attack_score(ml.random_forest(prepare(train)), prepare(test)))
 
 
 @BOOK.query("ml2_importances")
 def _(spark, d):
     train, _ = parts(spark, d)
-    return rounded(ml.importances(ml.random_forest(ready(train)(train), trees=20, depth=6), NAMES, spark), 3)
+    return rounded(ml.importances(ml.random_forest(ready(train)(train)), NAMES, spark), 3)
 
 
 @BOOK.query("ml3_gradient_boosting")
 def _(spark, d):
     train, test = parts(spark, d)
     prepare = ready(train)
-    return tested(ml.attack_score(ml.gradient_boosting(prepare(train), rounds=10, depth=3), prepare(test)))
+    return tested(ml.attack_score(ml.gradient_boosting(prepare(train)), prepare(test)))
 
 
 @BOOK.query("ml4_logistic")
@@ -97,7 +97,7 @@ def _(spark, d):
 def _(spark, d):
     train, test = parts(spark, d)
     prepare = ready(train)
-    return tested(ml.attack_score(ml.decision_tree(prepare(train), depth=6), prepare(test)))
+    return tested(ml.attack_score(ml.decision_tree(prepare(train)), prepare(test)))
 
 
 @BOOK.query("ml6_isolation_forest")
@@ -105,7 +105,7 @@ def _(spark, d):
     train, test = parts(spark, d)
     benign = train.filter("y = 0")
     size = min(256, benign.count())
-    forest = ml.isolation_forest(benign, NAMES, "vec_id", trees=50)
+    forest = ml.isolation_forest(benign, NAMES, "vec_id")
     return rounded(ml.isolation_scores(test, NAMES, forest, size).select("vec_id", "y", "score"), 4)
 
 
@@ -113,7 +113,7 @@ def _(spark, d):
 def _(spark, d):
     named = lambda df: df.withColumn("family", F.concat(F.lit("c"), (F.col("label") % 4).cast("string")))
     train, test = parts(spark, d)
-    model, classes = ml.fit_families(named(train), NAMES, "family", trees=20, depth=6)
+    model, classes = ml.fit_families(named(train), NAMES, "family")
     got = ml.multiclass_family(model, ml.assemble(named(test), NAMES), classes)
     return got.groupBy("family", "predicted_family").agg(F.count("*").alias("n"))
 
@@ -122,7 +122,7 @@ def _(spark, d):
 def _(spark, d):
     train, test = parts(spark, d)
     prepare = ready(train)
-    forest = ml.random_forest(prepare(train), trees=10, depth=5)
+    forest = ml.random_forest(prepare(train))
     nodes = ml.forest_nodes(forest, spark, scratch(spark, "forest"))
     phi = ml.attributions(prepare(test), "vec_id", NAMES, nodes)
     total = phi.groupBy("row_id").agg((F.sum("phi") + F.max("base")).alias("explained"))
@@ -133,14 +133,14 @@ def _(spark, d):
 @BOOK.query("ml9_rung_sweep")
 def _(spark, d):
     train, test = parts(spark, d)
-    got = ml.rung_sweep(train, test, {"R4": NAMES[:4], "R8": NAMES}, trees=10, depth=5)
+    got = ml.rung_sweep(train, test, {"R4": NAMES[:4], "R8": NAMES[:8], f"R{SIZE}": NAMES})
     return rounded(got.select("rung", "model", "n", "accuracy", "f1"), 3)
 
 
 @BOOK.query("ml10_transfer_eval")
 def _(spark, d):
     df = vectors(spark, d)
-    got = ml.transfer_eval(df.filter("label < 5"), df.filter("label >= 5"), NAMES, trees=10, depth=5)
+    got = ml.transfer_eval(df.filter("label < 5"), df.filter("label >= 5"), NAMES)
     return rounded(got.select("population", "n", "accuracy", "f1"), 3)
 
 

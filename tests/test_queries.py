@@ -47,3 +47,9 @@ def test_entry_and_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(QUERIES) > 200
+
+
+def test_models_see_the_whole_embedding(spark):
+    wide = len(spark.read.parquet(f"{DIR}/embeddings.parquet").select("embedding").first()[0])
+    got = {r["feature"] for r in QUERIES["ml2_importances"](spark, DIR).select("feature").collect()}
+    assert got == {f"f{i}" for i in range(wide)}
