@@ -10,6 +10,7 @@ from .packing import op5_packing
 from .pieces import op6_pieces
 from .pii import op8_pii
 from .quality import op9_quality
+from .quality_rules import OP11_SQL, op11_quality_rules
 from .sharding import op3_sharding
 from .token_store import op1_token_store
 
@@ -24,7 +25,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
+    "op11_quality_rules": op11_quality_rules,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
+    "op11_quality_rules": OP11_SQL,
 }
