@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fingerprints import op2_fingerprints
 from .html_text import op10_html_text
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .near_dedup import op4_near_dedup
 from .packing import op5_packing
 from .pieces import op6_pieces
@@ -26,8 +27,10 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
     "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op11_quality_rules": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
