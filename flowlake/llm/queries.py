@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fingerprints import op2_fingerprints
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_text import op10_html_text
 from .merkle import OP12_SQL, op12_merkle_manifest
 from .near_dedup import op4_near_dedup
@@ -28,9 +29,11 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_quality_rules": op11_quality_rules,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op11_quality_rules": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
