@@ -103,23 +103,24 @@ def vertical_scans(
     )
 
 
-def live_ports(
-    probes: DataFrame, window_s: float, chunk_s: float
+def live_items(
+    probes: DataFrame, item: str, window_s: float, chunk_s: float, out: str
 ) -> DataFrame:
-    """Per probe, the distinct ports of its source over the destinations still live at that moment.
+    """Per probe, the distinct values of ``item`` (the port, or the destination) of its source over the
+    destinations still live at that moment.
 
-    A (source, destination, session, port) is live from its first probe until the session end plus the
-    window. The intervals of a port are merged inside a time slice, and a sweep of +1 / -1 steps counts
-    the ports, so no set is held for a source."""
+    An item of a (source, destination, session) is live from its first probe until the session end plus the
+    window. The intervals of an item are merged inside a time slice, and a sweep of +1 / -1 steps counts
+    the items, so no set is held for a source."""
     reach = micros(window_s)
     width = micros(max(chunk_s, window_s))
     dst = ["src_ip", "dst_ip", "session_seq"]
     ends = probes.groupBy(*dst).agg((F.unix_micros(F.max("ts")) + reach).alias("until"))
     spans = (
-        probes.groupBy(*dst, "dst_port").agg(F.min(F.struct("ts", "probe_id")).alias("at"))
+        probes.withColumn("_item", F.col(item)).groupBy(*dst, "_item").agg(F.min(F.struct("ts", "probe_id")).alias("at"))
         .join(ends, dst)
         .select(
-            "src_ip", "dst_port", F.unix_micros("at.ts").alias("from_us"),
+            "src_ip", "_item", F.unix_micros("at.ts").alias("from_us"),
             F.col("at.probe_id").alias("from_id"), "until",
         )
     )
@@ -129,12 +130,12 @@ def live_ports(
             F.col("_chunk") == slot("from_us"), F.struct(F.col("from_us").alias("us"), F.col("from_id").alias("id"))
         ).otherwise(F.struct((F.col("_chunk") * width).alias("us"), F.lit(-1).cast("long").alias("id"))),
     })
-    w = Window.partitionBy("src_ip", "dst_port", "_chunk").orderBy("_start", "until")
+    w = Window.partitionBy("src_ip", "_item", "_chunk").orderBy("_start", "until")
     so_far = F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1))
     grouped = (
         cut.withColumn("_new", (so_far.isNull() | (F.col("_start.us") > so_far)).cast("long"))
         .withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("src_ip", "dst_port", "_chunk", "_g")
+        .groupBy("src_ip", "_item", "_chunk", "_g")
         .agg(F.min("_start").alias("_start"), F.max("until").alias("until"))
     )
     step = lambda us, i, d: F.struct(us.alias("us"), i.alias("id"), F.lit(d).cast("long").alias("d"))
@@ -153,9 +154,9 @@ def live_ports(
     sweep = Window.partitionBy("src_ip", "_chunk").orderBy("us", "id", "is_row")
     return (
         steps.unionByName(rows)
-        .withColumn("live_ports", F.sum("d").over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn(out, F.sum("d").over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
         .filter(F.col("is_row") == 1)
-        .select("src_ip", F.timestamp_micros("us").alias("ts"), F.col("id").alias("probe_id"), "live_ports")
+        .select("src_ip", F.timestamp_micros("us").alias("ts"), F.col("id").alias("probe_id"), out)
     )
 
 
@@ -164,12 +165,13 @@ def distributed_scans(
     min_ports: int = 5, min_probes: int = 5, chunk_s: float = DAY,
 ) -> DataFrame:
     """One alert per activity session of a source: the first probe at which the distinct ports over all
-    live destinations reach the threshold and that is not itself a vertical alert."""
+    live destinations reach the threshold and that is not itself a vertical alert; with the number of
+    those destinations."""
     base = _probes(flows, ts, order)
     by_dst = gap_sessions(
         base, ["src_ip", "dst_ip"], "ts", ["probe_id"], window_s, chunk_s=chunk_s, out="session_seq"
     )
-    counted = live_ports(by_dst, window_s, chunk_s)
+    counted = live_items(by_dst, "dst_port", window_s, chunk_s, "live_ports")
     sessions = gap_sessions(
         base, ["src_ip"], "ts", ["probe_id"], window_s, chunk_s=chunk_s, out="source_session"
     )
@@ -186,8 +188,9 @@ def distributed_scans(
         .join(vertical, key, "left_anti")
         .join(sessions.select(*key, "source_session"), key)
     )
-    return first_per_key(candidates, ["src_ip", "source_session"], ["ts", "probe_id"]).select(
-        "src_ip", "source_session", "ts", "probe_id", F.col("live_ports").alias("unique_ports")
+    firsts = first_per_key(candidates, ["src_ip", "source_session"], ["ts", "probe_id"])
+    return firsts.join(live_items(by_dst, "dst_ip", window_s, chunk_s, "targets"), key).select(
+        "src_ip", "source_session", "ts", "probe_id", F.col("live_ports").alias("unique_ports"), "targets"
     )
 
 
@@ -200,7 +203,8 @@ def scan_columns(flows: DataFrame, order: str, ts: str, **limits) -> DataFrame:
     )
     d = distributed_scans(tcp, ts, order, **limits).select(
         F.col("probe_id").alias("_id"), F.lit("DISTRIBUTED").alias("scan_type"),
-        F.col("unique_ports").alias("scan_ports"), F.lit("multiple targets").alias("scan_target"),
+        F.col("unique_ports").alias("scan_ports"), 
+        F.concat(F.col("targets").cast("string"), F.lit(" targets (subnet scan)")).alias("scan_target"),
     )
     hits = v.unionByName(d)
     return flows.join(hits, flows[order].cast("long") == hits["_id"], "left").drop("_id")

@@ -6,8 +6,8 @@ query states the rule of the operator in DuckDB's dialect, over the same views.
 
 from __future__ import annotations
 
-from flowlake.queries import cleaning, correlation, drift, events, flows, models, policy, quality, splits
+from flowlake.queries import cleaning, correlation, drift, events, flows, models, policy, quality, splits, streams
 
-_GROUPS = (flows, correlation, quality, cleaning, splits, drift, policy, events, models)
+_GROUPS = (flows, correlation, quality, cleaning, splits, drift, policy, events, models, streams)
 QUERIES = {name: fn for g in _GROUPS for name, fn in g.BOOK.queries.items()}
 ORACLE_SQL = {name: sql for g in _GROUPS for name, sql in g.BOOK.sql.items()}

@@ -80,13 +80,32 @@ def _(spark, d):
     return got.select("src_ip", "dst_ip", "session_seq", F.unix_micros("ts").alias("us"), "probe_id", "unique_ports")
 
 
-@BOOK.query("x4_distributed_port_scan")
+#: The correlator as a recursive walk over the probes of a source, its destinations as a list of records.
+_W, _PORTS, _PROBES = int(SCAN["window_s"] * 1e6), SCAN["min_ports"], SCAN["min_probes"]
+SCAN_SQL = f"""{cte('packets').replace('with ', 'with recursive ', 1)},
+probes as (select src_ip, dst_ip, dst_port, epoch_us(ts) as us, pkt_id, row_number() over (partition by src_ip order by ts, pkt_id) as rn from packets where protocol = 6 and dst_port between 1 and 65535),
+walk as (
+ select src_ip, 0::bigint as rn, 0::bigint as us, 0::bigint as pkt_id, ''::varchar as dst_ip, []::struct(dst varchar, last bigint, n bigint, done boolean, ports integer[])[] as targets, 0::bigint as total, false as alerted,
+  null::varchar as scan_type, 0::bigint as unique_ports, 0::bigint as live from probes where rn = 1
+ union all
+ select src_ip, rn, us, pkt_id, dst_ip, list_append(others, {{'dst': dst_ip, 'last': us, 'n': n, 'done': done or vertical, 'ports': ports}}), total, alerted or spread,
+  case when vertical then 'VERTICAL' when spread then 'DISTRIBUTED' end, case when vertical then len(ports) else len(every) end, len(others) + 1
+ from (select *, not vertical and not alerted and len(every) >= {_PORTS} and total >= {_PROBES} as spread
+  from (select *, not done and len(ports) >= {_PORTS} and n >= {_PROBES} as vertical, list_distinct(list_concat(flatten(list_transform(others, lambda t: t.ports)), ports)) as every
+   from (select *, list_filter(kept, lambda t: t.dst <> dst_ip) as others, coalesce(mine.n, 0) + 1 as n, coalesce(mine.done, false) as done, list_distinct(list_append(coalesce(mine.ports, []::integer[]), dst_port)) as ports
+    from (select *, list_filter(kept, lambda t: t.dst = dst_ip)[1] as mine, case when len(kept) = 0 then 0 else held end + 1 as total, case when len(kept) = 0 then false else was end as alerted
+     from (select r.src_ip, r.rn, r.us, r.pkt_id, r.dst_ip, r.dst_port, w.total as held, w.alerted as was, list_filter(w.targets, lambda t: t.last >= r.us - {_W}) as kept
+      from walk w join probes r on r.src_ip = w.src_ip and r.rn = w.rn + 1))))))"""
+
+
+@BOOK.query("x4_distributed_port_scan", f"{SCAN_SQL} select src_ip, us, pkt_id as probe_id, unique_ports, live as targets from walk where scan_type = 'DISTRIBUTED'")
 def _(spark, d):
     got = hosts.distributed_scans(tcp(spark, d), "ts", "pkt_id", **SCAN)
-    return got.select("src_ip", F.unix_micros("ts").alias("us"), "probe_id", "unique_ports")
+    return got.select("src_ip", F.unix_micros("ts").alias("us"), "probe_id", "unique_ports", "targets")
 
 
-@BOOK.query("r7_multi_flow_scan")
+@BOOK.query("r7_multi_flow_scan", f"""{SCAN_SQL} select pkt_id, scan_type, 'RULE-PORT-SCAN-MULTI-FLOW' as rule_id, 'HIGH' as severity,
+ 'unique_ports=' || unique_ports || ', target=' || case when scan_type = 'VERTICAL' then dst_ip else live || ' targets (subnet scan)' end as matched_value from walk where scan_type is not null""")
 def _(spark, d):
     got = hosts.scan_columns(view(spark, d, "packets"), "pkt_id", "ts", **SCAN)
     return got.withColumn("m", rules.multi_flow()).filter("m is not null").select("pkt_id", "scan_type", "m.rule_id", "m.severity", "m.matched_value")

@@ -12,7 +12,6 @@ from flowlake.queries.book import Book, big, rnd, rounded
 from flowlake.queries.policy import GATE, gated
 from flowlake.sources import scans, sinks
 from flowlake.sources.views import cte, table, view
-from flowlake.streaming import jobs
 
 BOOK = Book()
 E = cte("scored_events")
@@ -211,31 +210,3 @@ def _(spark, d):
     df.drop("part").write.json(path)
     got = scans.json_flow_samples(spark, path, ["AO", "NF", "NO", "RF", "RO"])
     return rounded(got.select("category", "flow_id", F.col("features")["score"].alias("score")))
-
-
-# ---- streams: files of the given tables, read with availableNow ---------------------------------------
-
-
-@BOOK.query("x6_stream_dedup", "select distinct user_id, event_type from events")
-def _(spark, d):
-    rows = table(spark, d, "events").select("user_id", "event_type", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
-    return jobs.run_once(spark, rows, scratch(spark, "x6"), lambda s: jobs.dedup(s, ["user_id", "event_type"], "ts")).select("user_id", "event_type")
-
-
-@BOOK.query("x9_event_stream_sink", f"{E} select cast(seq as varchar) as event_id, {SEVERITY} as severity from scored_events")
-def _(spark, d):
-    return jobs.sink_once(spark, security_events(spark, d), scratch(spark, "x9")).select("event_id", "severity")
-
-
-@BOOK.query("x5_stream_tumbling_counts", f"{E} select host_id, epoch_us(ts) // 86400000000 * 86400000000 as window_start_us, count(*) as n from scored_events group by all")
-def _(spark, d):
-    rows = view(spark, d, "scored_events").select("host_id", "ts")
-    got = jobs.run_once(spark, rows, scratch(spark, "x5"), lambda s: jobs.windowed_counts(s, "host_id", "ts", "1 day", "60 days"), mode="complete")
-    return got.select("host_id", F.unix_micros("window_start").alias("window_start_us"), "n")
-
-
-@BOOK.query("x10_stream_alert_dedup")
-def _(spark, d):
-    rows = view(spark, d, "scored_events").filter("score >= 0.3").select("host_id", (F.col("k") % 3).alias("target"), "ts", "seq")
-    got = jobs.run_once(spark, rows, scratch(spark, "x10"), lambda s: jobs.throttle(s, ["host_id", "target"], "ts", "seq", 43_200.0))
-    return got.select("seq", "deduplicated")

@@ -1,20 +1,16 @@
-"""Structured Streaming twins of the per-key operators.
+"""Streams that Spark's own stateful operators express: deduplication, windowed and session counts, the sink.
 
 Each takes a streaming DataFrame with an event-time column. Rows later than the watermark are dropped by
-Spark and counted in the progress of the query (``late_rows``).
+Spark and counted in the progress of the query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlake.sources.sinks import append_events
 
@@ -37,59 +33,18 @@ def session_counts(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -
     return counted.select(key, F.col("w.start").alias("first_ts"), F.col("w.end").alias("closes_ts"), "n")
 
 
-def throttle(stream: DataFrame, keys: Sequence[str], ts: str, order: str, gap_s: float) -> DataFrame:
-    """Mark rows within ``gap_s`` of the last row of the key that was not itself marked.
-
-    The state of a key is the time of that row. Rows of one micro-batch are taken in time order; a row
-    that arrives in a later batch is judged against the leader known by then."""
-    gap = int(round(gap_s * 1_000_000))
-    names = stream.columns
-    schema = T.StructType([*stream.schema.fields, T.StructField("deduplicated", T.BooleanType())])
-
-    def mark(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values([ts, order], kind="stable")
-        us = rows[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
-        leader = state.get[0] if state.exists else None
-        flags = []
-        for t in us.tolist():
-            leads = leader is None or t - leader >= gap
-            leader = t if leads else leader
-            flags.append(not leads)
-        state.update((leader,))
-        yield rows[names].assign(deduplicated=flags)
-
-    return stream.groupBy(*keys).applyInPandasWithState(mark, schema, "leader long", "append", GroupStateTimeout.NoTimeout)
-
-
 def sink_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Idempotent event sink: a micro-batch that is replayed stores nothing twice."""
     write = stream.writeStream.foreachBatch(lambda batch, _: append_events(batch, path))
     return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark dropped so far."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-
-
 def as_stream(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     """The rows as files of a folder, read as a stream."""
     rows.write.parquet(f"{folder}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
 
-def run_once(spark: SparkSession, rows: DataFrame, folder: str, job: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Run a job over all rows with ``availableNow`` and read back what it wrote."""
-    out = job(as_stream(spark, rows, folder))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
-
-    query = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
-
-
 def sink_once(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     """Send the rows through ``sink_events`` twice, as after a restart from scratch, and read the table."""
     stream = as_stream(spark, rows, folder)
