@@ -133,7 +133,8 @@ class Manifest:
 
 
 def jump(rows: DataFrame, ancestors: DataFrame, distance: int) -> DataFrame:
-    """Let every row jump from its pointer to its ancestor's, appending the ancestor's path."""
+    """Let every row jump from its pointer to its ancestor's, appending the ancestor's path. The copies are
+    shuffled: Spark estimates their size before they are made, which is no bound for a broadcast."""
     copies = min(FANOUT ** (distance - 1), MOST_COPIES)
     ancestors = ancestors.select(
         F.col("tree").alias("at_tree"), F.col("level").alias("at_level"), F.col("pos").alias("at_pos"),
@@ -141,7 +142,7 @@ def jump(rows: DataFrame, ancestors: DataFrame, distance: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("_salt"),
     )
     rows = rows.withColumn("_salt", F.pmod(F.expr(f"pos div {FANOUT}"), F.lit(copies)))
-    met = rows.join(ancestors, ["at_tree", "at_level", "at_pos", "_salt"], "left")
+    met = rows.join(ancestors.hint("merge"), ["at_tree", "at_level", "at_pos", "_salt"], "left")
     moved = {f"at_{c}": F.coalesce(f"_{c}", f"at_{c}") for c in ("tree", "level", "pos")}
     met = met.withColumn("path", F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("path", "_path"))).withColumns(moved)
     return met.select(*[c for c in rows.columns if c != "_salt"])
