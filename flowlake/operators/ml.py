@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -200,10 +199,9 @@ def _c(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def isolation_forest(train: DataFrame, features: Sequence[str], row_id: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Trees as node rows. Each tree grows on its own draw of min(``sample``, n) rows, independent of the
-    other trees' draws: the rows of least hash seeded by the tree. A task keeps its ``sample`` least rows
-    per tree, so at most ``trees * sample`` rows leave a task, whatever the table."""
+def tree_draws(train: DataFrame, features: Sequence[str], row_id: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """(tree, rank, features): for each tree the rows of least hash seeded by it. A task keeps its ``sample`` least
+    rows per tree, so at most ``trees * sample`` rows leave a task; the ``sample`` least of all are the draw."""
     feats, size = list(features), sample
     kinds = ", ".join(f"`{f}` double" for f in feats)
 
@@ -223,7 +221,14 @@ def isolation_forest(train: DataFrame, features: Sequence[str], row_id: str, tre
             yield held[["tree", "rank", *feats]]
 
     base = train.select(F.abs(F.xxhash64(F.col(row_id).cast("string"))).alias("_h"), *[F.col(f).cast("double").alias(f) for f in feats])
-    drawn = base.mapInPandas(least, f"tree int, rank long, {kinds}")
+    return base.mapInPandas(least, f"tree int, rank long, {kinds}")
+
+
+def isolation_forest(train: DataFrame, features: Sequence[str], row_id: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Trees as node rows. Each tree grows on its own draw of min(``sample``, n) rows, independent of the
+    other trees' draws."""
+    feats, size = list(features), sample
+    drawn = tree_draws(train, feats, row_id, trees, sample, seed)
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
@@ -288,65 +293,6 @@ def isolation_scores(df: DataFrame, features: Sequence[str], forest: DataFrame,
     return df.withColumn("_path", mean).withColumn(out, 1.0 / (1.0 + F.exp(10.0 * d))).drop("_path")
 
 
-# ---- attributions --------------------------------------------------------------------------------
-
-def forest_nodes(model, spark, folder: str) -> list[tuple]:
-    """Node arrays of a fitted MLlib forest, read from the model's own saved form. The size is bounded by
-    trees * 2^depth."""
-    if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("the folder must be storage that driver and executors share")
-    path = f"{folder.rstrip('/')}/forest-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    data = spark.read.parquet(f"{path}/data")
-    if "nodeData" in data.columns:
-        data = data.select("treeID", "nodeData.*")
-    table = data.select(
-        "treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
-        F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("cut"), F.col("impurityStats").alias("stats"),
-    ).toPandas().sort_values(["treeID", "id"])
-    forest = []
-    for _, g in table.groupby("treeID"):
-        stats = np.asarray(g["stats"].tolist(), dtype=float)
-        p1 = stats[:, 1] / np.maximum(stats.sum(axis=1), 1e-300)
-        forest.append((
-            g["feature"].to_numpy(), g["cut"].fillna(0.0).to_numpy(), g["leftChild"].to_numpy(), g["rightChild"].to_numpy(), p1,
-        ))
-    return forest
-
-
-def attributions(df: DataFrame, row_id: str, features: Sequence[str], forest: list[tuple]) -> DataFrame:
-    """Long table (row_id, feature, phi) plus the base value: each split on a row's path moves the tree's
-    probability, and the move is credited to the split feature; base + sum(phi) is the score."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
-    feats = list(features)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
-        base = float(np.mean([t[4][0] for t in trees]))
-        for pdf in batches:
-            m = pdf[feats].to_numpy(dtype=float)
-            phi = np.zeros((len(m), len(feats)))
-            for feature, cut, left, right, p in trees:
-                at = np.zeros(len(m), dtype=int)
-                live = left[at] >= 0
-                while live.any():
-                    i = np.flatnonzero(live)
-                    here = at[i]
-                    f = feature[here]
-                    nxt = np.where(m[i, f] <= cut[here], left[here], right[here])
-                    np.add.at(phi, (i, f), p[nxt] - p[here])
-                    at[i] = nxt
-                    live = left[at] >= 0
-            phi /= len(trees)
-            yield pd.DataFrame({
-                "row_id": np.repeat(pdf[row_id].to_numpy(), len(feats)), "feature": feats * len(m),
-                "phi": phi.ravel(), "base": base,
-            })
-
-    kind = df.schema[row_id].dataType.simpleString()
-    return df.select(row_id, *feats).mapInPandas(walk, f"row_id {kind}, feature string, phi double, base double")
-
-
 # ---- batch scoring -------------------------------------------------------------------------------
 
 def batch_score(model, df: DataFrame, features: Sequence[str], frozen: dict[str, tuple[float, float, float]], keep: Sequence[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.operators import metrics, ml
+from flowlake.operators import metrics, ml, shapley
 from flowlake.queries.book import Book, rnd, rounded
 from flowlake.queries.events import scratch
 from flowlake.sources.views import cte, table, view
@@ -118,18 +119,49 @@ def _(spark, d):
     return got.groupBy("family", "predicted_family").agg(F.count("*").alias("n"))
 
 
-@BOOK.query("ml8_attributions")
-def _(spark, d):
-    train, test = parts(spark, d)
+def explained(spark, d, fit, name: str) -> tuple[DataFrame, DataFrame, object]:
+    """Attributions and the rows explained, of a model fitted on three quarters of the rows by id."""
+    df = vectors(spark, d)
+    train, test = df.filter("vec_id % 4 <> 0"), df.filter("vec_id % 4 = 0")
     prepare = ready(train)
-    forest = ml.random_forest(prepare(train))
-    nodes = ml.forest_nodes(forest, spark, scratch(spark, "forest"))
-    phi = ml.attributions(prepare(test), "vec_id", NAMES, nodes)
+    model = fit(prepare(train))
+    trees = shapley.fitted_trees(model, spark, scratch(spark, name))
+    return shapley.attributions(prepare(test), "vec_id", NAMES, trees), prepare(test), model
+
+
+ADDITIVE = "select count(*) as rows, 0.0 as largest_error from embeddings where vec_id % 4 = 0"
+
+
+@BOOK.query("ml8_attributions", ADDITIVE)
+def _(spark, d):
+    """Base and values of a forest add up to its score on every row."""
+    phi, test, model = explained(spark, d, ml.random_forest, "forest")
     total = phi.groupBy("row_id").agg((F.sum("phi") + F.max("base")).alias("explained"))
-    scored = ml.attack_score(forest, prepare(test)).select(F.col("vec_id").alias("row_id"), "score")
+    scored = ml.attack_score(model, test).select(F.col("vec_id").alias("row_id"), "score")
     return rounded(total.join(scored, "row_id").agg(F.count("*").alias("rows"), F.max(F.abs(F.col("explained") - F.col("score"))).alias("largest_error")), 6)
 
 
+@BOOK.query("ml8_attributions_boosted", ADDITIVE)
+def _(spark, d):
+    """The same of a boosted ensemble, whose answer is the margin."""
+    phi, test, model = explained(spark, d, lambda t: ml.gradient_boosting(t, rounds=20), "boosted")
+    total = phi.groupBy("row_id").agg((F.sum("phi") + F.max("base")).alias("explained"))
+    raw = model.transform(test).select(F.col("vec_id").alias("row_id"), (vector_to_array("rawPrediction")[1]).alias("margin"))
+    return rounded(total.join(raw, "row_id").agg(F.count("*").alias("rows"), F.max(F.abs(F.col("explained") - F.col("margin"))).alias("largest_error")), 6)
+
+
+@BOOK.query("ml8_importance")
+def _(spark, d):
+    phi, _, _ = explained(spark, d, ml.random_forest, "forest")
+    return rounded(shapley.importance(phi), 4)
+
+
+@BOOK.query("ml8_top_features")
+def _(spark, d):
+    phi, _, _ = explained(spark, d, ml.random_forest, "forest")
+    return rounded(shapley.top_features(phi), 4)
+
+
 @BOOK.query("ml9_rung_sweep")
 def _(spark, d):
     train, test = parts(spark, d)

@@ -60,8 +60,10 @@ def test_unknown_policy_is_refused(spark):
 
 def test_isolation_forest_draws_for_each_tree(spark):
     df = spark.range(500).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
-    nodes = ml.isolation_forest(df, ["a", "b"], "id", trees=10).toPandas()
-    assert nodes.groupby("tree").size().min() > 100  # trees of 256 rows; 50 rows make 99 nodes at most
+    drawn = ml.tree_draws(df, ["a", "b"], "id", 10, 256, 42).toPandas().sort_values(["tree", "rank"]).groupby("tree").head(256)
+    rows = {tree: frozenset(g["a"]) for tree, g in drawn.groupby("tree")}
+    assert {len(r) for r in rows.values()} == {256} and len(set(rows.values())) == 10
+    assert ml.isolation_forest(df, ["a", "b"], "id", trees=10).select("tree").distinct().count() == 10
 
 
 def packets(spark, seconds, fins=()):
