@@ -23,6 +23,7 @@ segments; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -44,7 +45,6 @@ MAGIC = b"DAC1"
 TABLE_WORDS = 1_000_000
 SEGMENT_SCHEMA = "part int, segment int, before bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, codes binary"
 
-IRREGULAR = re.compile(r"\s\s|^\s|\s$")
 WORD_STARTS = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -121,11 +121,12 @@ class WordEncoder:
     """Encodes texts by distinct words; ``encode`` gives each text's ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = added
         size = self.tokenizer.get_vocab_size()
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
         self.inner: dict[str, bytes] = {}
@@ -134,11 +135,11 @@ class WordEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str], at_once: int = 1000) -> None:
+    def learn(self, words: list[str], at_once: int = 64) -> None:
         """Words that follow a space. Many are encoded in one text and told apart by their bytes."""
-        for lo in range(0, len(words), at_once):
-            some = words[lo : lo + at_once]
-            ids = np.frombuffer(self.ids([" " + " ".join(some)])[0], "<u4")
+        lots = [words[lo : lo + at_once] for lo in range(0, len(words), at_once)]
+        for some, found in zip(lots, self.ids([" " + " ".join(some) for some in lots]), strict=True):
+            ids = np.frombuffer(found, "<u4")
             ends = np.cumsum(self.bytes_of[ids])
             wanted = np.cumsum([len(w.encode()) + 1 for w in some])
             cut = np.searchsorted(ends, wanted) + 1
@@ -154,24 +155,26 @@ class WordEncoder:
             self.inner.clear()
         if len(self.whole) > TABLE_WORDS // 10:
             self.whole.clear()
-        split, seen, alone, entire = [], set(), set(), []
-        for text in texts:
-            if self.added and self.added.search(text):
+        split, alone, entire = [], set(), []
+        cut = [text.split(" ") for text in texts]
+        new = set().union(*cut) - self.inner.keys()
+        spaced = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        new -= spaced
+        for text, parts in zip(texts, cut, strict=True):
+            if any(a in text for a in self.added):
                 entire.append(text)
                 split.append(None)
                 continue
-            if IRREGULAR.search(text):
+            tail = []
+            if not spaced.isdisjoint(parts):  # white space beside white space, or at an end
                 parts = WORD_STARTS.split(text)
                 tail = [parts.pop()] if len(parts) > 1 and parts[-1][-1].isspace() else []
-                head, words = parts[0], [p[1:] for p in parts[1:]]
-            else:
-                head, *words = text.split(" ")
-                tail = []
-            split.append((head, words, tail))
-            seen.update(words)
-            alone.add(head)
-            alone.update(tail)
-        self.learn([w for w in seen if w not in self.inner])
+                parts[1:] = [p[1:] for p in parts[1:]]
+                new.update(p for p in parts[1:] if p not in self.inner)
+                alone.update(tail)
+            alone.add(parts[0])
+            split.append((parts[0], parts[1:], tail))
+        self.learn(list(new))
         alone = [x for x in alone if x not in self.whole]
         self.whole.update(zip(alone, self.ids(alone), strict=True))
         inner, whole, entire = self.inner.__getitem__, self.whole.__getitem__, iter(self.ids(entire))
