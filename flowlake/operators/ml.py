@@ -153,26 +153,40 @@ def fit_families(train: DataFrame, features: Sequence[str], family: str, trees:
     return model, classes
 
 
-def rung_sweep(train: DataFrame, test: DataFrame, rungs: dict[str, Sequence[str]], y: str = "y", trees: int = 20, depth: int = 6) -> DataFrame:
-    """Test metrics of a forest and a tree per feature rung, each with statistics frozen on train."""
+def rung_sweep(
+    train: DataFrame, test: DataFrame, rungs: dict[str, Sequence[str]], y: str = "y", trees: int = 100, depth: int = 16, rounds: int = 100, boosted_depth: int = 6
+) -> DataFrame:
+    """Test metrics of a forest and a boosted ensemble per feature rung, each with statistics frozen on train."""
     out = None
     for name, features in rungs.items():
         frozen = freeze(fit_statistics(train, features))
         ready = lambda df: assemble(apply_statistics(df, features, frozen), features)  # noqa: B023, E731
-        for learner, fitted in (("forest", random_forest(ready(train), y, trees, depth)), ("tree", decision_tree(ready(train), y, depth))):
+        learners = (("forest", random_forest(ready(train), y, trees, depth)), ("boosted", gradient_boosting(ready(train), y, rounds, boosted_depth)))
+        for learner, fitted in learners:
             scored = attack_score(fitted, ready(test)).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
             row = binary_metrics(scored, y).withColumns({"rung": F.lit(name), "model": F.lit(learner)})
             out = row if out is None else out.unionByName(row)
     return out
 
 
-def transfer_eval(source: DataFrame, target: DataFrame, features: Sequence[str], y: str = "y", trees: int = 20, depth: int = 6) -> DataFrame:
-    """Fit on the source, score both populations with the source's frozen statistics."""
+def transfer_eval(source: DataFrame, target: DataFrame, features: Sequence[str], y: str = "y", trees: int = 100, depth: int = 16) -> DataFrame:
+    """Fit each step of the baseline ladder (majority, logistic, tree, forest) on the source and score both
+    populations with the source's frozen statistics."""
     frozen = freeze(fit_statistics(source, features))
     ready = lambda df: assemble(apply_statistics(df, features, frozen), features)
-    model = random_forest(ready(source), y, trees, depth)
-    scored = lambda df, name: attack_score(model, ready(df)).select(F.lit(name).alias("population"), y, (F.col("score") >= 0.5).cast("int").alias("pred"))
-    return binary_metrics(scored(source, "source").unionByName(scored(target, "target")), y, keys=["population"])
+    fit, populations = ready(source), {"source": ready(source), "target": ready(target)}
+    learners = {
+        "logistic": lambda: logistic(fit, y), "tree": lambda: decision_tree(fit, y), "forest": lambda: random_forest(fit, y, trees, depth),
+    }
+    out = None
+    for name, df in populations.items():
+        guess = majority_class(fit, df, y).select(F.lit("majority").alias("model"), F.lit(name).alias("population"), y, "pred")
+        out = guess if out is None else out.unionByName(guess)
+    for learner, fitted in ((n, f()) for n, f in learners.items()):
+        for name, df in populations.items():
+            scored = attack_score(fitted, df).select(F.lit(learner).alias("model"), F.lit(name).alias("population"), y, (F.col("score") >= 0.5).cast("int").alias("pred"))
+            out = out.unionByName(scored)
+    return binary_metrics(out, y, keys=["model", "population"])
 
 
 def routed_union(df: DataFrame, route: str, models: dict[str, object], features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -295,9 +309,13 @@ def isolation_scores(df: DataFrame, features: Sequence[str], forest: DataFrame,
 
 # ---- batch scoring -------------------------------------------------------------------------------
 
-def batch_score(model, df: DataFrame, features: Sequence[str], frozen: dict[str, tuple[float, float, float]], keep: Sequence[str]) -> DataFrame:
-    """Contract check, finite filter, scaling and scoring of a whole table: narrow steps only."""
-    contract_check(df, features)
-    ok = df.filter(~F.greatest(*[(~is_finite(f)).cast("int") for f in features], F.lit(0)).cast("boolean"))
-    scaled = assemble(apply_statistics(ok, features, frozen), features)
-    return attack_score(model, scaled).select(*keep, "score")
+def batch_score(
+    model, df: DataFrame, features: Sequence[str], frozen: dict[str, tuple[float, float, float]], keep: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of a whole table in narrow steps, and the violations of the feature contract, counted per feature: rows
+    with a value that is not finite get no score and are listed there, not lost."""
+    broken = F.greatest(*[(~is_finite(f)).cast("int") for f in features], F.lit(0)).cast("boolean")
+    scaled = assemble(apply_statistics(df.filter(~broken), features, frozen), features)
+    scored = attack_score(model, scaled).select(*keep, "score")
+    refused = df.filter(broken).select(*keep, F.lit(None).cast("double").alias("score"))
+    return scored.unionByName(refused), contract_check(df, features)[1]

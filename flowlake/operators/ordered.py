@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlake.session import durable
+
 DAY = 86_400.0
 
 
@@ -109,6 +111,22 @@ def numbered(
     )
 
 
+def ranked_globally(df: DataFrame, order: Sequence[str], out: str = "rn", chunk: str = "_chunk") -> DataFrame:
+    """Exact row number over the whole table along ``order``, which must tell all rows apart, and the slice a row lies in.
+
+    Slices are ranges of ``order`` with about as many rows each, whatever the times: their edges come from a sample
+    that Spark's range partitioning takes, so a day or an instant with a third of the rows lies in many. The slices
+    are written once (``durable``); a slice is numbered by itself and starts where those before it end."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(df.repartitionByRange(ranges, *order).withColumn(chunk, F.spark_partition_id().cast("long")))
+    counts = placed.groupBy(F.col(chunk).alias("_r")).agg(F.count("*").alias("_n"))  # one row per slice
+    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(chunk).orderBy(*order)
+    numbered_in = placed.withColumn("_row", F.row_number().over(inside))
+    return numbered_in.join(starts, F.col(chunk) == F.col("_r")).withColumn(out, (F.col("_start") + F.col("_row")).cast("long")).drop("_r", "_start", "_row")
+
+
 def blocks_with_context(df: DataFrame, rn: str, reach: int, block_rows: int) -> DataFrame:
     """Cut numbered rows into blocks of ``block_rows`` and copy the last ``reach`` rows of each block
     into the next, so a ROWS frame of that reach can run inside ``(key, _block)``."""

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import clip, ratio
+from flowlake.operators import bootstrap
 from flowlake.operators.chains import block_machine
 from flowlake.operators.ordered import (
     DAY, _join_chunk, attach_row, blocks_with_context, carry_sum, first_per_key, following, micros, numbered,
-    previous, time_chunk, with_halo,
+    previous, ranked_globally, time_chunk, with_halo,
 )
 
 # Action codes.
@@ -343,13 +344,19 @@ def chattering_index(log: DataFrame, action: str, keys: Sequence[str], ts: str =
 
 def mitigation_delay(log: DataFrame, action: str, y: str = "y", key: str | None = None, ts: str = "ts", order: str = "seq", penalty: int = 50, chunk_s: float = DAY) -> DataFrame:
     """Steps from the start of each attack run to its first mitigation (``penalty`` if none), and their
-    mean. Without a key the whole stream is one sequence, still processed by time slice."""
-    base = log if key else log.withColumn("_all", F.lit(0))
-    k = key or "_all"
-    ranked = numbered(base, [k], [ts, order], time_chunk(ts, chunk_s))
-    ranked = previous(ranked, y, k, ts, order, "_py", chunk_s, default=0)
+    mean. Without a key the whole stream is one sequence, in slices of about as many rows each."""
+    if key:
+        k, ranked = key, numbered(log, [key], [ts, order], time_chunk(ts, chunk_s))
+        ranked = previous(ranked, y, key, ts, order, "_py", chunk_s, default=0).withColumn("_chunk", time_chunk(ts, chunk_s))
+    else:
+        k, ranked = "_all", ranked_globally(log.withColumn("_all", F.lit(0)), [ts, order])
+        ends = ranked.groupBy("_chunk").agg(F.max_by(y, "rn").alias("_end"))  # one row per slice
+        carried = ends.select(F.col("_chunk").alias("_c"), F.lag("_end", 1, 0).over(Window.orderBy("_chunk")).alias("_carry"))
+        inside = F.lag(y).over(Window.partitionBy("_chunk").orderBy("rn"))
+        first = F.row_number().over(Window.partitionBy("_chunk").orderBy("rn")) == 1
+        ranked = ranked.join(carried, F.col("_chunk") == F.col("_c")).withColumn("_py", F.when(first, F.col("_carry")).otherwise(inside)).drop("_c", "_carry")
     start = ((F.col(y) == 1) & (F.col("_py") != 1)).cast("long")
-    placed = ranked.withColumns({"_chunk": time_chunk(ts, chunk_s), "_start": start})
+    placed = ranked.withColumn("_start", start)
     w = Window.partitionBy(k, "_chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     carried = carry_sum(placed, [k], "_start", "_before")
     runs = _join_chunk(placed.withColumn("_l", F.sum("_start").over(w)), carried, [k]).filter(F.col(y) == 1)
@@ -386,10 +393,11 @@ def cost_reduction(runs: DataFrame, baseline: str, policy: str = "policy") -> Da
 
 
 BASELINES = ("always_allow", "single_threshold", "two_tier", "cost_optimal")
+MODES = {"4_action": True, "3_action": False}
 
 
 def baseline_action(policy: str, score: Column, regime: str, four_action: bool) -> Column:
-    """Proposed action of a baseline policy."""
+    """Proposed action of a baseline policy without memory."""
     if policy == "cost_optimal":
         return cost_optimal(score, regime, four_action)
     return {
@@ -398,35 +406,83 @@ def baseline_action(policy: str, score: Column, regime: str, four_action: bool)
     }[policy]()
 
 
+def played(
+    df: DataFrame, score: str = "score", y: str = "y", policies: Sequence[str] = BASELINES, regimes: Sequence[str] = tuple(COSTS), *,
+    host: str = "host_id", ts: str = "ts", order: str = "seq", cooldown_s: float = 30.0, chunk_s: float = DAY,
+) -> DataFrame:
+    """Every policy in both action modes through the safety gate: policy, mode, regime (of a policy that depends on it,
+    else null), ``order``, label, enforced action and the costs of chatter and fatigue.
+
+    A row is copied once per policy and mode with the action proposed there, and a host becomes a host of
+    that policy and mode, so one gate and one pass of windows play them all. ``state_machine`` is the tier machine."""
+    keep = df.select(host, ts, order, y, score, "is_critical")
+    for mode, four in MODES.items():
+        if "state_machine" in policies:
+            keep = tier_machine(keep, host, score, ts, order, four_action=four, chunk_s=chunk_s).withColumnRenamed("action", f"_tier_{mode}")
+    lines = [
+        F.struct(
+            F.lit(p).alias("policy"), F.lit(mode).alias("mode"), F.lit(regime).cast("string").alias("only"),
+            (F.col(f"_tier_{mode}") if p == "state_machine" else baseline_action(p, F.col(score), regime, four)).cast("int").alias("proposed"))
+        for mode, four in MODES.items() for p in policies for regime in (regimes if p == "cost_optimal" else (None,))
+    ]
+    copies = keep.select(host, ts, order, y, "is_critical", F.explode(F.array(*lines)).alias("p")).select("*", "p.*").drop("p")
+    proposed = F.when(F.col("mode") == "3_action", clamp_three(F.col("proposed"))).otherwise(F.col("proposed"))
+    copies = copies.withColumns({"proposed": proposed, "_host": F.concat_ws("|", "policy", "mode", "only", F.col(host).cast("string"))})
+    log = safety_gate(copies, host="_host", ts=ts, order=order, cooldown_s=cooldown_s, chunk_s=chunk_s)
+    fixed = step_cost(log, regimes[0], y=y, host="_host", ts=ts, order=order, chunk_s=chunk_s)
+    return fixed.select(
+        "policy", "mode", "only", order, F.when(F.col(y) == 1, 1).otherwise(0).alias("label"), F.col("enforced").alias("act"),
+        (F.col("chatter_cost") + F.col("fatigue_cost")).alias("extra"),
+    )
+
+
+def priced_counts(log: DataFrame, regimes: Sequence[str], keys: Sequence[Column] = ()) -> DataFrame:
+    """Rows, extra and total cost per policy, mode, regime, ``keys``, label and action; base costs follow from the counts."""
+    counted = log.groupBy("policy", "mode", "only", *keys, "label", "act").agg(F.count("*").alias("n"), F.sum("extra").alias("extra"))
+    costs = cost_table(log.sparkSession).filter(F.col("regime").isin(list(regimes)))
+    priced = counted.join(F.broadcast(costs), ["label", "act"]).filter(F.col("only").isNull() | (F.col("only") == F.col("regime")))
+    return priced.withColumn("total", F.col("n") * F.col("base_cost") + F.col("extra")).drop("only")
+
+
 def policy_matrix(
-    df: DataFrame, score: str = "score", y: str = "y", policies: Sequence[str] = BASELINES, regimes: Sequence[str] = tuple(COSTS), *, cooldown_s: float = 30.0, chunk_s: float = DAY,
+    df: DataFrame, score: str = "score", y: str = "y", policies: Sequence[str] = BASELINES, regimes: Sequence[str] = tuple(COSTS), **play,
 ) -> DataFrame:
-    """Every policy under every regime in both action modes, through the safety gate: costs and
-    containment, and the reduction against ``always_allow`` of the same regime and mode.
-
-    The enforced actions of a policy do not depend on the regime (cost_optimal apart), and base costs
-    follow from the counts per label and action, so a policy is played once per mode."""
-    out = None
-    for four in (True, False):
-        for policy in policies:
-            for regime in regimes if policy == "cost_optimal" else (None,):
-                acted = df.withColumn("proposed", baseline_action(policy, F.col(score), regime, four).cast("int"))
-                log = safety_gate(acted, three_action=not four, cooldown_s=cooldown_s, chunk_s=chunk_s)
-                fixed = step_cost(log, regimes[0], y=y, chunk_s=chunk_s)
-                per = fixed.groupBy(F.when(F.col(y) == 1, 1).otherwise(0).alias("label"), F.col("enforced").alias("act")).agg(
-                    F.count("*").alias("n"), F.sum(F.col("chatter_cost") + F.col("fatigue_cost")).alias("extra")
-                )
-                costs = cost_table(df.sparkSession).filter(F.col("regime").isin([regime] if regime else list(regimes)))
-                total = F.sum(F.col("n") * F.col("base_cost") + F.col("extra"))
-                row = per.join(F.broadcast(costs), ["label", "act"]).groupBy("regime").agg(
-                    F.sum("n").alias("steps"), total.alias("total_cost"), (total / F.sum("n")).alias("mean_cost"),
-                    F.coalesce(F.sum(F.when((F.col("label") == 1) & (F.col("act") >= RATE_LIMIT), F.col("n"))), F.lit(0)).alias("contained_attacks"),
-                    F.coalesce(F.sum(F.when((F.col("label") == 0) & (F.col("act") == ISOLATE), F.col("n"))), F.lit(0)).alias("false_quarantines"),
-                ).withColumns({"policy": F.lit(policy), "mode": F.lit("4_action" if four else "3_action")})
-                out = row if out is None else out.unionByName(row)
-    base = out.filter(F.col("policy") == "always_allow").select("mode", "regime", F.col("total_cost").alias("_base"))
+    """Every policy under every regime in both action modes: costs and containment, and the reduction against
+    ``always_allow`` of the same regime and mode."""
+    priced = priced_counts(played(df, score, y, policies, regimes, **play), regimes)
+    some = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    out = priced.groupBy("policy", "mode", "regime").agg(
+        F.sum("n").alias("steps"), F.sum("total").alias("total_cost"), (F.sum("total") / F.sum("n")).alias("mean_cost"),
+        some((F.col("label") == 1) & (F.col("act") >= RATE_LIMIT)).alias("contained_attacks"),
+        some((F.col("label") == 0) & (F.col("act") == ISOLATE)).alias("false_quarantines"),
+    )
+    base = F.max(F.when(F.col("policy") == "always_allow", F.col("total_cost"))).over(Window.partitionBy("mode", "regime"))
     reduction = F.coalesce(100.0 * ratio(F.col("_base") - F.col("total_cost"), F.col("_base")), F.lit(0.0))
-    return out.join(F.broadcast(base), ["mode", "regime"], "left").withColumn("cost_reduction_pct", reduction).drop("_base")
+    return out.withColumn("_base", base).withColumn("cost_reduction_pct", reduction).drop("_base")
+
+
+def paired_policies(
+    df: DataFrame, score: str = "score", y: str = "y", policies: Sequence[str] = BASELINES, regimes: Sequence[str] = tuple(COSTS), *,
+    order: str = "seq", resamples: int = bootstrap.RESAMPLES, seed: int = bootstrap.SEED, **play,
+) -> DataFrame:
+    """Paired tests of the cost per flow: every policy but the first against the first, and every one but the
+    first two against the second, per regime and mode. All pairs share one set of resamples."""
+    log = played(df, score, y, policies, regimes, order=order, **play)
+    priced = priced_counts(log, regimes, [bootstrap.bucket_of(order).alias("bucket")])
+    configs = [(m, r, p) for m in MODES for r in regimes for p in policies]
+    mine = lambda c: (F.col("mode") == c[0]) & (F.col("regime") == c[1]) & (F.col("policy") == c[2])
+    sums = priced.groupBy("bucket").agg(
+        F.sum(F.when(mine(configs[0]), F.col("n"))).alias("n"), *[F.coalesce(F.sum(F.when(mine(c), F.col("total"))), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(configs)])
+    at = {c: F.col(f"c{i}") for i, c in enumerate(configs)}
+    pairs = {
+        "|".join((m, r, base, p)): at[m, r, p] - at[m, r, base]
+        for m in MODES for r in regimes for k, base in enumerate(policies[:2]) for p in policies[k + 1:]
+    }
+    found = bootstrap.paired_differences(sums, pairs, "n", resamples, seed)
+    part = F.split("pair", "\\|")
+    better = F.when(~F.col("significant"), "equal").when(F.col("delta") < 0, F.col("candidate")).otherwise(F.col("baseline"))
+    named = found.withColumns({c: part[i] for i, c in enumerate(("mode", "regime", "baseline", "candidate"))}).withColumn("better_policy", better)
+    return named.select("mode", "regime", "baseline", "candidate", "delta", "ci_lower", "ci_upper", "resamples", "p_value", "significant", "better_policy")
 
 
 def containment_by_family(log: DataFrame, family: str = "family", action: str = "enforced", y: str = "y") -> DataFrame:

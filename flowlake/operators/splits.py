@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.operators.ordered import DAY, attach_row, numbered, spread_lookup, time_chunk
+from flowlake.operators.ordered import attach_row, numbered, ranked_globally, spread_lookup
 
 SPLITS = ("train", "validation", "test")
 
@@ -111,8 +111,7 @@ def temporal_split(df: DataFrame, ts: str, row_id: str, train: float = 0.6, vali
     order where no boundary fits. Rows without a time cannot be placed and are refused."""
     if not df.filter(F.col(ts).isNull()).isEmpty():
         raise ValueError(f"{ts} is missing in some rows; repair or drop them first")
-    timed = df.withColumn("_all", F.lit(0))
-    ranked = numbered(timed, ["_all"], [ts, row_id], time_chunk(ts, DAY))
+    ranked = ranked_globally(df, [ts, row_id])
     ranked = attach_row(ranked, temporal_cuts(df, ts, train, validation))
     before = lambda name: F.col("rn") <= F.coalesce(f"cut_{name}", f"rank_{name}")
     split = F.when(before("train"), "train").when(before("val"), "validation").otherwise("test")

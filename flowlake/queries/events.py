@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlake.operators import events, policy
@@ -68,9 +68,9 @@ def _(spark, d):
     return events.page(view(spark, d, "scored_events").filter("score >= 0.3"), ["ts", "seq"], 999, 1500)[1]
 
 
-@BOOK.query("t4_recent_events", f"{E} select cast(seq as varchar) as event_id from scored_events order by ts desc, cast(seq as varchar) desc limit 200")
+@BOOK.query("t4_recent_events", f"{E} select cast(seq as varchar) as event_id from scored_events order by ts desc, cast(seq as varchar) desc limit 1500")
 def _(spark, d):
-    return events.recent_events(security_events(spark, d), 200).select("event_id")
+    return events.recent_events(security_events(spark, d), 1500).select("event_id")
 
 
 @BOOK.query("t4_list_events", f"{E} select cast(seq as varchar) as event_id from scored_events order by ts desc, cast(seq as varchar) desc limit 1000 offset 50")
@@ -97,11 +97,11 @@ def _(spark, d):
     return rounded(events.timeline(gated(spark, d)).select("seq", "step", "kind"))
 
 
-PHI = "phi as (select vec_id as row_id, concat('f', i) as feature, cast(embedding[i] as double) as phi, concat('c', label) as family from embeddings, range(1, 9) t(i))"
+PHI = "phi as (select vec_id as row_id, concat('f', i) as feature, cast(embedding[i] as double) as phi, concat('c', label) as family from embeddings, range(1, 65) t(i) where i <= len(embedding))"
 
 
 def phi(spark, d):
-    cells = F.posexplode(F.slice("embedding", 1, 8)).alias("i", "phi")
+    cells = F.posexplode("embedding").alias("i", "phi")
     df = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label", cells)
     return df.select("row_id", F.concat(F.lit("f"), (F.col("i") + 1).cast("string")).alias("feature"), F.col("phi").cast("double").alias("phi"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("family"))
 
@@ -181,25 +181,44 @@ def _(spark, d):
     return got.groupBy(key.alias("source_file")).agg(F.count("*").alias("n"), F.sum("source_row_index").alias("index_sum"))
 
 
-def manifest(spark, d):
-    files = table(spark, d, "nation").select(F.concat("n_name", F.lit(".csv")).alias("file_name"), F.col("n_nationkey").cast("int").alias("position"), "n_regionkey")
-    return files
+LINE = "concat(cast(event_id as varchar({n})), ',', event_type, ',', cast(user_id as varchar({n})))"
 
 
-@BOOK.query("s2_population_select", "select concat(n_name, '.csv') as file_name from nation where n_name not in ('FRANCE', 'JAPAN')")
+def day_files(spark: SparkSession, d: str, path: str, line: str = LINE.format(n=20), where: str = "true") -> None:
+    """One text file per day of the events, lines by event id."""
+    df = table(spark, d, "events").select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"), F.dayofmonth(F.col("ts").cast("timestamp")).alias("dom"), "event_id", F.expr(line).alias("value"))
+    df.filter(where).repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(path)
+
+
+def day_digests(spark: SparkSession, path: str) -> DataFrame:
+    return scans.file_digests(spark, path, scratch(spark, "digests")).withColumn("file_name", F.concat(F.regexp_extract("file_path", "day=([^/]+)/", 1), F.lit(".csv")))
+
+
+DAYS = f"""days as (select strftime(ts, '%Y-%m-%d') || '.csv' as file_name, day(ts) % 5 as kind, sha256(string_agg({LINE.format(n=20)} || chr(10), '' order by event_id)) as sha256,
+ sha256(string_agg({LINE.format(n=20)} || '!' || chr(10), '' order by event_id)) as changed, sum(strlen({LINE.format(n=20)}) + 1) as bytes from events group by all)"""
+
+
+@BOOK.query("s2_population_select", f"with {DAYS} select file_name, {big('bytes')} as bytes from days where kind <> 4 and file_name not in ('2024-01-02.csv', '2024-01-03.csv')")
 def _(spark, d):
-    return scans.population_select(manifest(spark, d), exclude=["FRANCE.csv", "JAPAN.csv"], order="alphabetical").select("file_name")
+    path = scratch(spark, "population")
+    day_files(spark, d, path, where="dom % 5 <> 4")
+    files = day_digests(spark, path)
+    listed = files.withColumn("position", F.dense_rank().over(Window.orderBy("file_name")))  # one row per file
+    return scans.population_select(listed, exclude=["2024-01-02.csv", "2024-01-03.csv"], order="alphabetical").select("file_name", "bytes")
 
 
-@BOOK.query("s3_manifest_verify", """with r as (select concat(n_name, '.csv') as file_name, case n_nationkey % 4 when 0 then null else sha256(n_name) end as expected, n_nationkey % 4 as kind from nation),
-p as (select file_name, case when kind = 1 then sha256('other') else sha256(replace(file_name, '.csv', '')) end as actual from r where kind <> 2 union all select 'extra.csv', sha256('x'))
-select coalesce(r.file_name, p.file_name) as file_name, case when r.file_name is null then 'unregistered' when p.file_name is null then 'missing' when expected is null then 'unverifiable' when expected = actual then 'verified' else 'mismatch' end as status from r full join p on r.file_name = p.file_name""")
+@BOOK.query("s3_manifest_verify", f"""with {DAYS}, r as (select file_name, case when kind = 0 then null else sha256 end as expected from days where kind <> 3),
+p as (select file_name, case when kind = 1 then changed else sha256 end as actual from days where kind <> 2)
+select coalesce(r.file_name, p.file_name) as file_name, case when r.file_name is null then 'unregistered' when p.file_name is null then 'missing' when expected is null then 'unverifiable' when expected = actual then 'verified' else 'mismatch' end as status, actual as sha256
+from r full join p on r.file_name = p.file_name""")
 def _(spark, d):
-    m = table(spark, d, "nation").withColumn("kind", F.col("n_nationkey") % 4).withColumn("file_name", F.concat("n_name", F.lit(".csv")))
-    expected = m.select(F.lit("x").alias("dataset"), "file_name", F.when(F.col("kind") != 0, F.sha2("n_name", 256)).alias("sha256"))
-    present = m.filter("kind <> 2").select("file_name", F.when(F.col("kind") == 1, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("n_name", 256)).alias("sha256"))
-    extra = m.limit(1).select(F.lit("extra.csv").alias("file_name"), F.sha2(F.lit("x"), 256).alias("sha256"))
-    return scans.manifest_verify(expected, present.union(extra)).select("file_name", "status")
+    """Files of a day are registered, and then some are changed, removed, added or registered without a digest."""
+    first, second = scratch(spark, "registered"), scratch(spark, "present")
+    day_files(spark, d, first, where="dom % 5 <> 3")
+    day_files(spark, d, second, f"concat({LINE.format(n=20)}, case when day(cast(ts as timestamp)) % 5 = 1 then '!' else '' end)", "dom % 5 <> 2")
+    kind = F.dayofmonth(F.to_date(F.substring("file_name", 1, 10))) % 5
+    expected = day_digests(spark, first).select(F.lit("events").alias("dataset"), "file_name", F.when(kind != 0, F.col("sha256")).alias("sha256"))
+    return scans.manifest_verify(expected, day_digests(spark, second)).select("file_name", "status", F.col("actual_sha256").alias("sha256"))
 
 
 @BOOK.query("s6_json_flow_samples", f"{cte('scored')} select family as category, row_id as flow_id, {rnd('score')} as score from scored where family <> 'AF'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators import ordered, policy, sequences
 from flowlake.queries.book import Book, big, rnd, rounded
+from flowlake.queries.quality import BUCKET, PAIRED, WEIGHTS
 from flowlake.sources.views import cte, table, view
 
 BOOK = Book()
@@ -216,8 +217,9 @@ MATRIX_POLICIES = {
 }
 
 
-def matrix_sql() -> str:
-    parts, selects = [], []
+def played_sql() -> tuple[list[str], dict[tuple[str, str], str]]:
+    """CTEs that play each policy in each mode, and the name of each one's costed rows (column ``extra``)."""
+    parts, names = [], {}
     for i, (name, modes) in enumerate(MATRIX_POLICIES.items()):
         for three, action in enumerate(modes):
             t = f"m{i}_{three}"
@@ -227,18 +229,54 @@ def matrix_sql() -> str:
             parts.append(body + f""", {t}_pv as (select *, coalesce(lag(enforced) over ({ORDER}), 0) as prev_action, sum(case when enforced <> 1 then 1 else 0 end) over ({ORDER} rows between unbounded preceding and current row) as island from {t}_gate),
 {t}_c as (select *, case when (enforced >= 2 or cooldown_remaining_s > 0) and abs(enforced - prev_action) >= 2 then 10.0 else 0.0 end
  + greatest(case when enforced = 1 then sum(case when enforced = 1 then 1 else 0 end) over (partition by host_id, island order by ts, seq rows between unbounded preceding and current row) else 0 end - 5, 0) * 0.5 as extra from {t}_pv)""")
-            for regime in policy.COSTS:
-                literal = f"'{regime}'"
-                selects.append(f"select '{name}' as policy, '{'3_action' if three else '4_action'}' as mode, '{regime}' as regime, count(*) as steps, sum({cost_sql(literal, 'y', 'enforced')} + extra) as total_cost, count(*) filter (where y = 1 and enforced >= 2) as contained_attacks, count(*) filter (where y = 0 and enforced = 3) as false_quarantines from {t}_c")
+            names["3_action" if three else "4_action", name] = f"{t}_c"
+    return parts, names
+
+
+def matrix_sql() -> str:
+    parts, names = played_sql()
+    selects = []
+    for (mode, name), source in names.items():
+        for regime in policy.COSTS:
+            literal = f"'{regime}'"
+            selects.append(f"select '{name}' as policy, '{mode}' as mode, '{regime}' as regime, count(*) as steps, sum({cost_sql(literal, 'y', 'enforced')} + extra) as total_cost, count(*) filter (where y = 1 and enforced >= 2) as contained_attacks, count(*) filter (where y = 0 and enforced = 3) as false_quarantines from {source}")
     return f"""{E}, {', '.join(parts)}, res as ({' union all '.join(selects)}) select r.policy, r.mode, r.regime, r.steps, {rnd('r.total_cost', 4)} as total_cost, {rnd('r.total_cost / r.steps', 4)} as mean_cost, r.contained_attacks, r.false_quarantines,
  {rnd('coalesce(100 * (b.total_cost - r.total_cost) / nullif(b.total_cost, 0), 0)', 4)} as cost_reduction_pct from res r join res b on b.policy = 'always_allow' and b.mode = r.mode and b.regime = r.regime"""
 
 
+def paired_sql() -> str:
+    """Cost differences per bucket and pair, under the weights that all pairs share."""
+    parts, names = played_sql()
+    costed = [
+        f"select {BUCKET.format('seq')} as bucket, '{mode}' as mode, '{regime}' as regime, '{name}' as policy, count(*)::double as n, sum({cost_sql(quoted, 'y', 'enforced')} + extra)::double as c from {source} group by 1"
+        for (mode, name), source in names.items() for regime in policy.COSTS for quoted in (f"'{regime}'",)
+    ]
+    ranks = "values " + ", ".join(f"('{p}', {i})" for i, p in enumerate(MATRIX_POLICIES))
+    return f"""{E}, {', '.join(parts)}, ranks as (select * from ({ranks}) t(policy, place)), costs as materialized ({' union all '.join(costed)}),
+pairs as (select a.bucket, a.mode, a.regime, a.policy as baseline, b.policy as candidate, a.n, b.c - a.c as d from costs a join costs b using (bucket, mode, regime)
+ join ranks ra on ra.policy = a.policy join ranks rb on rb.policy = b.policy where ra.place < 2 and rb.place > ra.place), {WEIGHTS},
+v as (select b, mode, regime, baseline, candidate, sum(w * d) / sum(w * n) as value from weights join pairs using (bucket) group by all),
+t as (select mode, regime, baseline, candidate, {PAIRED} from v group by all), p as (select mode, regime, baseline, candidate, sum(d) / sum(n) as delta from pairs group by all)
+select t.*, {rnd('p.delta')} as delta, case when not significant then 'equal' when p.delta < 0 then candidate else baseline end as better_policy from t join p using (mode, regime, baseline, candidate)"""
+
+
 @BOOK.query("y13_policy_matrix", matrix_sql())
 def _(spark, d):
     return rounded(policy.policy_matrix(with_critical(spark, d), policies=list(MATRIX_POLICIES), cooldown_s=COOL_S), 4)
 
 
+@BOOK.query("y13_paired_policies", paired_sql())
+def _(spark, d):
+    return rounded(policy.paired_policies(with_critical(spark, d), policies=list(MATRIX_POLICIES), cooldown_s=COOL_S))
+
+
+@BOOK.query("y13_ladder")
+def _(spark, d):
+    """The four steps of the ladder, the machine with memory last, paired with the first two."""
+    ladder = [*MATRIX_POLICIES, "state_machine"]
+    return rounded(policy.paired_policies(with_critical(spark, d), policies=ladder, cooldown_s=COOL_S))
+
+
 @BOOK.query("y13_policy_matrix_cost_optimal")
 def _(spark, d):
     return rounded(policy.policy_matrix(with_critical(spark, d), policies=["always_allow", "cost_optimal"], cooldown_s=COOL_S), 4)

@@ -236,12 +236,56 @@ def _(spark, d):
     return rounded(metrics.recall_at_fpr(view(spark, d, "scored"), 0.1, score="score_c", keys=["family"]))
 
 
-@BOOK.query("m8_bootstrap_ci")
+# ---- bootstrap: the same hashed weights in both dialects ------------------------------------------------
+
+BUCKET = f"cast(('0x' || substr(md5(cast({{}} as varchar)), 1, 8)) as bigint) % {bootstrap.BUCKETS}"
+UNIFORM = "cast(('0x' || substr(md5({}), 1, 13)) as bigint) / 4503599627370496.0"
+WEIGHTS = f"""draws as (select k.range as bucket, r.range as b, {UNIFORM.format(f"'{bootstrap.SEED}|' || k.range || '|' || r.range")} as u from range({bootstrap.BUCKETS}) k, range({bootstrap.RESAMPLES}) r),
+weights as (select * from (select bucket, b, {' + '.join(f'(u >= {c!r})::int' for c in bootstrap.POISSON_ONE)} as w from draws) where w > 0)"""
+OUTCOMES = {"tn": (0, "<"), "fp": (0, ">="), "fn": (1, "<"), "tp": (1, ">=")}
+
+
+def outcome_sums(score: str, suffix: str = "") -> str:
+    return ", ".join(f"count(*) filter (where y = {y} and {score} {op} 0.5) as {c}{suffix}" for c, (y, op) in OUTCOMES.items())
+
+
+def resampled_sql(columns: list[str]) -> str:
+    return f"{WEIGHTS}, per as (select b, {', '.join(f'cast(sum(w * {c}) as double) as {c}' for c in columns)} from weights join sums using (bucket) group by b)"
+
+
+def rate_pairs(x: str = "") -> dict[str, str]:
+    over = lambda a, b: f"coalesce(({a}) / nullif({b}, 0), 0)"
+    tn, fp, fn, tp = (f"{c}{x}" for c in OUTCOMES)
+    return {
+        "accuracy": over(f"{tp} + {tn}", f"{tn} + {fp} + {fn} + {tp}"), "precision": over(tp, f"{tp} + {fp}"), "recall": over(tp, f"{tp} + {fn}"),
+        "f1": over(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}"), "fpr": over(fp, f"{fp} + {tn}"),
+    }
+
+
+def long_sql(source: str, values: dict[str, str], name: str = "metric") -> str:
+    return " union all ".join(f"select '{m}' as {name}, {v} as value from {source}" for m, v in values.items())
+
+
+INTERVAL = f"""metric, {rnd('quantile_cont(value, 0.025)')} as ci_lower, {rnd('quantile_cont(value, 0.975)')} as ci_upper, {rnd('avg(value)')} as mean, {rnd('stddev_pop(value)')} as std, count(*) as resamples"""
+PAIRED = f"""{rnd('quantile_cont(value, 0.025)')} as ci_lower, {rnd('quantile_cont(value, 0.975)')} as ci_upper, count(*) as resamples,
+ {rnd('least(1, 2 * least(avg((value <= 0)::int), avg((value >= 0)::int)))')} as p_value, quantile_cont(value, 0.025) > 0 or quantile_cont(value, 0.975) < 0 as significant"""
+
+
+@BOOK.query("m8_bootstrap_ci", f"""{S}, sums as (select {BUCKET.format('row_id')} as bucket, {outcome_sums('score')} from scored group by 1), {resampled_sql(list(OUTCOMES))},
+v as ({long_sql('per', rate_pairs())}) select {INTERVAL} from v group by metric""")
 def _(spark, d):
     return rounded(bootstrap.metric_ci(view(spark, d, "scored")))
 
 
-@BOOK.query("m9_bootstrap_counts_ci")
+@BOOK.query("m9_bootstrap_counts_ci", f"""{S}, counts as (select {outcome_sums('score')} from scored), cells as ({' union all '.join(f"select '{c}' as cell, {c} as n from counts" for c in OUTCOMES)}),
+ends as (select distinct n, greatest(0, floor(n - 9 * sqrt(n) - 12))::bigint as lo, ceil(n + 9 * sqrt(n) + 12)::bigint as hi from cells),
+steps as (select n, lo, unnest(generate_series(lo, hi)) as k from ends),
+terms as (select n, lo, k, case when n = 0 and k > 0 then 0 else exp(sum(case when k = lo or n = 0 then 0.0 else ln(n / k) end) over (partition by n order by k)) end as term from steps),
+cdf as (select n, lo, k, sum(term) over (partition by n order by k) / sum(term) over (partition by n) as x from terms),
+us as (select cell, n, r.range as b, {UNIFORM.format(f"'{bootstrap.SEED}|' || cell || '|' || r.range")} as u from cells, range({bootstrap.RESAMPLES}) r),
+ws as (select cell, b, case when c.k is null then e.lo else c.k + 1 end as w from us join ends e on e.n = us.n asof left join cdf c on c.n = us.n and us.u >= c.x),
+per as (select b, {', '.join(f"cast(sum(w) filter (where cell = '{c}') as double) as {c}" for c in OUTCOMES)} from ws group by b),
+v as ({long_sql('per', rate_pairs())}) select {INTERVAL} from v group by metric""")
 def _(spark, d):
     return rounded(bootstrap.counts_ci(scored(spark, d)))
 
@@ -251,12 +295,22 @@ def _(spark, d):
     return rounded(bootstrap.auc_ci(view(spark, d, "scored")))
 
 
-@BOOK.query("m11_paired_comparison")
+DELTA = {m: f"{a} - {b}" for (m, a), b in zip(rate_pairs("_a").items(), rate_pairs("_b").values(), strict=True)}
+
+
+@BOOK.query("m11_paired_comparison", f"""{S}, sums as (select {BUCKET.format('row_id')} as bucket, {outcome_sums('score', '_a')}, {outcome_sums('score_b', '_b')} from scored group by 1),
+{resampled_sql([f'{c}{x}' for x in ('_a', '_b') for c in OUTCOMES])}, v as ({long_sql('per', DELTA)}),
+whole as (select {', '.join(f'sum({c}{x})::double as {c}{x}' for x in ('_a', '_b') for c in OUTCOMES)} from sums), p as ({long_sql('whole', DELTA)})
+select metric, {rnd('max(p.value)')} as delta, t.* exclude (metric) from p join (select metric, {PAIRED} from v group by metric) t using (metric) group by all""")
 def _(spark, d):
     return rounded(bootstrap.paired_comparison(view(spark, d, "scored"), "y", "score", "score_b"))
 
 
-@BOOK.query("m12_paired_cost_comparison")
+COST = "case when {0} >= 0.5 and y = 0 then 15.0 when {0} < 0.5 and y = 1 then 100.0 else 0.0 end"
+
+
+@BOOK.query("m12_paired_cost_comparison", f"""{S}, sums as (select {BUCKET.format('row_id')} as bucket, count(*)::double as n, sum({COST.format('score')} - {COST.format('score_b')})::double as d from scored group by 1),
+{resampled_sql(['n', 'd'])}, v as (select d / n as value from per) select 'mean_cost' as metric, {rnd('(select sum(d) / sum(n) from sums)')} as delta, {PAIRED} from v""")
 def _(spark, d):
     log = view(spark, d, "scored").select(F.col("row_id").alias("seq"), "y", "score", "score_b")
     cost = lambda s: F.when((F.col(s) >= 0.5) & (F.col("y") == 0), 15.0).when((F.col(s) < 0.5) & (F.col("y") == 1), 100.0).otherwise(0.0)

@@ -1,10 +1,13 @@
-"""A local session for tests and the bench."""
+"""A local session for tests and the bench, and tables that outlive executors."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(app: str = "flowlake", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -22,3 +25,15 @@ def local_session(app: str = "flowlake", cores: str | int = "*", partitions: int
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that the cluster names in ``spark.checkpoint.dir``: cuts the lineage, and later
+    reads see the same partitions. A local session without the setting gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowlake-"))
+    return df.checkpoint()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,12 +93,73 @@ def population_select(manifest: DataFrame, include: Sequence[str] | str = "all",
     return got.orderBy(key).drop("_given")
 
 
-def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of each file. Flow files are far below the 2 GB limit of one binary row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"),
-    )
+DIGESTS = "file_path string, sha256 string"
+#: Settings under which Spark gives every file to one task, whole.
+WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": str(2**62), "spark.sql.files.openCostInBytes": str(2**61)}
+
+
+def _digest_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the files whose lines arrive in order, one file after another."""
+    path, size, total, first = None, 0, 0, True
+    plain = marked = None
+
+    def done() -> pa.RecordBatch:
+        missing = size - total  # the reader takes away a byte order mark and the last line's end
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{path}: {total} of {size} bytes were read")
+        found = marked if missing >= 3 else plain
+        if missing in (1, 4):
+            found.update(b"\n")
+        return pa.RecordBatch.from_pydict({"file_path": [path], "sha256": [found.hexdigest()]})
+
+    for batch in batches:
+        names, at = batch.column("file_path"), 0
+        values = batch.column("value").to_pylist()
+        ends = [i for i in range(1, batch.num_rows) if names[i] != names[i - 1]] + [batch.num_rows] if batch.num_rows else []
+        for end in ends:
+            name = names[at].as_py()
+            if name != path:
+                if path is not None:
+                    yield done()
+                path, size, total, first = name, batch.column("file_size")[at].as_py(), 0, True
+                plain, marked = hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")
+            if batch.column("block_length")[at].as_py() != size:
+                raise ValueError(f"{path}: the file was split over tasks")
+            data = (b"" if first else b"\n") + b"\n".join(values[at:end])
+            plain.update(data)
+            marked.update(data)
+            total, first, at = total + len(data), False, end
+    if path is not None:
+        yield done()
+
+
+def file_digests(spark: SparkSession, path: str, staging: str) -> DataFrame:
+    """Path, name, size and SHA-256 of every file below ``path``, of any size: a file is streamed through one task
+    by Spark's own line reader, so it may lie in any store, and only a line has to fit in memory. The digests are
+    written to ``staging`` under settings that keep files whole, which are put back."""
+    every = spark.read.option("recursiveFileLookup", "true")
+    listing = every.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("bytes"))
+    lines = every.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_block_length").alias("block_length"), F.col("value").cast("binary").alias("value"))
+    before = {k: spark.conf.get(k, None) for k in WHOLE_FILES}
+    try:
+        for k, v in WHOLE_FILES.items():
+            spark.conf.set(k, v)
+        lines.mapInArrow(_digest_files, DIGESTS).write.parquet(staging)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    found = listing.join(spark.read.schema(DIGESTS).parquet(staging), "file_path", "left")
+    # a scan leaves out files without a byte; their names are known from the listing that every scan begins with
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    named = spark.createDataFrame([(f,) for f in lines.inputFiles()], "file_path string")
+    empty = named.join(listing.select(plain("file_path").alias("_p")), plain("file_path") == F.col("_p"), "left_anti")
+    empty = empty.select("file_path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
+    return found.unionByName(empty).select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "bytes", "sha256")
 
 
 def manifest_verify(expected: DataFrame, present: DataFrame) -> DataFrame:
@@ -111,6 +174,13 @@ def manifest_verify(expected: DataFrame, present: DataFrame) -> DataFrame:
     return e.join(p, "file_name", "full").select("dataset", "file_name", "expected_sha256", "actual_sha256", status.alias("status"))
 
 
+def manifest_overall(verified: DataFrame) -> DataFrame:
+    """One verdict per dataset: the worst of its files; unregistered files do not count."""
+    worst = F.min(F.when(F.col("status") == "missing", 0).when(F.col("status") == "mismatch", 1).when(F.col("status") == "unverifiable", 2).otherwise(3))
+    names = F.element_at(F.array(*[F.lit(x) for x in ("missing", "mismatch", "unverifiable", "verified")]), F.col("_w") + 1)
+    return verified.filter("status <> 'unregistered'").groupBy("dataset").agg(worst.alias("_w")).select("dataset", names.alias("overall"))
+
+
 def manifest_counts(verified: DataFrame) -> DataFrame:
     return verified.groupBy(F.coalesce("dataset", F.lit("(none)")).alias("dataset"), "status").agg(F.count("*").alias("files"))
 
