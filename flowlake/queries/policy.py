@@ -70,10 +70,10 @@ def _(spark, d):
     ))
 
 
-def optimal_sql(regime: str) -> str:
+def optimal_sql(regime: str, actions: int = 4, p: str = "p") -> str:
     m = policy.COSTS[regime]
-    e = [f"((1.0 - p) * {m[0][a]} + p * {m[1][a]})" for a in range(4)]
-    return "case " + " ".join(f"when {e[a]} <= least({', '.join(e)}) + 1e-9 then {a}" for a in range(3)) + " else 3 end"
+    e = [f"((1.0 - {p}) * {m[0][a]} + {p} * {m[1][a]})" for a in range(actions)]
+    return "case " + " ".join(f"when {e[a]} <= least({', '.join(e)}) + 1e-9 then {a}" for a in range(actions - 1)) + f" else {actions - 1} end"
 
 
 @BOOK.query("y2_policy_cost_optimal", f"{E}, p as (select seq, greatest(least(score, 1.0), 0.0) as p from scored_events) select seq, " + ", ".join(f"{optimal_sql(r)} as {r}" for r in policy.COSTS) + " from p")
@@ -158,7 +158,15 @@ def _(spark, d):
     return rounded(policy.blast_radius(df, "action", window="1 day").select("seq", "action", "blast_radius_hit"))
 
 
-@BOOK.query("y8_gate_with_blast_radius")
+_SAFE = "g3 as (select *, case when clamped = 3 and critical then 1 else clamped end as safe from g2)"
+_BLAST = f"""g3a as (select *, epoch_us(ts) // {DAY_US} as w, case when clamped = 3 and critical then 1 else clamped end as wanted from g2), known as (select w, count(distinct host_id) as n from g3a group by w),
+firsts as (select w, host_id, min(row(epoch_us(ts), seq)) as first_at from g3a where wanted = 3 group by all), ranks as (select w, host_id, row_number() over (partition by w order by first_at) as rk from firsts),
+blocked as (select ranks.w, ranks.host_id, true as is_blocked from ranks join known using (w) where rk / greatest(n, 20) > 0.05),
+g3 as (select g3a.*, coalesce(is_blocked, false) and wanted = 3 as blast, case when coalesce(is_blocked, false) and wanted = 3 then 1 else wanted end as safe from g3a left join blocked on blocked.w = g3a.w and blocked.host_id = g3a.host_id)"""
+BLAST_GATE = f"{E}, {gate_sql(False).replace(_SAFE, _BLAST).replace('when clamped = 3 and critical then ' + chr(39) + 'CRITICAL', 'when blast then ' + chr(39) + 'BLAST_RADIUS_CIRCUIT_BREAKER' + chr(39) + ' when clamped = 3 and critical then ' + chr(39) + 'CRITICAL')}"
+
+
+@BOOK.query("y8_gate_with_blast_radius", f"{BLAST_GATE} select override_reason, count(*) as n from gate group by override_reason")
 def _(spark, d):
     got = gated(spark, d, blast_window="1 day")
     return got.groupBy("override_reason").agg(F.count("*").alias("n"))
@@ -217,10 +225,10 @@ MATRIX_POLICIES = {
 }
 
 
-def played_sql() -> tuple[list[str], dict[tuple[str, str], str]]:
+def played_sql(policies: dict[str, tuple[str, str]]) -> tuple[list[str], dict[tuple[str, str], str]]:
     """CTEs that play each policy in each mode, and the name of each one's costed rows (column ``extra``)."""
     parts, names = [], {}
-    for i, (name, modes) in enumerate(MATRIX_POLICIES.items()):
+    for i, (name, modes) in enumerate(policies.items()):
         for three, action in enumerate(modes):
             t = f"m{i}_{three}"
             body = gate_sql(bool(three), action)
@@ -233,11 +241,13 @@ def played_sql() -> tuple[list[str], dict[tuple[str, str], str]]:
     return parts, names
 
 
-def matrix_sql() -> str:
-    parts, names = played_sql()
+def matrix_sql(policies: dict[str, tuple[str, str]]) -> str:
+    """A name may end with the one regime that it is played under, after a bar."""
+    parts, names = played_sql(policies)
     selects = []
-    for (mode, name), source in names.items():
-        for regime in policy.COSTS:
+    for (mode, full), source in names.items():
+        name, _, only = full.partition("|")
+        for regime in [only] if only else policy.COSTS:
             literal = f"'{regime}'"
             selects.append(f"select '{name}' as policy, '{mode}' as mode, '{regime}' as regime, count(*) as steps, sum({cost_sql(literal, 'y', 'enforced')} + extra) as total_cost, count(*) filter (where y = 1 and enforced >= 2) as contained_attacks, count(*) filter (where y = 0 and enforced = 3) as false_quarantines from {source}")
     return f"""{E}, {', '.join(parts)}, res as ({' union all '.join(selects)}) select r.policy, r.mode, r.regime, r.steps, {rnd('r.total_cost', 4)} as total_cost, {rnd('r.total_cost / r.steps', 4)} as mean_cost, r.contained_attacks, r.false_quarantines,
@@ -246,7 +256,7 @@ def matrix_sql() -> str:
 
 def paired_sql() -> str:
     """Cost differences per bucket and pair, under the weights that all pairs share."""
-    parts, names = played_sql()
+    parts, names = played_sql(MATRIX_POLICIES)
     costed = [
         f"select {BUCKET.format('seq')} as bucket, '{mode}' as mode, '{regime}' as regime, '{name}' as policy, count(*)::double as n, sum({cost_sql(quoted, 'y', 'enforced')} + extra)::double as c from {source} group by 1"
         for (mode, name), source in names.items() for regime in policy.COSTS for quoted in (f"'{regime}'",)
@@ -260,7 +270,7 @@ t as (select mode, regime, baseline, candidate, {PAIRED} from v group by all), p
 select t.*, {rnd('p.delta')} as delta, case when not significant then 'equal' when p.delta < 0 then candidate else baseline end as better_policy from t join p using (mode, regime, baseline, candidate)"""
 
 
-@BOOK.query("y13_policy_matrix", matrix_sql())
+@BOOK.query("y13_policy_matrix", matrix_sql(MATRIX_POLICIES))
 def _(spark, d):
     return rounded(policy.policy_matrix(with_critical(spark, d), policies=list(MATRIX_POLICIES), cooldown_s=COOL_S), 4)
 
@@ -277,7 +287,13 @@ def _(spark, d):
     return rounded(policy.paired_policies(with_critical(spark, d), policies=ladder, cooldown_s=COOL_S))
 
 
-@BOOK.query("y13_policy_matrix_cost_optimal")
+OPTIMAL_POLICIES = {
+    "always_allow": ("0", "0"),
+    **{f"cost_optimal|{r}": tuple(optimal_sql(r, n, "greatest(least(score, 1.0), 0.0)") for n in (4, 3)) for r in policy.COSTS},
+}
+
+
+@BOOK.query("y13_policy_matrix_cost_optimal", matrix_sql(OPTIMAL_POLICIES))
 def _(spark, d):
     return rounded(policy.policy_matrix(with_critical(spark, d), policies=["always_allow", "cost_optimal"], cooldown_s=COOL_S), 4)
 
