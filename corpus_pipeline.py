@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm import exact_dedup, near_dedup, packing, pii, quality
-from flowlake.llm.common import fresh_path, scratch_of_one_stage, table
+from flowlake.llm.common import fresh_path, keep_scratch, scratch_of_one_stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep_scratch()  # the result of an earlier run may not have been read yet
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -70,6 +70,11 @@ def scratch_of_one_stage(spark: SparkSession) -> Iterator[None]:
         _recording = False
 
 
+def keep_scratch() -> None:
+    """Forget what was recorded: tables that a result still reads, as that of an earlier run, stay."""
+    _recorded.clear()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, so that a batch of the longest texts still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
