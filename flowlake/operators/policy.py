@@ -93,11 +93,16 @@ def always_allow() -> Column:
     return F.lit(ALLOW)
 
 
-def single_threshold(score: Column, tau: float = 0.50, four_action: bool = True) -> Column:
+# Thresholds of the ladder's policies and of the tier machine.
+SINGLE_TAU, TIER_LOW, TIER_TOP = 0.50, 0.40, 0.75
+SUSPECT, HIGH_RISK, PERSISTENT, ALERT_DENSITY, COOLDOWN_STEPS = 0.40, 0.85, 0.70, 3, 30
+
+
+def single_threshold(score: Column, tau: float = SINGLE_TAU, four_action: bool = True) -> Column:
     return F.when(score >= tau, ISOLATE if four_action else RATE_LIMIT).otherwise(ALLOW)
 
 
-def two_tier(score: Column, low: float = 0.40, high: float = 0.75, four_action: bool = True) -> Column:
+def two_tier(score: Column, low: float = TIER_LOW, high: float = TIER_TOP, four_action: bool = True) -> Column:
     """The upper tier isolates and the lower one limits; with three actions each is one step milder."""
     top, mid = (ISOLATE, RATE_LIMIT) if four_action else (RATE_LIMIT, ALERT)
     return F.when(score >= high, top).when(score >= low, mid).otherwise(ALLOW)
@@ -115,10 +120,12 @@ def cost_optimal(score: Column, regime: str, four_action: bool = True) -> Column
     return out
 
 
-TIER_STATES = [(t, c) for t in range(4) for c in range(31)]
+TIER_STATES = [(t, c) for t in range(4) for c in range(COOLDOWN_STEPS + 1)]
 
 
-def tier_step(four_action: bool = True, suspect: float = 0.40, high: float = 0.85, persistent: float = 0.70, density: int = 3, cooldown: int = 30):
+def tier_step(
+    four_action: bool = True, suspect: float = SUSPECT, high: float = HIGH_RISK, persistent: float = PERSISTENT, density: int = ALERT_DENSITY, cooldown: int = COOLDOWN_STEPS
+):
     """Transition of the tier machine: state (tier, cooldown), input (score, alerts in the last 10)."""
     top = ISOLATE if four_action else RATE_LIMIT
 
