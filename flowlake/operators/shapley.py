@@ -115,9 +115,8 @@ def shapley(x: np.ndarray, groups: Sequence[Leaves], features: int) -> np.ndarra
 def fitted_trees(model, spark: SparkSession, folder: str) -> list[Tree]:
     """The trees of a fitted MLlib tree, forest or boosted ensemble, read from the model's saved form. Their size is
     bounded by the model's parameters (trees times two to the depth). A classifier's answer is the
-    probability of class 1, a boosted tree's its weighted output."""
-    if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("the folder must be storage that driver and executors share")
+    probability of class 1, a boosted tree's its weighted output. ``folder`` must be storage that driver and
+    executors share; a mounted one has a plain path."""
     path = f"{folder.rstrip('/')}/trees-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -143,18 +142,21 @@ def attributions(df: DataFrame, row_id: str, features: Sequence[str], trees: Seq
     """Long table (row_id, feature, value, phi, base): ``base`` plus the sum of a row's phi is the ensemble's answer."""
     groups = leaves_of(trees)
     base, feats = expected(groups), list(features)
-    shared = df.sparkSession.sparkContext.broadcast(groups)
+    # plain arrays: a broadcast names its classes, and executors need not have this package
+    shared = df.sparkSession.sparkContext.broadcast([(g.feature, g.low, g.high, g.share, g.answer) for g in groups])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaves = [Leaves(*g) for g in shared.value]
         for pdf in batches:
             x, ids = pdf[feats].to_numpy(float), pdf[row_id].to_numpy()
             for a in range(0, len(x), ROWS):
                 part = x[a:a + ROWS]
-                phi = shapley(part, shared.value, len(feats))
+                phi = shapley(part, leaves, len(feats))
                 yield pd.DataFrame({"row_id": np.repeat(ids[a:a + ROWS], len(feats)), "feature": feats * len(phi), "value": part.ravel(), "phi": phi.ravel(), "base": base})
 
     kind = df.schema[row_id].dataType.simpleString()
-    return df.select(row_id, *feats).mapInPandas(explain, f"row_id {kind}, feature string, value double, phi double, base double")
+    spread = df.select(row_id, *feats).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_id)  # a row costs far more than its bytes tell
+    return spread.mapInPandas(explain, f"row_id {kind}, feature string, value double, phi double, base double")
 
 
 def importance(values: DataFrame) -> DataFrame:

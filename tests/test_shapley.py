@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from itertools import combinations
 from math import factorial
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -107,6 +109,20 @@ def test_fitted_models_add_up(spark, rows, tmp_path, kind, more):
     assert len(got) == 150 and all(got[i] == pytest.approx(answers[i], abs=1e-9) for i in got)
 
 
+def test_a_shared_folder_may_have_a_plain_path_on_a_cluster(spark, rows, tmp_path):
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"), read=spark.read)
+    model = DecisionTreeClassifier(featuresCol="vec", labelCol="y", maxDepth=2).fit(rows)
+    assert len(sh.fitted_trees(model, cluster, str(tmp_path))) == 1
+
+
+def test_broadcast_trees_need_no_class_of_this_package(spark, rows, tmp_path, monkeypatch):
+    sent, ship = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or ship(value))
+    model = DecisionTreeClassifier(featuresCol="vec", labelCol="y", maxDepth=3).fit(rows)
+    sh.attributions(rows, "id", ["a", "b", "c"], sh.fitted_trees(model, spark, str(tmp_path)))
+    assert len(sent) == 1 and b"flowlake" not in pickle.dumps(sent[0])
+
+
 def test_top_features_and_importance(spark):
     values = spark.createDataFrame([(1, "a", 7.0, 0.5, 0.1), (1, "b", 8.0, -0.9, 0.1), (1, "c", 9.0, 0.5, 0.1), (2, "a", 1.0, 0.0, 0.1)], "row_id long, feature string, value double, phi double, base double")
     top = [tuple(r) for r in sh.top_features(values, 2).orderBy("row_id", "rank").collect()]
