@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators.chains import leading_rows
 from flowlake.operators.ordered import (
-    DAY, first_per_key, gap_sessions, micros, numbered, time_chunk, with_halo,
+    DAY, _join_chunk, carry_sum, first_per_key, gap_sessions, micros, numbered, time_chunk,
 )
 
 
@@ -18,22 +18,23 @@ def suspicious_count(
     chunk_s: float = DAY, out: str = "suspicious_count",
 ) -> DataFrame:
     """Suspicious rows of the source in the last ``window_s`` seconds, both edges inclusive, arrival
-    order breaking timestamp ties: rows of the same instant that arrive later are not counted yet."""
-    placed = with_halo(df, ts, max(chunk_s, window_s), window_s)
-    placed = placed.withColumns({
-        "_us": F.unix_micros(F.col(ts)), "_hit": F.col(suspicious).cast("long"),
-    })
-    part = Window.partitionBy(key, "_chunk")
-    by_row = part.orderBy("_us", order).rowsBetween(Window.unboundedPreceding, 0)
-    by_time = part.orderBy("_us")
-    in_window = F.sum("_hit").over(by_time.rangeBetween(-micros(window_s), 0))
-    later_ties = F.sum("_hit").over(by_time.rangeBetween(Window.unboundedPreceding, 0)) - F.sum(
-        "_hit"
-    ).over(by_row)
+    order breaking timestamp ties: rows of the same instant that arrive later are not counted yet.
+
+    A suspicious row adds one where it stands and takes it away right after the last instant that still
+    sees it, so the count is a running sum and a row costs the same whatever the window holds."""
+    width = F.lit(micros(chunk_s))
+    step = lambda us, leaves, add: F.struct(us.alias("_us"), F.lit(leaves).alias("_leaves"), F.lit(add).cast("long").alias("_add"))
+    us = F.unix_micros(F.col(ts))
+    steps = F.when(F.col(suspicious), F.array(step(us, False, 1), step(us + micros(window_s), True, -1)))
+    placed = df.filter(F.col(ts).isNotNull()).withColumn("_step", F.explode(F.coalesce(steps, F.array(step(us, False, 0)))))
+    placed = placed.select(*df.columns, "_step.*")
+    placed = placed.withColumn("_chunk", ((F.col("_us") - F.pmod(F.col("_us"), width)) / width).cast("long"))
+    carried = carry_sum(placed, [key], "_add", "_before")
+    running = Window.partitionBy(key, "_chunk").orderBy("_us", "_leaves", order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumn("_local", F.sum("_add").over(running)).filter(~F.col("_leaves"))
     return (
-        placed.withColumn("_c", in_window).withColumn("_t", later_ties).filter("_own")
-        .withColumn(out, F.coalesce(F.col("_c") - F.col("_t"), F.lit(0)).cast("long"))
-        .drop("_chunk", "_own", "_us", "_hit", "_c", "_t")
+        _join_chunk(counted, carried, [key]).withColumn(out, F.col("_before") + F.col("_local"))
+        .drop("_us", "_leaves", "_add", "_chunk", "_local", "_before")
     )
 
 
