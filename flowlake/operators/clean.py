@@ -84,7 +84,7 @@ def fold_compatibility(df: DataFrame, label: str) -> DataFrame:
     )
     tagged = df.withColumn("_raw", F.when(odd, F.col(label)))
     spread = [c for c in df.columns]
-    joined = spread_lookup(tagged, table, ["_raw"], "_w", spread)
+    joined = spread_lookup(tagged, table, ["_raw"], "_w", spread, absent=F.col("_raw").isNull())
     return joined.withColumn(label, F.coalesce("_folded", label)).select(*df.columns)
 
 

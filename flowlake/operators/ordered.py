@@ -242,12 +242,14 @@ HOT_ONE_IN = 1000
 
 
 def spread_lookup(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str], *, salts: int = 1024
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str], *, salts: int = 1024,
+    absent: Column | None = None,
 ) -> DataFrame:
     """Left join ``rows`` with a per-key ``table`` whose ``weight`` is the number of rows of the key.
 
     Hot keys, fewer than ``HOT_ONE_IN`` at any size, are broadcast; their rows then travel through the
-    shuffle join under a salt taken from ``spread`` and never meet in one task."""
+    shuffle join under a salt taken from ``spread`` and never meet in one task. So do the rows for which
+    ``absent`` holds, whose key is known not to be in the table."""
     values = [c for c in table.columns if c not in keys]
     marked = attach_row(table, table.agg(F.sum(F.col(weight)).alias("_total")))
     marked = marked.withColumn("_is_hot", F.col(weight) * HOT_ONE_IN > F.col("_total"))
@@ -260,13 +262,14 @@ def spread_lookup(
         part = F.col(k).eqNullSafe(F.col(f"_h_{k}"))
         cond = part if cond is None else cond & part
     step = rows.join(F.broadcast(hot), cond, "left").drop(*[f"_h_{k}" for k in keys])
+    apart = F.col(f"_hv_{weight}").isNotNull()
     salt = F.when(
-        F.col(f"_hv_{weight}").isNotNull(), -1 - F.pmod(F.xxhash64(*spread), F.lit(salts))
+        apart if absent is None else apart | absent, -1 - F.pmod(F.xxhash64(*spread), F.lit(salts))
     ).otherwise(F.lit(0)).cast("long")
     step = step.withColumn("_salt", salt)
     cold = marked.filter(~F.col("_is_hot")).select(
         *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.lit(0).cast("long").alias("_c_salt"),
+        F.col("_is_hot").cast("long").alias("_c_salt"),  # 0; a literal would be folded and not be a key of the join
         *[F.col(v).alias(f"_cv_{v}") for v in values],
     )
     cond = F.col("_salt") == F.col("_c_salt")
