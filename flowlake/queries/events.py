@@ -175,10 +175,12 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark, "indexed")
     df = view(spark, d, "vectors").select("row_id", "source_file").withColumn("part", F.col("source_file"))
-    df.repartition(4, "part").sortWithinPartitions("part", "row_id").write.partitionBy("part").option("header", True).csv(path)
-    got = scans.with_row_index(scans.csv_flow_scan(spark, path, "x").drop("source_file").withColumnRenamed("source_file.1", "source_file"))
+    # a file in several parts, each a range of its rows
+    df.repartitionByRange("part", "row_id").sortWithinPartitions("part", "row_id").write.partitionBy("part").option("header", True).csv(path)
     key = F.regexp_extract("source_path", "part=([^/]+)/", 1)
-    return got.groupBy(key.alias("source_file")).agg(F.count("*").alias("n"), F.sum("source_row_index").alias("index_sum"))
+    lines = scans.csv_flow_scan(spark, path, "x").select(key.alias("source_file"), "source_path", "file_block", "line_id")
+    got = scans.with_row_index(lines, F.col("source_file"))
+    return got.groupBy("source_file").agg(F.count("*").alias("n"), F.sum("source_row_index").alias("index_sum"))
 
 
 LINE = "concat(cast(event_id as varchar({n})), ',', event_type, ',', cast(user_id as varchar({n})))"

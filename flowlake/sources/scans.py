@@ -7,7 +7,8 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,20 +16,36 @@ from flowlake.functions.numeric import all_of, is_finite
 from flowlake.operators.ordered import numbered
 
 
+LOT_BITS = 16  # rows numbered in one group, as a power of two
+
+
 def canonical_header(name: str) -> str:
     """NFKC form with single spaces and no outer blanks; case is kept."""
     return " ".join(unicodedata.normalize("NFKC", name).split())
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows at which the file changes; the lines of a file arrive in order, one file after another."""
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        paths = batch.column("source_path")
+        starts = [i + 1 for i in pc.indices_nonzero(pc.not_equal(paths.slice(1), paths.slice(0, n - 1))).to_pylist()]
+        if paths[0].as_py() != last:
+            starts.insert(0, 0)
+        last = paths[n - 1].as_py()
+        if starts:
+            yield batch.take(pa.array(starts))
+
+
 def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(source_path, header line) of each file."""
+    """(source_path, header line) of each file. A task passes over its lines once and holds none of them."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_n"), "value",
-    )
-    first = lines.filter(F.col("_block") == 0).groupBy("source_path")
-    return first.agg(F.min_by("value", "_n").alias("header"))
+    lines = spark.read.text(paths).filter(F.col("_metadata.file_block_start") == 0)
+    lines = lines.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("header"))
+    return lines.mapInArrow(_first_lines, "source_path string, header string")
 
 
 def csv_flow_scan(spark: SparkSession, paths: str | Sequence[str], dataset: str) -> DataFrame:
@@ -61,10 +78,15 @@ def csv_flow_scan(spark: SparkSession, paths: str | Sequence[str], dataset: str)
     return out
 
 
-def with_row_index(scan: DataFrame) -> DataFrame:
+def with_row_index(scan: DataFrame, file: Column | None = None) -> DataFrame:
     """``source_row_index`` from 0 inside each file, by its full path. The line id only orders the lines of
-    one block, so the result does not depend on how blocks were packed into tasks."""
-    ranked = numbered(scan, ["source_path"], ["file_block", "line_id"], F.col("file_block"))
+    one block, so the result does not depend on how blocks were packed into tasks. Where a writer has cut
+    files into parts, ``file`` tells which parts are one file; they follow each other by path."""
+    lot = F.shiftright("line_id", LOT_BITS)  # lines of a block go to many tasks
+    if file is None:
+        ranked = numbered(scan, ["source_path"], ["line_id"], F.struct("file_block", lot.alias("lot")))
+    else:
+        ranked = numbered(scan.withColumn("_file", file), ["_file"], ["line_id"], F.struct("source_path", "file_block", lot.alias("lot"))).drop("_file")
     return ranked.withColumn("source_row_index", F.col("rn") - 1).drop("rn", "file_block", "line_id")
 
 

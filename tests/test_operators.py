@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.operators import clean, events, flows, metrics, ml, rules, splits
-from flowlake.sources import sinks
+from flowlake.operators import clean, events, flows, hosts, metrics, ml, rules, splits
+from flowlake.sources import scans, sinks
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -84,3 +86,51 @@ def test_multi_flow_rule_comes_fourth_and_its_gap_is_named(spark):
     df = spark.createDataFrame([(6, 20.0, 0.0, 40.0)], "protocol int, syn_count double, ack_count double, packet_length_mean double")
     row = rules.rules_from_features(df).first()
     assert "RULE-PORT-SCAN-MULTI-FLOW" in row["unavailable_rules"] and "src_ip/dst_ip" in row["unavailable_features"]
+
+
+def test_sliding_counts_are_running_sums(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(("a", "b", None)), T0 + dt.timedelta(seconds=rnd.randrange(40)), rnd.choice((True, True, False, None))) for i in range(160)]
+    rows.append((160, "a", None, True))
+    df = spark.createDataFrame(rows, "seq long, host string, ts timestamp, hit boolean")
+    for window_s, chunk_s in ((7.0, 3.0), (3.0, 10.0), (0.0, 5.0)):
+        out = hosts.suspicious_count(df, "host", "ts", "seq", "hit", window_s, chunk_s)
+        want = {
+            seq: sum(bool(hit) for s, h, at, hit in rows if h == host and at is not None and (at, s) <= (ts, seq) and (ts - at).total_seconds() <= window_s)
+            for seq, host, ts, _ in rows if ts is not None
+        }
+        assert {r["seq"]: r["suspicious_count"] for r in out.collect()} == want
+        assert out.columns == [*df.columns, "suspicious_count"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan  # Spark goes through every row of such a frame for each row
+
+
+def test_plain_labels_do_not_meet_in_one_task(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") % 50 == 0, "Web Attack – XSS").otherwise("DoS Hulk").alias("label"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("false", "-1", "16"), strict=True):
+            spark.conf.set(k, v)
+        got = clean.fold_compatibility(df, "label").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 400 and max(Counter(r["task"] for r in got).values()) < 100
+
+
+def test_headers_come_without_sorting_lines(spark, tmp_path):
+    for name, text in (("a", "x,y\n1,2\n3,4\n"), ("b", "y,x\n2,1\n"), ("c", "x,y\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    found = scans.file_headers(spark, str(tmp_path))
+    assert {r["source_path"][-5:]: r["header"] for r in found.collect()} == {"a.csv": "x,y", "b.csv": "y,x", "c.csv": "x,y"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+
+
+def test_row_index_of_a_file_in_parts(spark, tmp_path):
+    spark.range(50).select("id", (F.col("id") % 2).alias("part")).repartitionByRange(5, "part", "id").sortWithinPartitions("part", "id").write.partitionBy("part").option("header", True).csv(str(tmp_path / "f"))
+    scan = scans.csv_flow_scan(spark, str(tmp_path / "f"), "x")
+    assert scan.select("source_path").distinct().count() > 2
+    part = F.regexp_extract("source_path", "part=([^/]+)/", 1)
+    got = scans.with_row_index(scan, part).select(part.alias("part"), F.col("id").cast("int").alias("id"), "source_row_index").collect()
+    assert len(got) == 50 and all(r["source_row_index"] == r["id"] // 2 for r in got)
