@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,15 +41,18 @@ class Escalation(InOrder):
         last, escalated, times = self.seen.get() if self.seen.exists() else (None, None, 0)
         if last is None and not rows:
             return [], None
-        hits = [h[0] for h in self.hits.get()] if self.hits.exists() else []
+        hits = deque(h[0] for h in self.hits.get()) if self.hits.exists() else deque()  # in order, as rows are
         vectors = [list(v[0]) for v in self.vectors.get()] if self.vectors.exists() else []
         found = []
         for us, row_id, suspicious, vector in rows:
             if last is not None and us - last > self.stale:
-                hits, vectors, escalated, times = [], [], None, 0
+                hits, vectors, escalated, times = deque(), [], None, 0
             last = us
             vectors = [*vectors, [float(x) for x in vector]][-HISTORY:]
-            hits = [h for h in hits if h >= us - self.window] + ([us] if suspicious else [])
+            while hits and hits[0] < us - self.window:
+                hits.popleft()
+            if suspicious:
+                hits.append(us)
             above = len(hits) >= self.threshold
             cooling = escalated is not None and us - escalated < self.cooldown
             escalate = above and not cooling

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,30 @@ def test_escalation_keeps_ten_vectors_and_forgets_silent_sources(spark, tmp_path
         sources.Escalation(4, 30, 15, 10, 5)
 
 
+class Ticking(int):
+    """A number that counts how often it is compared."""
+
+    ticks = 0
+
+    def _compared(name):  # noqa: N805
+        def method(self, other):
+            Ticking.ticks += 1
+            return getattr(int, name)(self, other)
+        return method
+
+    __lt__, __le__, __gt__, __ge__ = _compared("__lt__"), _compared("__le__"), _compared("__gt__"), _compared("__ge__")
+
+
+def test_a_row_looks_only_at_the_hits_that_leave_the_window():
+    machine = sources.Escalation(3, 1.0, 1.0, 5.0, 5)
+    state = SimpleNamespace(exists=lambda: False, put=lambda rows: None, clear=lambda: None, update=lambda row: None)
+    machine.hits = machine.vectors = machine.seen = state
+    rows = [(Ticking(i * 1000), i, True, [0.0]) for i in range(3000)]
+    found, _ = machine.walk(("a",), rows, 3000 * 1000)
+    assert [f[3] for f in found] == [min(i, 1000) + 1 for i in range(3000)]
+    assert Ticking.ticks < 20 * len(rows)
+
+
 def fold_scans(rows, window_s, min_ports, min_probes):
     state, found = {}, []
     for us, src, dst, port, probe in sorted(rows, key=lambda r: (r[0], r[4])):
