@@ -416,8 +416,8 @@ def tune_alpha(df: DataFrame, y: str, a: str, b: str, steps: int = 10) -> DataFr
     near = F.abs(F.col("alpha") - 0.5)
     # of equal weights the one closest to one half, then the first of the grid
     order = F.struct(F.round("roc_auc", 9), F.round(-near, 9), -F.col("alpha"))
-    best = got.agg(F.max_by("alpha", order).alias("best_alpha"))
-    return attach_row(got, best).withColumn("is_best", F.col("alpha") == F.col("best_alpha"))
+    best = F.max_by("alpha", order).over(Window.partitionBy())  # one row per weight; a second read would count all again
+    return got.withColumn("best_alpha", best).withColumn("is_best", F.col("alpha") == F.col("best_alpha"))
 
 
 def compare_components(df: DataFrame, y: str, scores: dict[str, Column], threshold: float = 0.5) -> DataFrame:

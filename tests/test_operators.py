@@ -134,3 +134,10 @@ def test_row_index_of_a_file_in_parts(spark, tmp_path):
     part = F.regexp_extract("source_path", "part=([^/]+)/", 1)
     got = scans.with_row_index(scan, part).select(part.alias("part"), F.col("id").cast("int").alias("id"), "source_row_index").collect()
     assert len(got) == 50 and all(r["source_row_index"] == r["id"] // 2 for r in got)
+
+
+def test_best_weight_comes_without_a_second_read(spark):
+    df = spark.createDataFrame([(i % 2, i / 9, (i * 5 % 7) / 7) for i in range(8)], "y int, a double, b double")
+    tuned = metrics.tune_alpha(df, "y", "a", "b")
+    assert sum(r["is_best"] for r in tuned.collect()) == 1
+    assert "scalar-subquery" not in tuned._jdf.queryExecution().optimizedPlan().toString()
