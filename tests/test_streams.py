@@ -155,7 +155,7 @@ class Ticking(int):
     __lt__, __le__, __gt__, __ge__ = _compared("__lt__"), _compared("__le__"), _compared("__gt__"), _compared("__ge__")
 
 
-def test_a_row_looks_only_at_the_hits_that_leave_the_window():
+def test_a_row_looks_only_at_the_hits_that_leave_the_window(spark):
     machine = sources.Escalation(3, 1.0, 1.0, 5.0, 5)
     state = SimpleNamespace(exists=lambda: False, put=lambda rows: None, clear=lambda: None, update=lambda row: None)
     machine.hits = machine.vectors = machine.seen = state
