@@ -11,7 +11,7 @@ that leaf is
     answer * (o_i - z_i) * integral from 0 to 1 of the product over j != i of (o_j t + z_j (1 - t)) dt,
 
 a polynomial of degree k - 1 for k features on the path, so Gauss-Legendre quadrature with (k + 1) // 2
-nodes is exact. All leaves with the same k are taken together, as arrays over rows, leaves and features.
+nodes is exact. All leaves of a tree with the same k are taken together, as arrays over leaves, features and rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CELLS = 1 << 21  # array cells held at once
+CELLS = 1 << 18  # array cells held at once; few enough for a core's cache
 ROWS = 1024
+TINY = 1e-100  # stands for a share of 0, whose logarithm has no value
 NEUTRAL = 1e-5  # fixed value: smaller attributions push neither way
 
 
@@ -57,25 +58,34 @@ class Leaves:
 
 def leaves_of(trees: Sequence[Tree]) -> list[Leaves]:
     """The leaves of all trees by the number of features on their paths. A row meets a path's conditions on a
-    feature when ``low < x <= high``."""
-    found: dict[int, list[tuple]] = {}
+    feature when ``low < x <= high``. A tree is walked level by level, all nodes of a level at once."""
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for tree in trees:
-        stack: list[tuple[int, dict[int, tuple[float, float, float]]]] = [(0, {})]
-        while stack:
-            node, path = stack.pop()
-            if tree.left[node] < 0:
-                f = sorted(path)
-                found.setdefault(len(f), []).append((f, *([path[i][c] for i in f] for c in range(3)), tree.answer[node] * tree.scale))
-                continue
-            f, cut = int(tree.feature[node]), float(tree.cut[node])
-            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-            for child, ends in ((tree.left[node], (low, min(high, cut))), (tree.right[node], (max(low, cut), high))):
-                part = tree.cover[child] / tree.cover[node] if tree.cover[node] > 0 else 0.0
-                stack.append((int(child), {**path, f: (*ends, share * part)}))
-    return [
-        Leaves(np.array([g[0] for g in group], int).reshape(len(group), k), *(np.array([g[c] for g in group], float).reshape(len(group), k) for c in (1, 2, 3)), np.array([g[4] for g in group], float))
-        for k, group in sorted(found.items())
-    ]
+        width = max(int(tree.feature.max(initial=-1)) + 1, 1)
+        node = np.zeros(1, int)
+        low, high, share, used = np.full((1, width), -np.inf), np.full((1, width), np.inf), np.ones((1, width)), np.zeros((1, width), bool)
+        while len(node):
+            ends = tree.left[node] < 0
+            sizes = used.sum(axis=1)
+            for k in np.unique(sizes[ends]):
+                at = np.flatnonzero(ends & (sizes == k))
+                f = np.nonzero(used[at])[1].reshape(len(at), k)
+                found.setdefault(int(k), []).append((f, *(np.take_along_axis(v[at], f, axis=1) for v in (low, high, share)), tree.answer[node[at]] * tree.scale))
+            inner = np.flatnonzero(~ends)
+            parent, rows = node[inner], np.arange(len(inner))
+            f, cut = tree.feature[parent], tree.cut[parent]
+            sides = []
+            for child, goes_left in ((tree.left[parent], True), (tree.right[parent], False)):
+                lo, hi, sh, us = low[inner], high[inner], share[inner], used[inner]
+                if goes_left:
+                    hi[rows, f] = np.minimum(hi[rows, f], cut)
+                else:
+                    lo[rows, f] = np.maximum(lo[rows, f], cut)
+                sh[rows, f] *= np.divide(tree.cover[child], tree.cover[parent], out=np.zeros(len(child)), where=tree.cover[parent] > 0)
+                us[rows, f] = True
+                sides.append((child, lo, hi, sh, us))
+            node, low, high, share, used = (np.concatenate(v) for v in zip(*sides, strict=True))
+    return [Leaves(*(np.concatenate(v) for v in zip(*found[k], strict=True))) for k in sorted(found)]
 
 
 def expected(groups: Sequence[Leaves]) -> float:
@@ -84,8 +94,13 @@ def expected(groups: Sequence[Leaves]) -> float:
 
 
 def shapley(x: np.ndarray, groups: Sequence[Leaves], features: int) -> np.ndarray:
-    """Shapley values of each row (rows, features)."""
-    phi = np.zeros((len(x), features))
+    """Shapley values of each row (rows, features).
+
+    At a quadrature node t a factor is ``on = t + z (1 - t)`` if the row meets the conditions, else ``off = z (1 - t)``.
+    The product over all features is a matrix product of logarithms with the conditions met; dividing it by feature
+    i's own factor leaves the others. For a feature not met the value is minus the sum of ``product / (1 - t)``,
+    whichever feature it is."""
+    phi, columns = np.zeros((features, len(x))), np.ascontiguousarray(x.T)
     for g in groups:
         k = g.feature.shape[1]
         if k == 0:
@@ -95,21 +110,22 @@ def shapley(x: np.ndarray, groups: Sequence[Leaves], features: int) -> np.ndarra
         step = max(1, CELLS // max(1, len(x) * k))
         for a in range(0, len(g.answer), step):
             part = slice(a, a + step)
-            f, share, answer = g.feature[part], g.share[part], g.answer[part]
-            values = x[:, f]
-            met = ((values > g.low[part]) & (values <= g.high[part])).astype(float)
-            total = np.zeros_like(met)
-            for t, w in zip(nodes, weights, strict=True):
-                terms = met * t + share * (1 - t)
-                before, after = np.ones_like(terms), np.ones_like(terms)
-                before[:, :, 1:] = np.cumprod(terms[:, :, :-1], axis=2)
-                after[:, :, :-1] = np.cumprod(terms[:, :, :0:-1], axis=2)[:, :, ::-1]
-                total += w * before * after
-            total *= (met - share) * answer[:, None]
+            f, answer = g.feature[part], g.answer[part]
+            share = np.maximum(g.share[part], TINY)
+            values = columns[f]
+            met = (values > g.low[part][:, :, None]) & (values <= g.high[part][:, :, None])
+            off = share[:, None, :] * (1 - nodes)[:, None]  # (leaf, node, feature)
+            on = nodes[:, None] + off
+            product = np.matmul(np.log(on) - np.log(off), met.astype(float))
+            product += np.log(off).sum(axis=2)[:, :, None]
+            np.exp(product, out=product)
+            total = np.matmul((answer[:, None, None] * weights[:, None] * (1 - share)[:, None, :] / on).transpose(0, 2, 1), product)
+            unmet = np.matmul((answer[:, None] * (weights / (1 - nodes)))[:, None, :], product)
+            total = np.where(met, total, -unmet)
             flat, order = f.ravel(), np.argsort(f.ravel(), kind="stable")
             starts = np.r_[0, np.flatnonzero(np.diff(flat[order])) + 1]
-            phi[:, flat[order][starts]] += np.add.reduceat(total.reshape(len(x), -1)[:, order], starts, axis=1)
-    return phi
+            phi[flat[order][starts]] += np.add.reduceat(total.reshape(-1, len(x))[order], starts, axis=0)
+    return np.ascontiguousarray(phi.T)
 
 
 def fitted_trees(model, spark: SparkSession, folder: str) -> list[Tree]:
@@ -122,37 +138,42 @@ def fitted_trees(model, spark: SparkSession, folder: str) -> list[Tree]:
     data = spark.read.parquet(f"{path}/data")
     single = "nodeData" not in data.columns
     data = data.select(F.lit(0).alias("treeID"), "*") if single else data.select("treeID", "nodeData.*")
-    table = data.select(
-        "treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"), F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("cut"),
-        F.col("impurityStats").alias("stats"), "prediction",
-    ).toPandas().sort_values(["treeID", "id"])
     boosted = hasattr(model, "treeWeights") and hasattr(model, "evaluateEachIteration")
-    scales = list(model.treeWeights) if boosted else [1.0 / max(table["treeID"].nunique(), 1)] * table["treeID"].nunique()
-    trees = []
-    for scale, (_, g) in zip(scales, table.groupby("treeID"), strict=True):
-        stats = np.array([np.asarray(s, float) for s in g["stats"]])
-        cover = stats[:, 0] if boosted else stats.sum(axis=1)  # a regression tree keeps count, sum and sum of squares
-        answer = g["prediction"].to_numpy(float) if boosted else stats[:, 1] / np.maximum(cover, 1e-300)
-        left, right = g["leftChild"].to_numpy(int), g["rightChild"].to_numpy(int)
-        trees.append(Tree(g["feature"].to_numpy(int), g["cut"].fillna(0.0).to_numpy(float), left, right, cover, answer, float(scale)))
-    return trees
+    stats = F.col("impurityStats")
+    # a regression tree keeps count, sum and sum of squares, a classifier's the weight of each class
+    cover = stats[0] if boosted else F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    answer = F.col("prediction") if boosted else stats[1] / F.greatest(cover, F.lit(1e-300))
+    table = data.select(
+        "treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"), F.coalesce(F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)), F.lit(0.0)).alias("cut"),
+        cover.cast("double").alias("cover"), answer.cast("double").alias("answer"),
+    ).toArrow().to_pandas().sort_values(["treeID", "id"])  # numbers in columns, no object per node
+    count = table["treeID"].nunique()
+    scales = list(model.treeWeights) if boosted else [1.0 / max(count, 1)] * count
+    return [
+        Tree(*(g[c].to_numpy(kind) for c, kind in (("feature", int), ("cut", float), ("leftChild", int), ("rightChild", int), ("cover", float), ("answer", float))), float(scale))
+        for scale, (_, g) in zip(scales, table.groupby("treeID"), strict=True)
+    ]
 
 
 def attributions(df: DataFrame, row_id: str, features: Sequence[str], trees: Sequence[Tree]) -> DataFrame:
-    """Long table (row_id, feature, value, phi, base): ``base`` plus the sum of a row's phi is the ensemble's answer."""
-    groups = leaves_of(trees)
-    base, feats = expected(groups), list(features)
+    """Long table (row_id, feature, value, phi, base): ``base`` plus the sum of a row's phi is the ensemble's answer.
+
+    The trees are shipped to the tasks as nodes; a task holds the leaves of one tree at a time."""
+    base, feats = sum(expected(leaves_of([t])) for t in trees), list(features)
     # plain arrays: a broadcast names its classes, and executors need not have this package
-    shared = df.sparkSession.sparkContext.broadcast([(g.feature, g.low, g.high, g.share, g.answer) for g in groups])
+    shared = df.sparkSession.sparkContext.broadcast([(t.feature, t.cut, t.left, t.right, t.cover, t.answer, t.scale) for t in trees])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves = [Leaves(*g) for g in shared.value]
         for pdf in batches:
             x, ids = pdf[feats].to_numpy(float), pdf[row_id].to_numpy()
+            phi = np.zeros(x.shape)
+            for t in shared.value:
+                leaves = leaves_of([Tree(*t)])
+                for a in range(0, len(x), ROWS):
+                    phi[a:a + ROWS] += shapley(x[a:a + ROWS], leaves, len(feats))
             for a in range(0, len(x), ROWS):
                 part = x[a:a + ROWS]
-                phi = shapley(part, leaves, len(feats))
-                yield pd.DataFrame({"row_id": np.repeat(ids[a:a + ROWS], len(feats)), "feature": feats * len(phi), "value": part.ravel(), "phi": phi.ravel(), "base": base})
+                yield pd.DataFrame({"row_id": np.repeat(ids[a:a + ROWS], len(feats)), "feature": feats * len(part), "value": part.ravel(), "phi": phi[a:a + ROWS].ravel(), "base": base})
 
     kind = df.schema[row_id].dataType.simpleString()
     spread = df.select(row_id, *feats).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_id)  # a row costs far more than its bytes tell

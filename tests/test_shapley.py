@@ -123,6 +123,28 @@ def test_broadcast_trees_need_no_class_of_this_package(spark, rows, tmp_path, mo
     assert len(sent) == 1 and b"flowlake" not in pickle.dumps(sent[0])
 
 
+def test_tasks_get_nodes_and_not_the_paths_of_all_leaves(spark, monkeypatch):
+    sent, ship = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or ship(value))
+    k, n = 30, 61
+    inner = (np.arange(n) % 2 == 0) & (np.arange(n) < n - 1)
+    left, right = (np.where(inner, np.arange(n) + d, -1) for d in (1, 2))
+    chain = sh.Tree(np.arange(n) // 2, np.zeros(n), left, right, np.ones(n), np.ones(n))
+    names = [f"f{i}" for i in range(k)]
+    sh.attributions(spark.createDataFrame([(1, *[0.5] * k)], ["id", *names]), "id", names, [chain])
+    assert sum(np.asarray(a).nbytes for tree in sent[0] for a in tree) <= 64 * n
+
+
+def test_a_side_without_training_weight_adds_nothing():
+    tree = sh.Tree(np.array([0, 1, -1, -1, -1]), np.zeros(5), np.array([1, 2, -1, -1, -1]), np.array([4, 3, -1, -1, -1]), np.array([8.0, 8, 0, 8, 0]), np.array([0.0, 0, 5, 1, 9]))
+    x = np.array([[-1.0, -1.0], [-1.0, 1.0], [1.0, 1.0]])
+    phi = sh.shapley(x, sh.leaves_of([tree]), 2)
+    for row, got in zip(x, phi, strict=True):
+        known = lambda *s: value(tree, row, frozenset(s))  # noqa: B023, E731
+        want = [(known(i) - known() + known(0, 1) - known(1 - i)) / 2 for i in (0, 1)]
+        assert got == pytest.approx(want, abs=1e-10)
+
+
 def test_top_features_and_importance(spark):
     values = spark.createDataFrame([(1, "a", 7.0, 0.5, 0.1), (1, "b", 8.0, -0.9, 0.1), (1, "c", 9.0, 0.5, 0.1), (2, "a", 1.0, 0.0, 0.1)], "row_id long, feature string, value double, phi double, base double")
     top = [tuple(r) for r in sh.top_features(values, 2).orderBy("row_id", "rank").collect()]
