@@ -17,6 +17,7 @@ from flowlake.operators.ordered import (
     DAY, _join_chunk, attach_row, blocks_with_context, carry_sum, first_per_key, following, micros, numbered,
     previous, ranked_globally, time_chunk, with_halo,
 )
+from flowlake.session import durable
 
 # Action codes.
 ALLOW, ALERT, RATE_LIMIT, ISOLATE = 0, 1, 2, 3
@@ -37,6 +38,7 @@ SEVERITY = {
 }
 CHATTER_COST, FATIGUE_FREE, FATIGUE_SLOPE = 10.0, 5, 0.5
 BLOCK_ROWS = 50_000
+HALO_PARTS = 4  # a slice is at least as many times as wide as the context copied into the next
 
 
 def action_name(code: Column) -> Column:
@@ -252,7 +254,7 @@ def safety_gate(df: DataFrame, proposed: str = "proposed", host: str = "host_id"
         base = blast_radius(base, "_p", host, ts, order, window=blast_window)
     else:
         base = base.withColumn("blast_radius_hit", F.lit(False))
-    placed = with_halo(base, ts, max(chunk_s, cooldown_s), cooldown_s)
+    placed = with_halo(base, ts, max(chunk_s, HALO_PARTS * cooldown_s), cooldown_s)
     w = Window.partitionBy(host, "_chunk").orderBy(ts, order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     us = F.unix_micros(F.col(ts))
@@ -287,17 +289,19 @@ def override_summary(log: DataFrame) -> DataFrame:
 
 # ---- costs ---------------------------------------------------------------------------------------
 
-def alert_run(df: DataFrame, action: str, host: str = "host_id", ts: str = "ts", order: str = "seq", chunk_s: float = DAY, out: str = "consecutive_alerts") -> DataFrame:
-    """Length of the current run of ALERT actions, 0 elsewhere.
+def alert_run(df: DataFrame, action: str, host: str = "host_id", ts: str = "ts", order: str = "seq", chunk_s: float = DAY, out: str = "consecutive_alerts", before: str | None = None) -> DataFrame:
+    """Length of the current run of ALERT actions, 0 elsewhere; ``before`` names a column for the action of the
+    row before (null for the first of a host), which takes the same pass.
 
     Inside a slice the run is counted from the last non-ALERT row; a slice that starts inside a run
     takes over the alerts at the end of the slices before it."""
     placed = df.withColumns({"_chunk": time_chunk(ts, chunk_s), "_a": (F.col(action) == ALERT).cast("long")})
-    w = Window.partitionBy(host, "_chunk").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumns({"_rn": F.count("*").over(w), "_cut": F.sum(1 - F.col("_a")).over(w)})
-    placed = placed.withColumn("_at", F.max(F.when(F.col("_a") == 0, F.col("_rn"))).over(w))
+    w = Window.partitionBy(host, "_chunk").orderBy(ts, order)
+    held = F.struct(F.col(action).alias("v"))
+    placed = placed.withColumns({"_rn": F.row_number().over(w).cast("long"), "_prev": F.lag(held).over(w)})
+    placed = placed.withColumn("_at", F.max(F.when(F.col("_a") == 0, F.col("_rn"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     per = placed.groupBy(host, "_chunk").agg(
-        F.count("*").alias("_n"), F.max("_at").alias("_lastcut")
+        F.count("*").alias("_n"), F.max("_at").alias("_lastcut"), F.max_by(held, "_rn").alias("_final")
     ).withColumn("_tail", F.col("_n") - F.coalesce("_lastcut", F.lit(0)))
     cw = Window.partitionBy(host).orderBy("_chunk")
     full = F.col("_lastcut").isNull()
@@ -305,21 +309,21 @@ def alert_run(df: DataFrame, action: str, host: str = "host_id", ts: str = "ts",
     gw = Window.partitionBy(host, "_g").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
     carried = (
         per.withColumn("_g", run).withColumn("_end", F.sum("_tail").over(gw))
-        .withColumn("_carry", F.coalesce(F.lag("_end").over(cw), F.lit(0)))
-        .select(host, "_chunk", "_carry")
+        .withColumns({"_carry": F.coalesce(F.lag("_end").over(cw), F.lit(0)), "_held": F.lag("_final").over(cw)})
+        .select(host, "_chunk", "_carry", "_held")
     )
     own = F.when(F.col("_at").isNull(), F.col("_rn") + F.col("_carry")).otherwise(F.col("_rn") - F.col("_at"))
-    return _join_chunk(placed, carried, [host]).withColumn(
-        out, F.when(F.col("_a") == 1, own).otherwise(0)
-    ).drop("_chunk", "_a", "_rn", "_cut", "_at", "_carry")
+    found = {out: F.when(F.col("_a") == 1, own).otherwise(0)}
+    if before is not None:
+        found[before] = F.coalesce("_prev", "_held")["v"]
+    return _join_chunk(placed, carried, [host]).withColumns(found).drop("_chunk", "_a", "_rn", "_at", "_prev", "_carry", "_held")
 
 
 def step_cost(log: DataFrame, regime: str, action: str = "enforced", y: str = "y", host: str = "host_id", ts: str = "ts", order: str = "seq", *, cooldown: str = "cooldown_remaining_s", chunk_s: float = DAY) -> DataFrame:
     """Base, chatter and fatigue cost per row. The cooldown is read after enforcement, so a row that
     starts a mitigation already counts as inside it."""
     priced = cost_join(log, action, y, regime)
-    priced = previous(priced, action, host, ts, order, "prev_action", chunk_s, default=ALLOW)
-    priced = alert_run(priced, action, host, ts, order, chunk_s)
+    priced = alert_run(priced, action, host, ts, order, chunk_s, before="prev_action").withColumn("prev_action", F.coalesce("prev_action", F.lit(ALLOW)))
     cooling = (F.col(action) >= RATE_LIMIT) | (F.col(cooldown) > 0)
     jump = F.abs(F.col(action) - F.col("prev_action")) >= 2
     return priced.withColumns({
@@ -426,19 +430,19 @@ def played(
     for mode, four in MODES.items():
         if "state_machine" in policies:
             keep = tier_machine(keep, host, score, ts, order, four_action=four, chunk_s=chunk_s).withColumnRenamed("action", f"_tier_{mode}")
-    lines = [
-        F.struct(
-            F.lit(p).alias("policy"), F.lit(mode).alias("mode"), F.lit(regime).cast("string").alias("only"),
-            (F.col(f"_tier_{mode}") if p == "state_machine" else baseline_action(p, F.col(score), regime, four)).cast("int").alias("proposed"))
-        for mode, four in MODES.items() for p in policies for regime in (regimes if p == "cost_optimal" else (None,))
-    ]
-    copies = keep.select(host, ts, order, y, "is_critical", F.explode(F.array(*lines)).alias("p")).select("*", "p.*").drop("p")
-    proposed = F.when(F.col("mode") == "3_action", clamp_three(F.col("proposed"))).otherwise(F.col("proposed"))
-    copies = copies.withColumns({"proposed": proposed, "_host": F.concat_ws("|", "policy", "mode", "only", F.col(host).cast("string"))})
+    lines = [(p, mode, regime) for mode in MODES for p in policies for regime in (regimes if p == "cost_optimal" else (None,))]
+    actions = []
+    for p, mode, regime in lines:
+        action = (F.col(f"_tier_{mode}") if p == "state_machine" else baseline_action(p, F.col(score), regime, MODES[mode])).cast("int")
+        actions.append(action if MODES[mode] else clamp_three(action))
+    # a copy carries the number of its line through shuffles and sorts; the names come back at the end
+    copies = keep.select(host, ts, order, y, "is_critical", F.posexplode(F.array(*actions)).alias("_line", "proposed"))
+    copies = copies.withColumn("_host", F.concat_ws("|", F.col("_line").cast("string"), F.col(host).cast("string"))).drop(host)
     log = safety_gate(copies, host="_host", ts=ts, order=order, cooldown_s=cooldown_s, chunk_s=chunk_s)
     fixed = step_cost(log, regimes[0], y=y, host="_host", ts=ts, order=order, chunk_s=chunk_s)
-    return fixed.select(
-        "policy", "mode", "only", order, F.when(F.col(y) == 1, 1).otherwise(0).alias("label"), F.col("enforced").alias("act"),
+    named = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(mode).alias("mode"), F.lit(regime).cast("string").alias("only")) for p, mode, regime in lines])
+    return fixed.withColumn("_names", named[F.col("_line")]).select(
+        "_names.*", order, F.when(F.col(y) == 1, 1).otherwise(0).alias("label"), F.col("enforced").alias("act"),
         (F.col("chatter_cost") + F.col("fatigue_cost")).alias("extra"),
     )
 
@@ -478,8 +482,8 @@ def paired_policies(
     priced = priced_counts(log, regimes, [bootstrap.bucket_of(order).alias("bucket")])
     configs = [(m, r, p) for m in MODES for r in regimes for p in policies]
     mine = lambda c: (F.col("mode") == c[0]) & (F.col("regime") == c[1]) & (F.col("policy") == c[2])
-    sums = priced.groupBy("bucket").agg(
-        F.sum(F.when(mine(configs[0]), F.col("n"))).alias("n"), *[F.coalesce(F.sum(F.when(mine(c), F.col("total"))), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(configs)])
+    sums = durable(priced.groupBy("bucket").agg(  # one row per bucket, read more than once
+        F.sum(F.when(mine(configs[0]), F.col("n"))).alias("n"), *[F.coalesce(F.sum(F.when(mine(c), F.col("total"))), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(configs)]))
     at = {c: F.col(f"c{i}") for i, c in enumerate(configs)}
     pairs = {
         "|".join((m, r, base, p)): at[m, r, p] - at[m, r, base]

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.operators import clean, events, flows, hosts, metrics, ml, rules, splits
+from flowlake.operators import clean, events, flows, hosts, metrics, ml, policy, rules, splits
 from flowlake.sources import scans, sinks
 
 T0 = dt.datetime(2024, 1, 1)
@@ -141,3 +141,19 @@ def test_best_weight_comes_without_a_second_read(spark):
     tuned = metrics.tune_alpha(df, "y", "a", "b")
     assert sum(r["is_best"] for r in tuned.collect()) == 1
     assert "scalar-subquery" not in tuned._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_run_of_alerts_and_the_action_before_cross_slices_in_one_pass(spark):
+    acts = [1, 1, 0, 1, 1, 1, 2, 1]  # a row every ten hours: slices of a day hold two or three
+    log = spark.createDataFrame([(h, T0 + dt.timedelta(hours=10 * i), i, a) for h in ("a", None) for i, a in enumerate(acts)], "host_id string, ts timestamp, seq long, act int")
+    got = policy.alert_run(log, "act", before="was").orderBy("seq").collect()
+    for host in ("a", None):
+        mine = [r for r in got if r["host_id"] == host]
+        assert [r["consecutive_alerts"] for r in mine] == [1, 2, 0, 1, 2, 3, 0, 1]
+        assert [r["was"] for r in mine] == [None, *acts[:-1]]
+
+
+def test_costs_of_steps_join_the_slices_once(spark):
+    log = spark.createDataFrame([("a", T0, 1, 1, 3, 0.0)], "host_id string, ts timestamp, seq long, y int, enforced int, cooldown_remaining_s double")
+    plan = policy.step_cost(log, "high_availability")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3  # costs in both branches, and the carried slices
