@@ -440,22 +440,16 @@ def degradation(source: DataFrame, target: DataFrame, metrics: Sequence[str], mo
 
 
 def family_auc(df: DataFrame, family: str, benign: str, score: str = "score") -> DataFrame:
-    """AUC of each attack family against the benign rows. Benign per-score counts are joined to the
-    families as counts, never as rows."""
+    """AUC of each attack family against the benign rows. Benign counts are summed along the scores once and looked
+    up by the families' scores, never copied per family."""
     per = df.groupBy(family, F.col(score).cast("double").alias("_score")).agg(F.count("*").alias("n"))
-    pos = per.filter(F.col(family) != benign).select(
-        F.col(family).alias("family"), "_score", F.col("n").alias("pos"), F.lit(0).cast("long").alias("neg")
+    pos = per.filter(F.col(family) != benign).select(F.col(family).alias("family"), "_score", F.col("n").alias("pos"))
+    neg = per.filter(F.col(family).isNotNull()).groupBy("_score").agg(
+        F.coalesce(F.sum(F.when(F.col(family) == benign, F.col("n"))), F.lit(0)).alias("neg")
     )
-    fams = df.filter(F.col(family) != benign).select(F.col(family).alias("family")).distinct()
-    neg = per.filter(F.col(family) == benign).select("_score", F.col("n").alias("neg"))
-    # one copy of the benign score histogram per family name
-    neg = attach_row(neg, fams.agg(F.sort_array(F.collect_set("family")).alias("_f"))).select(
-        F.explode("_f").alias("family"), "_score", F.lit(0).cast("long").alias("pos"), "neg"
-    )
-    both = pos.unionByName(neg).groupBy("family", "_score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    return auc_from_points(running_totals(both, ["family"], "_score", ["pos", "neg"]), ["family"])
+    below = running_totals(neg, [], "_score", ["neg"]).withColumnRenamed("_score", "_at")
+    above = running_totals(pos, ["family"], "_score", ["pos"])
+    return auc_from_points(above.join(below, F.col("_score").eqNullSafe(F.col("_at"))), ["family"])
 
 
 def rank_average(df: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:

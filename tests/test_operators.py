@@ -157,3 +157,14 @@ def test_costs_of_steps_join_the_slices_once(spark):
     log = spark.createDataFrame([("a", T0, 1, 1, 3, 0.0)], "host_id string, ts timestamp, seq long, y int, enforced int, cooldown_remaining_s double")
     plan = policy.step_cost(log, "high_availability")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 3  # costs in both branches, and the carried slices
+
+
+def test_family_auc_copies_no_benign_count(spark):
+    rows = [("NO", s) for s in (0.1, 0.4, 0.4, None)] + [("A", 0.4), ("A", 0.9), ("B", 0.05), ("B", None), (None, 0.7)]
+    df = spark.createDataFrame(rows, "family string, score double")
+    got = metrics.family_auc(df, "family", "NO", "score")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["family"]: (r["n_pos"], r["n_neg"], r["roc_auc"]) for r in got.collect()}
+    assert found == {"A": (2, 4, pytest.approx((3 + 4) / 8)), "B": (2, 4, pytest.approx((1 + 0.5) / 8))}  # no score is least
+    alone = metrics.family_auc(df.filter("family = 'A'"), "family", "NO", "score").first()
+    assert (alone["n_pos"], alone["n_neg"], alone["roc_auc"]) == (2, 0, None)
