@@ -31,16 +31,29 @@ def hash_ranked(df: DataFrame, keys: Sequence[str], row_id: str, seed: int, out:
 def stratified_split(
     df: DataFrame, label: str, row_id: str, seed: int = 42, train: float = 0.6, validation: float = 0.2
 ) -> DataFrame:
-    """Exact shares per class in seeded hash order."""
-    ranked = hash_ranked(df, [label], row_id, seed)
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    cut1 = F.bround(F.col("_n") * train)
-    cut2 = F.bround(F.col("_n") * (train + validation))
-    return (
-        ranked.join(sizes, label)  # one row per class
-        .withColumn("split", F.when(F.col("rn") <= cut1, "train").when(F.col("rn") <= cut2, "validation").otherwise("test"))
-        .drop("rn", "_n")
+    """Exact shares per class in seeded hash order. A slice of hashes that no cut falls into lies in one split, so
+    rows are ranked only in the slices with a cut (two of 4096 per class); the others stay where they are."""
+    h = order_hash(F.col(row_id), seed)
+    rows = df.filter(F.col(label).isNotNull()).withColumn("_h", h).withColumn("_chunk", hash_chunk(F.col("_h")))
+    slices = rows.groupBy(label, "_chunk").agg(F.count("*").alias("_c"))
+    up_to = Window.partitionBy(label).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices.withColumns({"_end": F.sum("_c").over(up_to), "_n": F.sum("_c").over(Window.partitionBy(label))})
+    cuts = {"_cut1": F.bround(F.col("_n") * train), "_cut2": F.bround(F.col("_n") * (train + validation))}
+    beyond = lambda value, cut: F.coalesce(F.min(F.when(F.col("_end") > F.col(cut), value)), F.lit(2**62))
+    found = slices.withColumns(cuts).groupBy(label, "_cut1", "_cut2").agg(
+        beyond(F.col("_chunk"), "_cut1").alias("_at1"), beyond(F.col("_end") - F.col("_c"), "_cut1").alias("_before1"),
+        beyond(F.col("_chunk"), "_cut2").alias("_at2"), beyond(F.col("_end") - F.col("_c"), "_cut2").alias("_before2"),
     )
+    placed = rows.join(F.broadcast(found), label)  # one row per class
+    at, split = F.col("_chunk"), lambda first, second: F.when(first, "train").when(second, "validation").otherwise("test")
+    cut = (at == F.col("_at1")) | (at == F.col("_at2"))
+    whole = placed.filter(~cut).withColumn("split", split(at < F.col("_at1"), at < F.col("_at2")))
+    before = F.when(at == F.col("_at1"), F.col("_before1")).otherwise(F.col("_before2"))
+    rank = before + F.row_number().over(Window.partitionBy(label, "_chunk").orderBy("_h", row_id))
+    ranked = placed.filter(cut).withColumn("_rn", rank)
+    ranked = ranked.withColumn("split", split(F.col("_rn") <= F.col("_cut1"), F.col("_rn") <= F.col("_cut2")))
+    first = [label] + [c for c in df.columns if c != label]
+    return whole.select(*first, "split").unionByName(ranked.select(*first, "split"))
 
 
 def grouped_split(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 from collections import Counter
 
@@ -168,3 +169,37 @@ def test_family_auc_copies_no_benign_count(spark):
     assert found == {"A": (2, 4, pytest.approx((3 + 4) / 8)), "B": (2, 4, pytest.approx((1 + 0.5) / 8))}  # no score is least
     alone = metrics.family_auc(df.filter("family = 'A'"), "family", "NO", "score").first()
     assert (alone["n_pos"], alone["n_neg"], alone["roc_auc"]) == (2, 0, None)
+
+
+def records_shuffled(df) -> int:
+    """Rows that the exchanges of an executed ``df`` wrote."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_stratified_split_leaves_rows_where_they_are(spark):
+    rows = [(f"r{i // 2 if i % 5 == 0 else i}", None if i % 50 == 3 else "abc"[i % 3 if i % 7 else 0], i) for i in range(30_000)]
+    rows += [(None, "c", i) for i in range(30)] + [("lonely", "d", 1)]
+    got = splits.stratified_split(spark.createDataFrame(rows, "row_id string, family string, v int").coalesce(1), "family", "row_id")
+    found = got.collect()
+    # a seeded hash order per class, cut at rounded shares; rows of one id are told apart by nothing
+    place = lambda r: hashlib.md5("-".join([*([r] if r else []), "42"]).encode()).hexdigest()
+    want = Counter()
+    for family in "abcd":
+        ids = sorted((r[0] for r in rows if r[1] == family), key=lambda r: (place(r), r or ""))
+        cuts = round(len(ids) * 0.6), round(len(ids) * (0.6 + 0.2))
+        want.update((family, r, "train" if k < cuts[0] else "validation" if k < cuts[1] else "test") for k, r in enumerate(ids))
+    assert Counter((r["family"], r["row_id"], r["split"]) for r in found) == want and got.columns == ["family", "row_id", "v", "split"]
+    # counts per class and slice of hashes, and the rows of the slices with a cut
+    slices = len({(r[1], place(r[0])[:3]) for r in rows if r[1]})
+    assert records_shuffled(got) < 2.5 * slices + 200, (records_shuffled(got), slices)
