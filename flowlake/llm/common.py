@@ -106,6 +106,29 @@ def map_batches(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBa
             yield work(batch)
 
 
+ID_SLOTS, SLOTS_OF_BITMAP = 1 << 26, 1 << 15
+
+
+def by_listed_id(rows: DataFrame, of: Column, listed: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose id ``of`` may be in ``column`` of ``listed`` and those whose id is not.
+
+    Only the first part need meet ``listed`` in a shuffle. A bitmap of hashed ids tells them apart, of 64 slots to an
+    id and ``ID_SLOTS`` (8 MB) at most, so that beyond a million ids more rows that are not listed come along.
+    ``listed`` must be stable; ids are not null."""
+    bitmaps = max(1, min(ID_SLOTS, listed.count() * 64) // SLOTS_OF_BITMAP)
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bitmaps * SLOTS_OF_BITMAP))
+    number = lambda c: F.floor(slot(c) / SLOTS_OF_BITMAP)
+    place = lambda c: F.pmod(slot(c), F.lit(SLOTS_OF_BITMAP))
+    ids = listed.select(F.col(column).alias("_listed_id")).distinct()
+    marks = ids.groupBy(number(F.col("_listed_id")).alias("_bitmap_number")).agg(F.bitmap_construct_agg(place(F.col("_listed_id"))).alias("_bitmap"))
+    marks = staged(marks, "listed-ids")
+    byte = F.col("_bitmap").substr((F.floor(place(of) / 8) + 1).cast("int"), F.lit(1))
+    marked = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place(of), F.lit(8)).cast("int")) == 1
+    found = rows.join(F.broadcast(marks), number(of) == F.col("_bitmap_number"), "left")
+    marked, own = F.coalesce(marked, F.lit(False)), [F.col(f"`{c}`") for c in rows.columns]
+    return found.filter(marked).select(*own), found.filter(~marked).select(*own)
+
+
 def spread_rank(
     rows: DataFrame, group: str, order: Sequence[Column | str], uid: str, out: str, least: int = 20_000, most_cells: int = 50_000
 ) -> DataFrame:

@@ -1,14 +1,14 @@
 """Operator 7: exact deduplication by deterministic block naming, in DataFrame functions only.
 
-A normalised text is cut into blocks of fixed size. The distinct blocks are sorted and numbered, so
-a block becomes an integer name and equal names mean equal blocks. Adjacent names are then paired
-and the distinct pairs are sorted and numbered again, level by level, until a document has one
-name. Documents are equal exactly when they end on the same level with the same name; no hash
+A normalised text is cut into blocks of fixed size. Blocks are sorted and each takes the number of the
+first row with an equal one, so a block becomes an integer name and equal names mean equal blocks.
+Adjacent names are then paired and the pairs are sorted and named again, level by level, until a
+document has one name. Documents are equal exactly when they end on the same level with the same name; no hash
 decides anything, so nothing can collide.
 
 Copies make some blocks very frequent. Blocks (and pairs) that fill over one in ``HOT_ONE_IN`` of
 the rows of their level are fewer than ``HOT_ONE_IN``; they get their names by a broadcast of that
-bounded list, and all other rows by a shuffled join.
+bounded list, and all other rows by one shuffle.
 
 Defined cases: a null text counts as empty; of equal texts the largest id stays, a null id is the
 smallest and, where ids tie, one row is kept; an empty table gives an empty result; further columns
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, staged, table, text_or_empty
+from .common import by_listed_id, lower_ascii, staged, table, text_or_empty
 
 BLOCK_CHARS = 4096
 HOT_ONE_IN = 500
@@ -71,11 +71,19 @@ def hot_names(rows: DataFrame, n: int, of: Callable[[list[int]], DataFrame]) ->
 
 
 def named(rows: DataFrame, n: int, of: Callable[[list[int]], DataFrame] | None = None) -> DataFrame:
-    """Replace ``key`` by an integer ``name``, equal for equal keys: distinct keys, sorted, numbered."""
+    """Replace ``key`` by an integer ``name``, equal for equal keys: the number of the first row that has it.
+
+    Rows are sorted by key once, with what they carry. A frequent key has its name from ``hot_names`` and goes
+    to the shuffle under a key of its own, without its text."""
     hot = hot_names(rows, n, of or (lambda refs: rows.filter(F.col("ref").isin(refs))))
-    cold = rows if hot is None else rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
-    names = cold.select("key").distinct().sortWithinPartitions("key")
-    return lookup(rows, "key", hot, names.withColumn("name", F.monotonically_increasing_id()), ["name"])
+    rows, name = rows.withColumn("_number", F.monotonically_increasing_id()), F.min("_number").over(Window.partitionBy("key"))
+    if hot is not None:
+        hot = hot.select(F.col("key").alias("_hot_key"), F.col("name").alias("_hot_name"))
+        rows = rows.join(F.broadcast(hot), F.col("key") == F.col("_hot_key"), "left")
+        own = F.concat(F.lit("\u0001"), F.col("uid").cast("string"))
+        rows = rows.withColumn("key", F.when(F.col("_hot_key").isNull(), F.col("key")).otherwise(own)).drop("_hot_key")
+        name = F.coalesce("_hot_name", name)
+    return rows.withColumn("name", name).drop("key", "_number", "_hot_name")
 
 
 def block_rows(docs: DataFrame, text: Column, block_chars: int) -> DataFrame:
@@ -131,7 +139,8 @@ def keep_one(docs: DataFrame, text: Column | None = None, block_chars: int = BLO
     rows = staged(rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.coalesce("keep_id", F.lit(NO_ID)).alias("_keep"), F.col("text_sha256").alias("_sha")), "copies")
     same = lambda other: (ref() == other["_id"]) & (F.sha2(text, 256) == other["_sha"])
     gone = rows.filter("_id <> _keep").select("_id", "_sha").distinct()
-    left = docs.join(gone, same(gone), "left_anti")
+    listed, others = by_listed_id(docs, ref(), gone, "_id")
+    left = others.unionByName(listed.join(gone, same(gone), "left_anti"))
     repeated = rows.filter("_id = _keep").select("_id", "_sha").distinct()
     if repeated.isEmpty():
         return left

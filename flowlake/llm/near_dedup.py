@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import map_batches, small_batches, staged, table, text_or_empty, texts_of
+from .common import by_listed_id, map_batches, small_batches, staged, table, text_or_empty, texts_of
 
 WORDS, SKETCH, LEAST_SHARED = 5, 64, 34
 PERCENT = 80
@@ -199,8 +199,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
     """``pairs`` with ``linked``: exact Jaccard on the full sets, made again from the few texts it takes."""
     small_batches(docs.sparkSession)
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = needed.join(classes.select("node", "rep", "sig"), "node")
+    needed = staged(needed.join(classes.select("node", "rep", "sig"), "node"), "needed")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), "text")
+    texts, _ = by_listed_id(texts, F.col("rep"), needed, "rep")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingles(t, words) for t in texts_of(batch)]
@@ -336,7 +337,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, k: int = SKETCH) -> DataFrame:
     gone = gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     gone = staged(gone, "near-copies")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(gone, (own == gone["gone_id"]) & (text_hash() == gone["gone_hash"]), "left_anti")
+    listed, others = by_listed_id(docs, own, gone, "gone_id")
+    return others.unionByName(listed.join(gone, (own == gone["gone_id"]) & (text_hash() == gone["gone_hash"]), "left_anti"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowlake.llm import exact_dedup as X
+from flowlake.llm.common import by_listed_id
 
 from .corpus import documents, empty, frame, lowered
 
@@ -56,3 +58,23 @@ def test_one_text_for_a_third_of_the_rows(spark):
 
 def test_empty_table(spark):
     assert X.exact_groups(empty(spark)).collect() == [] and X.keep_one(empty(spark)).collect() == []
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_meet_in_one_shuffle(spark):
+    rows = frame(spark, [(i, f"text {i % 700}", "en", "s", 1) for i in range(900)], clashing=False)
+    named = X.named(X.block_rows(rows, X.lower_ascii(X.text_or_empty()), 64), 10**6)
+    assert plan_of(named).count("Exchange hashpartitioning") == 1
+
+
+def test_rows_with_other_ids_are_not_shuffled(spark):
+    rows = frame(spark, clashing=True)
+    ids = spark.createDataFrame([(3,), (None,), (7,), (10**12,)], "x long").withColumn("x", F.coalesce("x", F.lit(X.NO_ID)))
+    listed, others = by_listed_id(rows, X.ref(), ids, "x")
+    assert "Exchange hashpartitioning" not in plan_of(others) and listed.columns == others.columns == rows.columns
+    near, far = listed.collect(), others.collect()
+    assert {r["doc_id"] for r in near} >= {3, None, 7} and not {r["doc_id"] for r in far} & {3, None, 7}
+    assert len(near) + len(far) == rows.count() and len(near) < 12
