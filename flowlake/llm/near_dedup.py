@@ -122,16 +122,16 @@ def prefixes(classes: DataFrame, k: int) -> DataFrame:
     """The inverted lists of the rarest retained values that can decide a link: value, from_end (place
     among the class's entries, the most frequent first), node, n, take, slack, bits."""
     # three values or fewer: similarity 0.8 needs equal sets
-    large = classes.filter("n > 3").withColumn("len", F.size("sketch"))
-    retained = large.select("node", "n", "len", F.explode("sketch").alias("value"))
+    large = classes.filter("n > 3")
+    retained = large.select("node", F.explode("sketch").alias("value"))
     shared = staged(retained.groupBy("value").count().filter("count > 1"), "frequencies")
-    known = retained.join(shared, "value").groupBy("node", "n", "len").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("known"))
-    take = F.size("known") - least_shared(k) + 1  # the len - size(known) values of this class alone come first
+    known = retained.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("known"))
+    slack = (F.size("sketch") - least_shared(k)).cast("int").alias("slack")
+    known = known.join(large.select("node", "n", slack, *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]), "node")
+    take = F.size("known") - least_shared(k) + 1  # the values of this class alone come first
     known = known.withColumn("take", take.cast("int")).filter("take > 0")
-    lists = known.select("node", "n", "take", F.posexplode(F.slice("known", F.lit(1), F.col("take"))).alias("i", "x"))
-    lists = lists.select("x.value", (F.col("take") - F.col("i")).alias("from_end"), "node", "n", "take")
-    slack = (F.col("len") - least_shared(k)).cast("int").alias("slack")
-    return lists.join(large.select("node", slack, *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]), "node")
+    lists = known.select(*MEMBER, "take", F.posexplode(F.slice("known", F.lit(1), F.col("take"))).alias("i", "x"))
+    return lists.select("node", "x.value", (F.col("take") - F.col("i")).alias("from_end"), "n", "take", *MEMBER[2:])
 
 
 MEMBER = ["node", "n", "slack", *[f"b{i}" for i in range(BITS // 64)]]
