@@ -21,7 +21,10 @@ other components; that covers every remaining pair of every list. While that wou
 
 A bitmap of ``BITS`` bits rules most pairs out where they meet: each bit that one of two sets has alone
 is a value that they do not share, which bounds their intersection. It marks the whole set up to
-``BITS`` values, where the bound is exact, and the sketch beyond.
+``BITS`` values, where the bound is exact, and the sketch beyond. Members of lists longer than ``LONG``,
+as a large group of near copies has, meet in many such lists and are too alike for that bitmap. For these
+comparisons their full sets are made again and marked in ``WIDE`` bits, blocks of about ``BLOCK`` members
+meet in one task, and a pair is given only by the first of the long lists that hold both.
 
 Components are contracted along smallest neighbours, with pointer jumping, in staged tables; links
 and components never reach the driver.
@@ -35,7 +38,7 @@ an empty table gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -50,6 +53,7 @@ WORDS, SKETCH, LEAST_SHARED = 5, 64, 34
 PERCENT = 80
 BITS, STAR_LISTS, STAR_PIVOTS = 256, 2, 4
 PATIENCE, STAR_ROUNDS, BEST = 8, 1, 3
+LONG, WIDE, BLOCK = 32, 2048, 4096
 NO_ID = -(2**63)
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31, _ONE = (np.uint64(x) for x in (30, 27, 31, 1))
@@ -86,6 +90,13 @@ def signature(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def marks(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A bitmap of each set, one row of longs."""
+    marked = np.zeros((len(sets), bits), bool)
+    marked[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) % bits] = True
+    return np.packbits(marked, axis=1, bitorder="little").view("<i8")
+
+
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     """doc_id, text_hash, n, sig (of the whole set), sketch and bitmap of every document."""
     small_batches(docs.sparkSession)
@@ -96,10 +107,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
         lengths = np.array([len(s) for s in short])
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = np.concatenate(short)
-        marks = np.zeros((len(sets), BITS), bool)
-        marked = [s if len(s) <= BITS else s[:k] for s in sets]
-        marks[np.repeat(np.arange(len(sets)), [len(s) for s in marked]), np.concatenate(marked) % BITS] = True
-        bits = np.packbits(marks, axis=1, bitorder="little").view("<i8")
+        bits = marks([s if len(s) <= BITS else s[:k] for s in sets], BITS)
         return pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64())), pa.array(list(bits), pa.list_(pa.int64())),
@@ -195,23 +203,29 @@ def best_of_each(pairs: DataFrame) -> DataFrame:
     return ordered_pairs(ends.withColumn("place", place).filter(F.col("place") <= BEST))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """``pairs`` with ``linked``: exact Jaccard on the full sets, made again from the few texts it takes."""
+def from_full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int, make: Callable[[list[np.ndarray]], list]) -> DataFrame:
+    """node and ``made``: what ``make`` gives for the full sets of ``nodes``, made again from the few texts it takes."""
     small_batches(docs.sparkSession)
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = staged(needed.join(classes.select("node", "rep", "sig"), "node"), "needed")
+    needed = staged(nodes.join(classes.select("node", "rep", "sig"), "node"), "needed")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), "text")
     texts, _ = by_listed_id(texts, F.col("rep"), needed, "rep")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingles(t, words) for t in texts_of(batch)]
         right = [signature(s) == sig for s, sig in zip(made, batch.column("sig").to_pylist(), strict=True)]
-        found = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "hashes"])
+        found = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(make(made), pa.binary())], names=["node", "made"])
         return found.filter(pa.array(right, pa.bool_()))
 
-    full = texts.join(needed, "rep").select("node", "sig", "text").mapInArrow(lambda b: map_batches(b, sets), "node bigint, hashes binary")
-    full = staged(full.dropDuplicates(["node"]), "full-sets", "none")
-    side = lambda c: full.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
+    full = texts.join(needed, "rep").select("node", "sig", "text").mapInArrow(lambda b: map_batches(b, sets), "node bigint, made binary")
+    return full.dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``pairs`` with ``linked``: exact Jaccard on the full sets."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = from_full_sets(needed, docs, classes, words, lambda made: [s.tobytes() for s in made])
+    full = staged(full, "full-sets", "none")
+    side = lambda c: full.select(F.col("node").alias(c), F.col("made").alias(f"h{c}"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = []
@@ -257,14 +271,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def mixed_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The members, with comp and major, of the lists that hold more than one component."""
+    """The members, with comp, major and the length of the list, of the lists that hold more than one component."""
     if labels is None:
         marked = lists.withColumn("comp", F.col("node"))
     else:
         marked = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = marked.groupBy("value", "comp").count()
-    sizes = sizes.groupBy("value").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    return marked.join(sizes.filter("comps > 1").select("value", "major"), "value")
+    sizes = sizes.groupBy("value").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("length"))
+    return marked.join(sizes.filter("comps > 1").select("value", "major", "length"), "value")
 
 
 def cross_cost(mixed: DataFrame) -> int:
@@ -272,13 +286,54 @@ def cross_cost(mixed: DataFrame) -> int:
     return own.agg(F.sum(F.col("all").cast("double") * F.col("outside"))).first()[0] or 0
 
 
-def cross_pairs(mixed: DataFrame) -> DataFrame:
+def met_in_short(mixed: DataFrame) -> DataFrame:
     """Members outside the largest component of a list with the members of other components."""
     outside = mixed.filter("comp <> major").select("value", *named_member("x"), F.col("comp").alias("cx"))
     other = mixed.select("value", *named_member("y"), F.col("comp").alias("cy"), "major")
     once = (F.col("cy") == F.col("major")) | (F.col("x_node") < F.col("y_node"))
     met = outside.join(other, "value").filter((F.col("cx") != F.col("cy")) & once & may_link())
-    return ordered_pairs(met.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
+    return met.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+
+
+def met_in_long(mixed: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The same of long lists: a pair comes from the first that holds both, if few enough of the wide bits differ."""
+    held = staged(mixed.groupBy("node").agg(F.collect_set("value").alias("held")), "held")
+    wide = from_full_sets(held.select("node"), docs, classes, words, lambda made: [m.tobytes() for m in marks(made, WIDE)])
+    known = staged(held.join(wide.withColumnRenamed("made", "wide"), "node"), "wide")
+    members = mixed.select("value", "node", "n", "comp", "major", "length").join(known, "node")
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    sent = [F.col(c).alias(c) for c in ("value", "node", "n", "comp", "major", "wide", "held")]
+    outside = members.filter("comp <> major").select(*sent, own.alias("i"), every.alias("j"))
+    other = members.select(*sent, own.alias("j"), every.alias("i"))
+
+    def bitmaps(rows: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+
+    def meet(key: tuple[pa.Scalar, ...], x: pa.Table, y: pa.Table) -> pa.Table:
+        value = key[0].as_py()
+        number = lambda rows: [rows.column(c).to_numpy() for c in ("node", "n", "comp", "major")]
+        before = lambda rows: [{v for v in held if v < value} for held in rows.column("held").to_pylist()]
+        (xs, xn, xc, _), (ys, yn, yc, major), xw, yw, xb, yb = number(x), number(y), bitmaps(x), bitmaps(y), before(x), before(y)
+        pairs: list[tuple[int, int]] = []
+        for a in range(x.num_rows):
+            near = (xn[a] * 100 >= yn * PERCENT) & (yn * 100 >= xn[a] * PERCENT)
+            may = np.flatnonzero(near & (yc != xc[a]) & ((yc == major) | (ys > xs[a])))
+            # each bit that one has alone is a value that the sets do not share
+            differ = np.bitwise_count(xw[a] ^ yw[may]).sum(axis=1, dtype=np.int64)
+            may = may[differ * (100 + PERCENT) <= (xn[a] + yn[may]) * (100 - PERCENT)]
+            pairs += [(int(xs[a]), int(ys[b])) for b in may if xb[a].isdisjoint(yb[b])]
+        return pa.table({c: pa.array([p[i] for p in pairs], pa.int64()) for i, c in enumerate("xy")})
+
+    return outside.groupBy("value", "i", "j").cogroup(other.groupBy("value", "i", "j")).applyInArrow(meet, "x bigint, y bigint")
+
+
+def cross_pairs(mixed: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The pairs of members of different components that some list holds, without those that cannot link."""
+    met, long = met_in_short(mixed.filter(F.col("length") <= LONG)), mixed.filter(F.col("length") > LONG)
+    if not long.isEmpty():
+        met = met.union(met_in_long(long, docs, classes, words))
+    return ordered_pairs(met)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, k: int = SKETCH) -> DataFrame:
@@ -294,7 +349,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, k: int = SKETCH) -> DataFra
         mixed = staged(mixed_lists(lists, labels), "mixed") if seed else lists
         if seed:
             last = seed > STAR_ROUNDS or cross_cost(mixed) <= PATIENCE * entries
-        pairs = cross_pairs(mixed) if last else star_pairs(mixed, seed)
+        pairs = cross_pairs(mixed, docs, classes, words) if last else star_pairs(mixed, seed)
         pairs = likely(pairs, classes, k)
         pairs = staged(pairs if last else best_of_each(pairs), "pairs")
         seed += 1

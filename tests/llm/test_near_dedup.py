@@ -86,6 +86,35 @@ def test_star_rounds_change_nothing(spark, monkeypatch):
     assert result(frame(spark, rows), 2) == sorted(brute(rows, 2), key=key)
 
 
+def near_copies():
+    """A large group of near copies, many too far from the others to be linked, and texts that share a passage."""
+    rnd = random.Random(3)
+    base, passage, rows = words(rnd, 150), words(rnd, 60), []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 16)):
+            copy[rnd.randrange(len(copy))] = words(rnd, 1)[0]
+        rows.append(" ".join(copy))
+    rows += [" ".join([*words(rnd, 25), *passage]) for _ in range(40)]
+    return [(i, t, "en", "s", 1) for i, t in enumerate(rows)]
+
+
+def test_few_pairs_of_a_large_group_are_looked_up(spark, monkeypatch):
+    rows, given, likely = near_copies(), [], N.likely
+    monkeypatch.setattr(N, "likely", lambda pairs, *more: (given.append(pairs.count()), likely(pairs, *more))[1])
+    assert result(frame(spark, rows), 2) == sorted(brute(rows, 2), key=key)
+    sets = [shingle_set(r[1], 2) for r in rows]
+    links = sum(100 * len(a & b) >= 80 * len(a | b) for a, b in combinations(sets, 2))
+    assert 0 < given[-1] < links
+
+
+def test_long_lists_in_blocks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(N, "LONG", 2)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rows = chains()
+    assert result(frame(spark, rows), 2) == sorted(brute(rows, 2), key=key)
+
+
 def test_components_of_a_path_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(200, 150), (150, 170)]
     edges = N.staged(spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long"), "test-edges")
