@@ -203,11 +203,13 @@ def hits(anchors: Bucket, bucket: Bucket, parts: list[tuple]) -> pd.DataFrame:
 
 
 def met(anchors: DataFrame, buckets: DataFrame, blocks: int, bins: int) -> DataFrame:
-    """Every block of anchors beside every bucket of as many components: an equal join on the pair's numbers."""
+    """Every block of anchors beside every bucket of as many components: an equal join on the pair's numbers.
+
+    Copies of blocks weigh far more than their files tell, so both sides are shuffled; none may go through the driver."""
     a = anchors.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     b = buckets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     b = b.select("dim", "block", "bucket", *[F.col(c).alias(f"b_{c}") for c in ("uid", "vec_id", "label", "x")])
-    return a.join(b, ["dim", "block", "bucket"])
+    return a.join(b.hint("merge"), ["dim", "block", "bucket"])
 
 
 def search(pairs: DataFrame, find) -> DataFrame:
@@ -239,7 +241,7 @@ def with_array(blocks: DataFrame, values: DataFrame, column: str, default: int)
     by_anchor = values.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), F.col("value")))).alias("by_slot"))
     rows = w.join(by_anchor, "anchor", "left").withColumn("by_slot", F.coalesce("by_slot", F.create_map().cast("map<int,bigint>")))
     rows = rows.select("dim", "block", F.struct("place", slots.alias("v")).alias("p")).groupBy("dim", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return blocks.join(rows.select("dim", "block", F.flatten("p.v").alias(column)), ["dim", "block"])
+    return blocks.join(rows.select("dim", "block", F.flatten("p.v").alias(column)).hint("merge"), ["dim", "block"])
 
 
 LOWEST, HIGHEST = -(2**62), 2**62

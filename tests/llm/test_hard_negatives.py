@@ -105,5 +105,17 @@ def test_long_products_stay_exact(spark, tmp_path):
     assert query(spark, rows, tmp_path) == brute_force(rows) != []
 
 
+def test_copies_of_blocks_do_not_go_through_the_driver(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, [1], [1], [0], [3])], "dim int, block long, uid array<long>, vec_id array<long>, label array<long>, x array<long>")
+    rows.write.parquet(str(tmp_path / "blocks"))  # a file is small, whatever comes out of it
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    buckets = blocks.withColumnRenamed("block", "bucket")
+    thresholds = spark.createDataFrame([(1, 0, 5)], "anchor long, slot int, value long")
+    for df in (hn.met(blocks, buckets, 1, 3), hn.with_array(blocks, thresholds, "least", 0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert [j for j in ("SortMergeJoin [dim", "BroadcastHashJoin [dim") if j in plan] == ["SortMergeJoin [dim"]
+    assert hn.met(blocks, buckets, 1, 3).count() == 1
+
+
 def test_empty_table(spark, tmp_path):
     assert query(spark, [], tmp_path) == []
