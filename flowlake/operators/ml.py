@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import is_finite, is_missing
+from flowlake.operators import forest
 from flowlake.operators.clean import contract_check
 from flowlake.operators.metrics import binary_metrics
 from flowlake.operators.ordered import attach_row, exact_percentiles
@@ -76,12 +77,9 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 # ---- learners ------------------------------------------------------------------------------------
 
-def random_forest(train: DataFrame, label: str = "y", trees: int = 200, depth: int = 16, seed: int = 42):
-    data = balanced_weights(train, label)
-    return RandomForestClassifier(
-        featuresCol="vec", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=2, seed=seed, cacheNodeIds=False, maxMemoryInMB=1024,
-    ).fit(data)
+def random_forest(train: DataFrame, label: str = "y", trees: int = 200, depth: int = 16, seed: int = 42) -> forest.Forest:
+    """Balanced weights, two draws or more to a leaf, at most 32 bins; Spark's own learner holds all nodes in the driver."""
+    return forest.fit(train, label, trees, depth, seed)
 
 
 def gradient_boosting(train: DataFrame, label: str = "y", rounds: int = 100, depth: int = 6, seed: int = 42):
@@ -113,6 +111,8 @@ def importances(model, features: Sequence[str], spark) -> DataFrame:
 
 def attack_score(model, df: DataFrame, out: str = "score") -> DataFrame:
     """P(class = 1) from a fitted binary classifier."""
+    if isinstance(model, forest.Forest):
+        return model.score(df, out)
     got = model.transform(df).withColumn(out, vector_to_array("probability")[1])
     return got.drop("rawPrediction", "probability", "prediction")
 

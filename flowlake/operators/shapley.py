@@ -11,7 +11,9 @@ that leaf is
     answer * (o_i - z_i) * integral from 0 to 1 of the product over j != i of (o_j t + z_j (1 - t)) dt,
 
 a polynomial of degree k - 1 for k features on the path, so Gauss-Legendre quadrature with (k + 1) // 2
-nodes is exact. All leaves of a tree with the same k are taken together, as arrays over leaves, features and rows.
+nodes is exact. Leaves of one subtree share the factors of their common path: a tree is walked once, all rows of a
+block at each node. Going down, the product of the factors so far changes by one factor; coming up, the sum of
+answer times product over the leaves below gives the node's feature its share.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CELLS = 1 << 18  # array cells held at once; few enough for a core's cache
-ROWS = 1024
-TINY = 1e-100  # stands for a share of 0, whose logarithm has no value
+from flowlake.operators.forest import Forest, from_bytes
+from flowlake.session import durable
+
+ROWS = 2048  # walked at once; few enough for a core's cache
 NEUTRAL = 1e-5  # fixed value: smaller attributions push neither way
 
 
@@ -46,93 +50,122 @@ class Tree:
 
 
 @dataclass
-class Leaves:
-    """Leaves with the same number ``k`` of features on their paths: arrays of (leaf, k), and answers."""
-
-    feature: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray
-    answer: np.ndarray
-
-
-def leaves_of(trees: Sequence[Tree]) -> list[Leaves]:
-    """The leaves of all trees by the number of features on their paths. A row meets a path's conditions on a
-    feature when ``low < x <= high``. A tree is walked level by level, all nodes of a level at once."""
-    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
-    for tree in trees:
-        width = max(int(tree.feature.max(initial=-1)) + 1, 1)
-        node = np.zeros(1, int)
-        low, high, share, used = np.full((1, width), -np.inf), np.full((1, width), np.inf), np.ones((1, width)), np.zeros((1, width), bool)
-        while len(node):
-            ends = tree.left[node] < 0
-            sizes = used.sum(axis=1)
-            for k in np.unique(sizes[ends]):
-                at = np.flatnonzero(ends & (sizes == k))
-                f = np.nonzero(used[at])[1].reshape(len(at), k)
-                found.setdefault(int(k), []).append((f, *(np.take_along_axis(v[at], f, axis=1) for v in (low, high, share)), tree.answer[node[at]] * tree.scale))
-            inner = np.flatnonzero(~ends)
-            parent, rows = node[inner], np.arange(len(inner))
-            f, cut = tree.feature[parent], tree.cut[parent]
-            sides = []
-            for child, goes_left in ((tree.left[parent], True), (tree.right[parent], False)):
-                lo, hi, sh, us = low[inner], high[inner], share[inner], used[inner]
-                if goes_left:
-                    hi[rows, f] = np.minimum(hi[rows, f], cut)
-                else:
-                    lo[rows, f] = np.maximum(lo[rows, f], cut)
-                sh[rows, f] *= np.divide(tree.cover[child], tree.cover[parent], out=np.zeros(len(child)), where=tree.cover[parent] > 0)
-                us[rows, f] = True
-                sides.append((child, lo, hi, sh, us))
-            node, low, high, share, used = (np.concatenate(v) for v in zip(*sides, strict=True))
-    return [Leaves(*(np.concatenate(v) for v in zip(*found[k], strict=True))) for k in sorted(found)]
-
-
-def expected(groups: Sequence[Leaves]) -> float:
+class Walk:
+    """A tree made ready. ``times``, ``gain``, ``ends`` and ``ending`` are tables by (side or none, node, state, quadrature
+    node). The states: 0 the row missed the feature's conditions before, 1 it meets them so far and goes right, 2 left.
+    ``times`` is what the product changes by towards a side and ``gain`` the weight of the leaves below it in the value of
+    the node's feature; ``ends`` and ``ending`` are both sums over those children that are leaves."""
+
+    tree: Tree
+    seen: np.ndarray
+    times: np.ndarray
+    gain: np.ndarray
+    ends: np.ndarray
+    ending: np.ndarray
+    expected: float
+
+
+def walk_of(tree: Tree) -> Walk:
+    width, n, inner = max(int(tree.feature.max(initial=-1)) + 1, 1), len(tree.left), tree.left >= 0
+    shares = np.divide(tree.cover[[tree.left, tree.right]], tree.cover, out=np.zeros((2, n)), where=inner & (tree.cover > 0))
+    before, seen, most = np.ones(n), np.zeros(n, bool), 0
+    reach = np.ones(n)
+    node, z, used = np.zeros(1, int), np.ones((1, width)), np.zeros((1, width), bool)
+    while len(node):  # level by level, all nodes of a level at once
+        most = max(most, int(used.sum(axis=1).max()))
+        at = np.flatnonzero(inner[node])
+        node, z, used, rows = node[at], z[at], used[at], np.arange(len(at))
+        f = tree.feature[node]
+        before[node], seen[node] = z[rows, f], used[rows, f]
+        used[rows, f] = True
+        sides = []
+        for child, share in zip((tree.left[node], tree.right[node]), shares[:, node], strict=True):
+            lower = z.copy()
+            lower[rows, f] *= share
+            reach[child] = reach[node] * share
+            sides.append(lower)
+        node, z, used = np.concatenate([tree.left[node], tree.right[node]]), np.concatenate(sides), np.concatenate([used, used])
+    t, w = np.polynomial.legendre.leggauss(max(1, (most + 1) // 2))
+    t, w = (t + 1) / 2, w / 2
+    on = lambda share: t + share[..., None] * (1 - t)
+    after = shares * before
+    answer = tree.answer * tree.scale
+    times, gain = np.empty((2, n, 3, len(t))), np.zeros((2, n, 3, len(t)))
+    for side, (meets, misses) in enumerate(((2, 1), (1, 2))):
+        times[side, :, 0] = shares[side][:, None]
+        times[side, :, meets] = on(after[side]) / on(before)
+        times[side, :, misses] = after[side][:, None] * (1 - t) / on(before)
+        old = (1 - before)[:, None] / on(before)
+        gain[side, :, meets] = w * ((1 - after[side])[:, None] / on(after[side]) - old)
+        gain[side, :, misses] = w * (-1 / (1 - t) - old)
+    last = np.where(inner, [~inner[tree.left], ~inner[tree.right]], False) * answer[[tree.left, tree.right]]
+    ends = times * last[:, :, None, None]
+    return Walk(tree, seen, times, gain, ends.sum(axis=0), (ends * gain).sum(axis=0), float((answer * reach)[~inner].sum()))
+
+
+def leaves_of(trees: Sequence[Tree]) -> list[Walk]:
+    """The trees made ready to be walked down to their leaves."""
+    return [walk_of(t) for t in trees]
+
+
+def expected(walks: Sequence[Walk]) -> float:
     """The ensemble's answer when nothing is known."""
-    return float(sum((g.answer * g.share.prod(axis=1)).sum() for g in groups))
+    return float(sum(w.expected for w in walks))
 
 
-def shapley(x: np.ndarray, groups: Sequence[Leaves], features: int) -> np.ndarray:
-    """Shapley values of each row (rows, features).
-
-    At a quadrature node t a factor is ``on = t + z (1 - t)`` if the row meets the conditions, else ``off = z (1 - t)``.
-    The product over all features is a matrix product of logarithms with the conditions met; dividing it by feature
-    i's own factor leaves the others. For a feature not met the value is minus the sum of ``product / (1 - t)``,
-    whichever feature it is."""
+def shapley(x: np.ndarray, walks: Sequence[Walk], features: int) -> np.ndarray:
+    """Shapley values of each row (rows, features)."""
     phi, columns = np.zeros((features, len(x))), np.ascontiguousarray(x.T)
-    for g in groups:
-        k = g.feature.shape[1]
-        if k == 0:
-            continue
-        nodes, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
-        nodes, weights = (nodes + 1) / 2, weights / 2
-        step = max(1, CELLS // max(1, len(x) * k))
-        for a in range(0, len(g.answer), step):
-            part = slice(a, a + step)
-            f, answer = g.feature[part], g.answer[part]
-            share = np.maximum(g.share[part], TINY)
-            values = columns[f]
-            met = (values > g.low[part][:, :, None]) & (values <= g.high[part][:, :, None])
-            off = share[:, None, :] * (1 - nodes)[:, None]  # (leaf, node, feature)
-            on = nodes[:, None] + off
-            product = np.matmul(np.log(on) - np.log(off), met.astype(float))
-            product += np.log(off).sum(axis=2)[:, :, None]
-            np.exp(product, out=product)
-            total = np.matmul((answer[:, None, None] * weights[:, None] * (1 - share)[:, None, :] / on).transpose(0, 2, 1), product)
-            unmet = np.matmul((answer[:, None] * (weights / (1 - nodes)))[:, None, :], product)
-            total = np.where(met, total, -unmet)
-            flat, order = f.ravel(), np.argsort(f.ravel(), kind="stable")
-            starts = np.r_[0, np.flatnonzero(np.diff(flat[order])) + 1]
-            phi[flat[order][starts]] += np.add.reduceat(total.reshape(-1, len(x))[order], starts, axis=0)
+    for walk in walks:
+        if walk.tree.left[0] >= 0:
+            explained(walk, columns, phi)
     return np.ascontiguousarray(phi.T)
 
 
-def fitted_trees(model, spark: SparkSession, folder: str) -> list[Tree]:
-    """The trees of a fitted MLlib tree, forest or boosted ensemble, read from the model's saved form. Their size is
+def explained(walk: Walk, columns: np.ndarray, phi: np.ndarray) -> None:
+    """Add a tree's values to ``phi`` (feature, row)."""
+    tree, met = walk.tree, {}
+    feature, cut, left, right, seen = (v.tolist() for v in (tree.feature, tree.cut, tree.left, tree.right, walk.seen))
+    times, gain, ends, ending = walk.times, walk.gain, walk.ends, walk.ending
+    rows, ones = columns.shape[1], np.ones(times.shape[-1])
+
+    def summed(product: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        return np.multiply(product, factor, out=factor) @ ones
+
+    def visit(i: int, product: np.ndarray) -> np.ndarray:
+        j, go = feature[i], columns[feature[i]] <= cut[i]
+        so_far = met.get(j) if seen[i] else None
+        state = go.astype(np.intp)
+        state += 1
+        if so_far is not None:
+            state *= so_far
+        below = None
+        if left[left[i]] < 0 or left[right[i]] < 0:
+            below = ends[i].take(state, axis=0)
+            below *= product
+            phi[j] += summed(product, ending[i].take(state, axis=0))
+        for side, child in ((0, left[i]), (1, right[i])):
+            if left[child] >= 0:
+                way = go if side == 0 else ~go
+                met[j] = way if so_far is None else way & so_far
+                factor = times[side, i].take(state, axis=0)
+                got = visit(child, np.multiply(product, factor, out=factor))
+                phi[j] += summed(got, gain[side, i].take(state, axis=0))
+                below = got if below is None else np.add(below, got, out=below)
+        if so_far is not None:
+            met[j] = so_far
+        return below
+
+    visit(0, np.ones((rows, len(ones))))
+
+
+def fitted_trees(model, spark: SparkSession, folder: str) -> list[Tree] | Forest:
+    """A ``Forest`` as it is, else the trees of a fitted MLlib tree, forest or boosted ensemble, read from the model's saved form. Their size is
     bounded by the model's parameters (trees times two to the depth). A classifier's answer is the
     probability of class 1, a boosted tree's its weighted output. ``folder`` must be storage that driver and
     executors share; a mounted one has a plain path."""
+    if isinstance(model, Forest):
+        return model
     path = f"{folder.rstrip('/')}/trees-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -155,11 +188,15 @@ def fitted_trees(model, spark: SparkSession, folder: str) -> list[Tree]:
     ]
 
 
-def attributions(df: DataFrame, row_id: str, features: Sequence[str], trees: Sequence[Tree]) -> DataFrame:
+def attributions(df: DataFrame, row_id: str, features: Sequence[str], trees: Sequence[Tree] | Forest) -> DataFrame:
     """Long table (row_id, feature, value, phi, base): ``base`` plus the sum of a row's phi is the ensemble's answer.
 
-    The trees are shipped to the tasks as nodes; a task holds the leaves of one tree at a time."""
-    base, feats = sum(expected(leaves_of([t])) for t in trees), list(features)
+    The trees of a ``Forest`` meet the rows in a shuffle. Other trees are shipped to the tasks as nodes. A task makes
+    one tree ready at a time."""
+    feats = list(features)
+    if isinstance(trees, Forest):
+        return forest_attributions(df, row_id, feats, trees)
+    base = sum(expected(leaves_of([t])) for t in trees)
     # plain arrays: a broadcast names its classes, and executors need not have this package
     shared = df.sparkSession.sparkContext.broadcast([(t.feature, t.cut, t.left, t.right, t.cover, t.answer, t.scale) for t in trees])
 
@@ -168,9 +205,9 @@ def attributions(df: DataFrame, row_id: str, features: Sequence[str], trees: Seq
             x, ids = pdf[feats].to_numpy(float), pdf[row_id].to_numpy()
             phi = np.zeros(x.shape)
             for t in shared.value:
-                leaves = leaves_of([Tree(*t)])
+                walks = leaves_of([Tree(*t)])
                 for a in range(0, len(x), ROWS):
-                    phi[a:a + ROWS] += shapley(x[a:a + ROWS], leaves, len(feats))
+                    phi[a:a + ROWS] += shapley(x[a:a + ROWS], walks, len(feats))
             for a in range(0, len(x), ROWS):
                 part = x[a:a + ROWS]
                 yield pd.DataFrame({"row_id": np.repeat(ids[a:a + ROWS], len(feats)), "feature": feats * len(part), "value": part.ravel(), "phi": phi[a:a + ROWS].ravel(), "base": base})
@@ -180,6 +217,36 @@ def attributions(df: DataFrame, row_id: str, features: Sequence[str], trees: Seq
     return spread.mapInPandas(explain, f"row_id {kind}, feature string, value double, phi double, base double")
 
 
+def forest_attributions(df: DataFrame, row_id: str, feats: list[str], forest: Forest) -> DataFrame:
+    scale, width = 1.0 / forest.trees, len(feats)
+
+    def tree_of(t: dict[str, np.ndarray]) -> Tree:
+        return Tree(t["feature"].astype(int), t["cut"], t["left"], t["right"], t["cover"], t["answer"], scale)
+
+    def bases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"base": [expected(leaves_of([tree_of(from_bytes(n))])) for n in pdf["nodes"]]})
+
+    def work(trees: list[dict[str, np.ndarray]], number: int, ids: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+        phi = sum(shapley(bins, leaves_of([tree_of(t)]), width) for t in trees)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids.tobytes()]), pa.array([phi.tobytes()])], ["number", "ids", "phi"])
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        phi = np.zeros(len(pdf["phi"].iloc[0]) // 8)
+        for part in pdf["phi"]:
+            phi += np.frombuffer(part)
+        return pd.DataFrame({"_of": np.frombuffer(pdf["ids"].iloc[0], np.int64), "phis": list(phi.reshape(-1, width))})
+
+    base = forest.nodes.mapInPandas(bases, "base double").agg(F.sum("base")).first()[0]
+    rows = durable(df.select(F.monotonically_increasing_id().alias("_uid"), F.col(row_id).alias("row_id"), F.array(*[F.col(f).cast("double") for f in feats]).alias("x")))
+    parts = forest.meet(rows.select("_uid", "x"), work, "number long, ids binary, phi binary", ROWS)
+    phis = parts.groupBy("number").applyInPandas(add, "_of long, phis array<double>")
+    both = rows.join(phis, rows["_uid"] == phis["_of"])
+    names = F.array(*[F.lit(f) for f in feats])
+    long = both.select("row_id", F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("phis").alias("phi"))).alias("c"))
+    return long.select("row_id", "c.feature", "c.value", "c.phi", F.lit(base).alias("base"))
+
+
 def importance(values: DataFrame) -> DataFrame:
     """Mean absolute value per feature and its rank."""
     per = values.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
