@@ -65,6 +65,13 @@ def test_scores_importances_and_attributions_follow_the_trees(spark, data):
     assert phi.count() == 1600 and total.to_numpy() == pytest.approx(want, abs=1e-12)
 
 
+def test_trees_and_their_values_do_not_pass_through_the_driver(spark, data, monkeypatch):
+    model = ml.random_forest(data, trees=3, depth=4)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: pytest.fail("broadcast by the driver"))
+    phi = shapley.attributions(data, "id", NAMES, shapley.fitted_trees(model, spark, ""))
+    assert phi.count() == 1600 and phi.select("base").distinct().count() == 1
+
+
 def test_as_good_as_the_learner_of_spark(data):
     train, test = data.filter("id % 4 > 0"), data.filter("id % 4 = 0")
     theirs = RandomForestClassifier(featuresCol="vec", labelCol="y", numTrees=30, maxDepth=6, minInstancesPerNode=2, seed=1).fit(train)
